@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkmill.functions.frames import latest, table
 
-from . import leakage, lookalike_text
+from . import leakage, lookalike_text, subjects
 from . import sentences as sentence_ops
 
 
@@ -28,5 +28,10 @@ def p7_found(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p7_found": p7_found}
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    areas = subjects.subject_areas(table(spark, directory, "documents"), table(spark, directory, "subject_labels"), table(spark, directory, "subjects"))
+    return areas.select("doc_id", "subject").distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
