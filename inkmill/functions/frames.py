@@ -2,14 +2,35 @@
 
 from __future__ import annotations
 
+import io
 import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on every executor, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_inkmill_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, Path(root.name) / path.relative_to(root))
+    file = Path(tempfile.mkdtemp(prefix="inkmill-")) / "inkmill_package.zip"
+    file.write_bytes(data.getvalue())
+    context.addPyFile(str(file))  # the driver serves it; executors never read the temporary folder
+    context._inkmill_shipped = True
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
