@@ -7,10 +7,22 @@ from pyspark.sql import functions as F
 
 from inkmill.functions.frames import latest, table
 
-from . import leakage, lookalike_text, subjects
+from . import leakage, lookalike_text, scan_noise, subjects
 from . import sentences as sentence_ops
 
 
+def _books(spark: SparkSession, directory: str) -> list[DataFrame]:
+    return [table(spark, directory, name) for name in ("evidence_store", "works", "chapters")]
+
+
+def p1_found(spark: SparkSession, directory: str) -> DataFrame:
+    return scan_noise.noise_kinds(*_books(spark, directory))
+
+
+def p1_repaired(spark: SparkSession, directory: str) -> DataFrame:
+    return scan_noise.repair(*_books(spark, directory))
+
+
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     items = latest(table(spark, directory, "evidence_item"), ["item_id"], "ingested_at", ["work_id", "quote"])
     return lookalike_text.lookalike_pairs(items, "item_id", "work_id", "quote")
@@ -33,5 +45,5 @@ def p8_found(spark: SparkSession, directory: str) -> DataFrame:
     return areas.select("doc_id", "subject").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
