@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkmill.functions.frames import latest, table
 
-from . import leakage, lookalike_text, scan_noise, subjects
+from . import containers, leakage, lookalike_text, scan_noise, splitting, subjects
 from . import sentences as sentence_ops
 
 
@@ -28,6 +28,26 @@ def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     return lookalike_text.lookalike_pairs(items, "item_id", "work_id", "quote")
 
 
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    chunks = splitting.oversized(table(spark, directory, "evidence_store"), 2400)
+    pieces = splitting.split(chunks, "chunk_text", ["work_id", "chunk_id"], with_text=False)
+    return pieces.where("n_pieces > 1").select("work_id", "chunk_id").distinct()
+
+
+def p4_pieces(spark: SparkSession, directory: str) -> DataFrame:
+    chunks = latest(splitting.oversized(table(spark, directory, "evidence_store"), 2400), ["work_id", "chunk_id"], "ingested_at", ["chunk_text"])
+    return splitting.split(chunks, "chunk_text", ["work_id", "chunk_id"])
+
+
+def p4_item_pieces(spark: SparkSession, directory: str) -> DataFrame:
+    return splitting.assign_pieces(table(spark, directory, "evidence_store"), table(spark, directory, "evidence_item"))
+
+
+def p5_sentences(spark: SparkSession, directory: str) -> DataFrame:
+    chunks = latest(table(spark, directory, "evidence_store"), ["work_id", "chunk_id"], "ingested_at", ["chunk_text"])
+    return sentence_ops.sentences(chunks, "chunk_text", ["work_id", "chunk_id"])
+
+
 def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     chunks = table(spark, directory, "evidence_store").where(F.col("origin").isin("ebook", "web"))
     found = sentence_ops.sentence_starts(chunks, "chunk_text", ["work_id", "chunk_id", "ingested_at"])
@@ -35,6 +55,14 @@ def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("work_id", "chunk_id", F.explode(F.col("starts").cast("array<bigint>")).alias("start_pos"))
 
 
+def p6_containers(spark: SparkSession, directory: str) -> DataFrame:
+    return containers.containers(table(spark, directory, "documents"))
+
+
+def p7_leaks(spark: SparkSession, directory: str) -> DataFrame:
+    return leakage.leaks(table(spark, directory, "documents"), table(spark, directory, "eval_items"))
+
+
 def p7_found(spark: SparkSession, directory: str) -> DataFrame:
     found = leakage.leaks(table(spark, directory, "documents"), table(spark, directory, "eval_items"))
     return found.select("doc_id", "item_id").distinct()
@@ -45,5 +73,25 @@ def p8_found(spark: SparkSession, directory: str) -> DataFrame:
     return areas.select("doc_id", "subject").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found}
-ORACLES: dict[str, str] = {}
+def p8_composition(spark: SparkSession, directory: str) -> DataFrame:
+    areas = subjects.subject_areas(table(spark, directory, "documents"), table(spark, directory, "subject_labels"), table(spark, directory, "subjects"))
+    return areas.groupBy("subject").agg(F.countDistinct("doc_id").alias("n_docs"), F.sum("n_sentences").alias("n_sentences"))
+
+
+def p2_canonical(spark: SparkSession, directory: str) -> DataFrame:
+    items = latest(table(spark, directory, "evidence_item"), ["item_id"], "ingested_at", ["quote"])
+    return lookalike_text.canonical(items, "quote", "canonical_quote", ["item_id"])
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_repaired": p1_repaired,
+    "p2_found": p2_found, "p2_canonical": p2_canonical,
+    "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_item_pieces": p4_item_pieces,
+    "p5_found": p5_found, "p5_sentences": p5_sentences,
+    "p6_containers": p6_containers,
+    "p7_found": p7_found, "p7_leaks": p7_leaks,
+    "p8_found": p8_found, "p8_composition": p8_composition,
+}
+ORACLES = {
+    "p4_found": "SELECT DISTINCT work_id, chunk_id FROM evidence_store WHERE length(chunk_text) > 2400",
+}
