@@ -5,12 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from inkmill.functions.frames import table
-from inkmill.operators import packed
+from inkmill.operators import noise, packed, style
+from inkmill.plans.oracles import ORACLES
+
+
+def per_document(operator):
+    return lambda spark, directory: operator(table(spark, directory, "documents"), ["doc_id"], "text")
 
 
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     return packed.unpack(table(spark, directory, "writer_contract"), "contract_id", "enemy_clauses", pos="clause_pos", value="clause_text")
 
 
-QUERIES = {"p3_found": p3_found}
-ORACLES: dict[str, str] = {}
+def noise_stats(spark: SparkSession, directory: str) -> DataFrame:
+    return noise.noise_stats(table(spark, directory, "documents"), "doc_id", "text")
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "noise_stats": noise_stats,
+    **{f.__name__: per_document(f) for f in (style.style_core, style.sentence_stats, style.rhetoric, style.similes, style.description_mix, style.low_level, style.vocabulary_richness, style.top_words, style.style_labels)},
+}
+__all__ = ["ORACLES", "QUERIES"]
