@@ -29,9 +29,16 @@ def ship(spark: SparkSession) -> None:
     context._inkmill_shipped = True
 
 
-def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+def table(spark: SparkSession, directory: str, name: str, spread: bool = False) -> DataFrame:
+    """One table; with ``spread``, an input too small to occupy every core is dealt out to all of them."""
     ship(spark)
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    df = spark.read.parquet(f"{directory}/{name}.parquet")
+    if spread:
+        cores = spark.sparkContext.defaultParallelism
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size < cores * (4 << 20):
+            df = df.repartition(cores)
+    return df
 
 
 def shared_dir(spark: SparkSession) -> str:

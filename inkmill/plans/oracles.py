@@ -148,7 +148,149 @@ m AS (SELECT doc_id, short_sentences * {D(100)} / CAST(greatest(n_sentences, 1)
  CASE WHEN dsc > 0 THEN action * {D(100)} / CAST(dsc AS DOUBLE) END AS act, CASE WHEN dsc > 0 THEN md * {D(100)} / CAST(dsc AS DOUBLE) END AS mind, CASE WHEN dsc > 0 THEN scenery * {D(100)} / CAST(dsc AS DOUBLE) END AS env FROM j)
 SELECT doc_id, {some(RULES)} AS signals, {some(LABELS)} AS labels, CASE WHEN excl > 8 THEN least({D(0.95)}, {WARM} + {D(0.05)}) ELSE {WARM} END AS temperature FROM m"""
 
+ONCE = "once AS (SELECT work_id, chunk_id, any_value(start_pos) AS start_pos, any_value(chunk_text) AS chunk_text, any_value(era) AS era FROM evidence_store GROUP BY ALL)"
+CHAPTER_INDEX = f"""WITH {ONCE}, l0 AS (SELECT work_id, start_pos, regexp_extract_all(chunk_text, {q(L.LINE)}) AS l FROM once),
+l1 AS (SELECT work_id, start_pos, l, unnest(range(1, len(l) + 1)) AS i FROM l0),
+h AS (SELECT DISTINCT work_id, start_pos + {total('list_transform(l[1:i - 1], lambda x: length(x))')} AS pos, {strip('l[i]')} AS title FROM l1 WHERE regexp_matches({strip('l[i]')}, {q(L.HEADING)})),
+p AS (SELECT work_id, pos, min(title) AS title FROM h GROUP BY ALL), e AS (SELECT work_id, max(start_pos + length(chunk_text)) AS work_end FROM evidence_store GROUP BY 1),
+w AS (SELECT *, lead(pos) OVER (PARTITION BY work_id ORDER BY pos) AS nxt, row_number() OVER (PARTITION BY work_id ORDER BY pos) - 1 AS idx, count(*) OVER (PARTITION BY work_id) AS n FROM p)
+SELECT work_id, CAST(idx AS INTEGER) AS chapter_idx, title, pos AS start_pos, coalesce(nxt, work_end) AS end_pos FROM w JOIN e USING (work_id) WHERE n >= 2"""
+CHUNK_CHAPTERS = f"WITH {ONCE} SELECT o.work_id, o.chunk_id, min(c.chapter_id) AS chapter_id FROM once o LEFT JOIN chapters c ON c.work_id = o.work_id AND o.start_pos >= c.start_pos AND o.start_pos < c.end_pos GROUP BY ALL"
+VOLUME_ASOF = "SELECT work_id, chapter_id, last_value(volume IGNORE NULLS) OVER (PARTITION BY work_id ORDER BY chapter_idx ROWS UNBOUNDED PRECEDING) AS volume FROM chapters"
+FALLBACK = "SELECT doc_id, CAST(k // 4000 + 1 AS INTEGER) AS part_no, CAST(k AS INTEGER) AS start_pos, CAST(least(k + 4000, n) AS INTEGER) AS end_pos FROM (SELECT doc_id, length(text) AS n, unnest(range(0, length(text), 4000)) AS k FROM documents WHERE length(text) > 0)"
+
+
+def listed(items: list) -> str:
+    return "[" + ", ".join(q(x) if isinstance(x, str) else str(x) for x in items) + "]"
+
+
+READING_PLAN = f"""WITH b AS (SELECT work_id, chapter_id, chapter_idx AS idx, n_chars AS len, count(*) OVER (PARTITION BY work_id) AS n, sum(n_chars) OVER (PARTITION BY work_id) AS chars FROM chapters),
+era AS (SELECT unnest(range(0, 5)) AS e, unnest({listed(L.ERAS)}) AS era),
+small AS (SELECT work_id, idx, chapter_id, {listed([L.ERA_CHOICE[k] for k in range(1, 6)])}[least(n, 5)][CAST(least(idx * least(n, 5) // n, least(n, 5) - 1) AS INTEGER) + 1] AS e FROM b WHERE chars <= 150000 OR n <= 5),
+cut AS (SELECT *, CAST(floor(n * CAST(0.15 AS DOUBLE)) AS INT) AS c1, CAST(floor(n * CAST(0.40 AS DOUBLE)) AS INT) AS c2, CAST(floor(n * CAST(0.65 AS DOUBLE)) AS INT) AS c3, CAST(floor(n * CAST(0.85 AS DOUBLE)) AS INT) AS c4 FROM b WHERE NOT (chars <= 150000 OR n <= 5)),
+span AS (SELECT work_id, idx, chapter_id, len, e, [0, c1, c2, c3, c4][e + 1] AS a, [greatest(1, c1), greatest(c1 + 1, c2), greatest(c2 + 1, c3), greatest(c3 + 1, c4), n][e + 1] AS z FROM cut, era),
+large AS (SELECT *, CASE e WHEN 0 THEN a WHEN 4 THEN greatest(a, z - 2) ELSE a + (z - a) // 2 END AS pick FROM span WHERE idx >= a AND idx < z),
+lab AS (SELECT work_id, idx, min(e) AS e FROM large GROUP BY ALL),
+ah0 AS (SELECT *, row_number() OVER w AS rn, sum(len) OVER w AS acc FROM large WHERE idx >= pick WINDOW w AS (PARTITION BY work_id, e ORDER BY idx ROWS UNBOUNDED PRECEDING)),
+ah AS (SELECT *, count(*) OVER (PARTITION BY work_id, e) AS got FROM ah0 WHERE acc - len < 30000 OR rn <= 2),
+bk AS (SELECT l.work_id, l.idx, l.chapter_id FROM (SELECT *, row_number() OVER (PARTITION BY work_id, e ORDER BY idx DESC) AS rn FROM large WHERE idx < pick) l JOIN (SELECT DISTINCT work_id, e, got FROM ah) g ON g.work_id = l.work_id AND g.e = l.e WHERE l.rn <= 2 - g.got),
+pk AS (SELECT work_id, idx, chapter_id FROM ah WHERE acc <= 45000 OR rn <= 2 OR e = 4 UNION SELECT * FROM bk)
+SELECT work_id, idx AS chapter_idx, chapter_id, era FROM (SELECT * FROM small UNION ALL SELECT pk.work_id, pk.idx, pk.chapter_id, lab.e FROM pk JOIN lab USING (work_id, idx)) x JOIN era USING (e)"""
+
+FOLD = f"""WITH RECURSIVE s AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), {q(L.LINE)}), lambda x: length(x)) AS n FROM documents),
+r AS (SELECT doc_id, n, 0 AS i, CAST(0 AS BIGINT) AS acc, CAST(0 AS BIGINT) AS start_pos, 0 AS k, CAST(NULL AS BIGINT) AS shut, CAST(0 AS BIGINT) AS pos FROM s WHERE len(n) > 0
+ UNION ALL SELECT doc_id, n, i + 1, CASE WHEN acc + n[i + 1] >= 2000 THEN 0 ELSE acc + n[i + 1] END, start_pos, k + CASE WHEN acc + n[i + 1] >= 2000 OR i + 1 = len(n) THEN 1 ELSE 0 END,
+ CASE WHEN acc + n[i + 1] >= 2000 OR i + 1 = len(n) THEN acc + n[i + 1] END, pos + n[i + 1] FROM r WHERE i < len(n))
+SELECT doc_id, printf('c%03d', k) AS chunk_id, pos - shut AS start_pos, shut AS n_chars FROM r WHERE shut IS NOT NULL AND shut > 0"""
+
+SHORT = "regexp_replace({}, '^(.{{2,}}?)(?:" + "|".join(sorted(L.ADVERBS, key=len, reverse=True)) + ")$', '\\1')"
+VERB = "regexp_replace({}, '^(.{{2,}}?)(?:" + "|".join(sorted(L.VERB_TAILS, key=len, reverse=True)) + ")$', '\\1')"
+EDGE = rf"，。！？…—{L.WS}"
+LEAD = "^(?:在|向|对|朝|冲|随着|只听|听到|忽听|便听|却见|只见)"
+
+
+def bare(x: str) -> str:
+    return f"CASE WHEN length({x}) < 4 THEN {x} WHEN regexp_matches({x}, '^(.{{3,}}?)(?:的|地|着)$') THEN left({x}, length({x}) - 1) ELSE {SHORT.format(x)} END"
+
+
+def names_ok(x: str) -> str:
+    return f"(length({x}) BETWEEN 2 AND 4 AND NOT list_contains({listed(L.NO_NAMES)}, {x}) AND NOT regexp_matches({x}, {q(f'[{L.NAME_STOPS}]')}))"
+
+
+TAGS = sorted(L.SPEECH_TAGS, key=lambda t: (-len(t), t))
+
+
+def side(s: str) -> str:
+    return f"""{s}0 AS (SELECT doc_id, q_no, {s} AS w, CASE WHEN NOT ({' OR '.join(f"contains({s}, {q(t)})" for t in L.NO_TAGS)}) THEN list_filter({listed(TAGS)}, lambda t: contains({s}, t))[1] END AS tag FROM qs),
+{s}1 AS (SELECT *, {strip('substr(w, 1, instr(w, tag) - 1)')} AS c FROM {s}0), {s}2 AS (SELECT doc_id, q_no, tag, {strip(f"regexp_replace(regexp_replace(c, {q(f'^[{EDGE}]+|[{EDGE}]+$')}, '', 'g'), {q(LEAD)}, '')")} AS n0 FROM {s}1),
+{s}3 AS (SELECT *, {bare('n0')} AS n1 FROM {s}2), {s}4 AS (SELECT *, {bare('n1')} AS n2 FROM {s}3), {s}5 AS (SELECT *, {bare('n2')} AS n3 FROM {s}4), {s}6 AS (SELECT *, {bare('n3')} AS n4 FROM {s}5),
+{s}9 AS (SELECT doc_id, q_no, tag AS {s}_tag, CASE WHEN {names_ok('n0')} THEN n0 WHEN {names_ok('n4')} THEN n4 END AS {s}_name FROM {s}6)"""
+
+
+QUOTED = f"""{DOCS}, q0 AS (SELECT doc_id, clean, string_split_regex(clean, {q(L.QUOTE)}) AS o, regexp_extract_all(clean, {q(L.QUOTE)}) AS m FROM base),
+q1 AS (SELECT doc_id, clean, o, m, unnest(range(1, len(m) + 1)) AS i FROM q0),
+q2 AS (SELECT doc_id, clean, i AS q_no, {total('list_transform(o[1:i], lambda x: length(x))')} + {total('list_transform(m[1:i - 1], lambda x: length(x))')} AS pos, m[i] AS q FROM q1),
+qs AS (SELECT doc_id, q_no, pos, {strip('substr(q, 2, length(q) - 2)')} AS content, {strip('substr(clean, greatest(pos - 12, 0) + 1, pos - greatest(pos - 12, 0))')} AS lft, {strip('substr(clean, pos + length(q) + 1, 12)')} AS rgt FROM q2 WHERE {strip('substr(q, 2, length(q) - 2)')} <> ''),
+{side('lft')}, {side('rgt')},
+qq AS (SELECT doc_id, q_no, pos, content, pos // 1000 AS block, coalesce(lft_name, rgt_name) AS name, CASE WHEN lft_name IS NOT NULL THEN lft_tag WHEN rgt_name IS NOT NULL THEN rgt_tag ELSE coalesce(lft_tag, rgt_tag) END AS tag
+ FROM qs JOIN lft9 USING (doc_id, q_no) JOIN rgt9 USING (doc_id, q_no))"""
+FUNCTION = "CASE " + " ".join(f"WHEN regexp_matches(content, {q(w)}) THEN {q(n)}" for n, w in L.FUNCTIONS) + " ELSE '信息交换' END"
+PUNCT = "“”\"'「」『』…—，。！？!:：;；,、 "
+SPEAKERS = f"""WITH {QUOTED}, s0 AS (SELECT *, regexp_replace(name, {q(f'^[{PUNCT}]+|[{PUNCT}]+$')}, '', 'g') AS v0 FROM qq WHERE name IS NOT NULL),
+{', '.join(f"s{i + 1} AS (SELECT * EXCLUDE (v{i}), CASE WHEN length(v{i}) > 2 THEN {VERB.format(f'v{i}')} ELSE v{i} END AS v{i + 1} FROM s{i})" for i in range(4))},
+s AS (SELECT *, v4 AS speaker FROM s4 WHERE v4 <> '' AND NOT list_contains({listed(['她', '他', '它', '她俩', '他俩', *L.NO_NAMES])}, v4) AND NOT (length(v4) = 2 AND regexp_matches(v4, '^[她他它]')) AND NOT regexp_matches(v4, '[的了吗呢吧啊呀哦嘛]') AND regexp_matches(v4, '^[\\x{{4e00}}-\\x{{9fa5}}A-Za-z·]{{2,6}}$')),
+t AS (SELECT doc_id, speaker, tag AS fav_tag FROM (SELECT doc_id, speaker, tag, row_number() OVER (PARTITION BY doc_id, speaker ORDER BY count(*) DESC, min(q_no)) AS r FROM s GROUP BY doc_id, speaker, tag) WHERE r = 1),
+p AS (SELECT doc_id, speaker, count(*) AS lines, count(DISTINCT block) AS blocks, sum(length(substr(content, 1, 50))) AS chars, count(*) FILTER (WHERE regexp_matches(content, '[？?]$')) AS asks, count(*) FILTER (WHERE regexp_matches(content, '[！!]$')) AS exclaims, count(DISTINCT name) AS spellings FROM s GROUP BY ALL)
+SELECT doc_id, speaker, lines, blocks, CAST(chars AS DOUBLE) / lines AS avg_line, fav_tag, spellings, CASE WHEN asks * 10 > lines * 3 THEN 'asking' WHEN exclaims * 5 > lines THEN 'commanding' ELSE 'stating' END AS tone,
+ CASE WHEN lines >= 3 AND blocks >= 2 THEN 'high' ELSE 'low' END AS confidence FROM p JOIN t USING (doc_id, speaker)"""
+
+ERA_CTE = lines_cte("work_id, chunk_id, era", "(SELECT DISTINCT work_id, chunk_id, era, chunk_text FROM evidence_store)", "chunk_text", "list_contains(" + listed(L.ERAS) + ", era)")
+ERA_MEASURES = f"""WITH {ERA_CTE}, c AS (SELECT work_id, era, {CORE_COLUMNS} FROM base)
+SELECT work_id, era, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in ('long_sentences', 'n_paragraphs', 'n_sentences', 'paragraph_chars', 'sentence_chars', 'short_sentences'))} FROM c GROUP BY work_id, era"""
+ERA_TRENDS = f"""WITH em AS ({ERA_MEASURES}), m AS (SELECT work_id, list_position({listed(L.ERAS)}, era) AS p, unnest(['avg_sentence', 'short_share', 'long_share', 'avg_paragraph']) AS measure,
+ unnest([{ratio('sentence_chars', 'n_sentences')}, {ratio('short_sentences', 'n_sentences')}, {ratio('long_sentences', 'n_sentences')}, {ratio('paragraph_chars', 'n_paragraphs')}]) AS v FROM em),
+s AS (SELECT work_id, measure, list(v ORDER BY p) AS v FROM m GROUP BY ALL), t AS (SELECT *, len(v) AS n, list_sum(v) / len(v) AS mean, list_max(v) - list_min(v) AS span, v[len(v)] - v[1] AS net, list_sum(list_transform(range(2, len(v) + 1), lambda i: abs(v[i] - v[i - 1]))) AS path FROM s)
+SELECT work_id, measure, CAST(n AS INTEGER) AS eras, CASE WHEN n < 2 THEN 'too_few' WHEN span = 0 THEN 'steady' WHEN mean = 0 THEN 'shifting' WHEN span / abs(mean) <= CAST(0.10 AS DOUBLE) THEN 'steady' WHEN abs(net) / path >= 0.5 THEN CASE WHEN net > 0 THEN 'rising' ELSE 'falling' END ELSE 'shifting' END AS trend FROM t"""
+
+MAD = """WITH r AS (SELECT doc_kind, CAST(n_chars AS DOUBLE) AS v FROM documents WHERE n_chars IS NOT NULL AND doc_kind IS NOT NULL), m AS (SELECT doc_kind, median(v) AS med, count(*) AS n FROM r GROUP BY 1),
+d AS (SELECT doc_kind, median(abs(v - med)) AS mad FROM r JOIN m USING (doc_kind) GROUP BY 1), w AS (SELECT doc_kind, n, med, CASE WHEN mad <> 0 THEN mad WHEN med <> 0 THEN abs(med) * CAST(0.05 AS DOUBLE) ELSE 0.5 END AS k FROM m JOIN d USING (doc_kind) WHERE n >= 4)
+SELECT doc_kind, n, med AS median, greatest(CAST(0 AS DOUBLE), med - 3 * k) AS low, med + 3 * k AS high FROM w"""
+
+
+def share_cte(n: int) -> str:
+    return f"""r{n} AS (SELECT DISTINCT substr(text, i, {n}) AS g FROM (SELECT text, unnest(range(1, length(text) - {n - 2})) AS i FROM eval_items)),
+o{n} AS (SELECT doc_id, substr(text, i, {n}) AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - {n - 2})) AS i FROM trial)), s{n} AS (SELECT doc_id, count(*) FILTER (WHERE r{n}.g IS NOT NULL) AS shared_{n}, count(*) AS total_{n} FROM o{n} LEFT JOIN r{n} ON r{n}.g = o{n}.g GROUP BY 1)"""
+
+
+COPY = f"""WITH trial AS (SELECT doc_id, text FROM documents WHERE doc_kind = 'trial'), {', '.join(map(share_cte, (5, 7, 40)))},
+j AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars, {', '.join(f'coalesce(shared_{n}, 0) AS shared_{n}, coalesce(total_{n}, 0) AS total_{n}' for n in (5, 7, 40))} FROM trial LEFT JOIN s5 USING (doc_id) LEFT JOIN s7 USING (doc_id) LEFT JOIN s40 USING (doc_id))
+SELECT *, shared_40 > 0 OR (shared_5 * 100 >= total_5 * 35 AND shared_7 * 100 >= total_7 * 15 AND n_chars >= 200) AS at_risk FROM j"""
+SCENES = f"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), {q(r'(?m)^[ \t\x{3000}]*(?:-{3,}|={3,})[ \t\x{3000}\r]*$')}), lambda s: length({strip('s')})), lambda n: n > 0) AS p FROM documents)
+SELECT doc_id, CAST(len(p) AS INTEGER) AS n_scenes, coalesce(list_min(p), 0) AS shortest, len(p) BETWEEN 2 AND 3 AND coalesce(list_min(p), 0) >= 800 AS meets FROM p"""
+
+
+def normal(x: str) -> str:
+    return f"replace(translate(regexp_replace({x}, {q(f'[{L.WS}]+')}, '', 'g'), '“”‘’—', {q(chr(34) * 2 + chr(39) * 2 + '-')}), '…', '...')"
+
+
+VERIFY = f"""WITH {ONCE}, t AS (SELECT work_id, chunk_id, {normal('chunk_text')} AS t FROM once), i0 AS (SELECT DISTINCT ON (item_id) item_id, work_id, lower(trim(chunk_id)) AS cited, coalesce({normal('quote')}, '') AS q FROM evidence_item ORDER BY item_id, ingested_at DESC),
+v AS (SELECT i0.item_id, 'valid' AS status, t.chunk_id FROM i0 JOIN t ON t.work_id = i0.work_id AND t.chunk_id = cited WHERE length(q) >= 6 AND contains(t.t, q)),
+f AS (SELECT i0.item_id, 'fixed' AS status, min(t.chunk_id) AS chunk_id FROM i0 JOIN t ON t.work_id = i0.work_id AND contains(t.t, q) WHERE length(q) >= 6 AND i0.item_id NOT IN (SELECT item_id FROM v) GROUP BY 1)
+SELECT item_id, coalesce(status, 'downgraded') AS status, chunk_id FROM i0 LEFT JOIN (SELECT * FROM v UNION ALL SELECT * FROM f) x USING (item_id)"""
+CODES = """WITH s AS (SELECT work_id, regexp_replace(coalesce(author_name, '') || '|' || coalesce(title, ''), '^\\|+|\\|+$', '', 'g') AS seed FROM works)
+SELECT work_id, CASE WHEN seed = '' THEN 'WORK_UNKNOWN' ELSE 'WORK_' || upper(substr(sha256(seed), 1, 6)) END AS code FROM s"""
+TERMS = f"tm AS (SELECT work_id, 'author' AS kind, {strip('author_name')} AS term FROM works UNION ALL SELECT work_id, 'title', {strip('title')} FROM works)"
+LEAKS = f"WITH {ONCE}, {TERMS} SELECT work_id, chunk_id, kind, (length(chunk_text) - length(replace(chunk_text, term, ''))) // length(term) AS hits FROM once JOIN tm USING (work_id) WHERE length(term) >= 2 AND contains(chunk_text, term)"
+MASKED = f"""WITH {ONCE}, {TERMS}, n AS (SELECT work_id, max(term) FILTER (WHERE kind = 'author') AS a, max(term) FILTER (WHERE kind = 'title') AS t FROM tm WHERE length(term) >= 2 GROUP BY 1),
+x AS (SELECT o.work_id, o.chunk_id, o.chunk_text AS c, a, t, length(coalesce(t, '')) >= length(coalesce(a, '')) AS first FROM once o LEFT JOIN n USING (work_id)),
+y AS (SELECT *, CASE WHEN first THEN CASE WHEN t IS NULL THEN c ELSE replace(c, t, chr(57345)) END ELSE CASE WHEN a IS NULL THEN c ELSE replace(c, a, chr(57344)) END END AS c1 FROM x),
+z AS (SELECT work_id, chunk_id, CASE WHEN first THEN CASE WHEN a IS NULL THEN c1 ELSE replace(c1, a, chr(57344)) END ELSE CASE WHEN t IS NULL THEN c1 ELSE replace(c1, t, chr(57345)) END END AS c2 FROM y),
+o AS (SELECT work_id, chunk_id, replace(replace(c2, chr(57344), '某作者'), chr(57345), '某书') AS m FROM z)
+SELECT work_id, chunk_id, length(m) AS n_chars, md5(m) AS masked_md5 FROM o"""
+
+BROKEN = "regexp_matches(s, '……[^…\\n]')"
+GARBLED = f"(NOT regexp_matches(s, {q(L.DIALOGUE_LINE)}) AND length(s) > 12 AND NOT regexp_matches(s, {q(L.FUNCTION_WORD)}))"
+SIMILE_RAW = SIMILE.replace("regexp_extract_all(s,", "regexp_extract_all(sr,").replace("regexp_matches(s,", "regexp_matches(sr,")
+ANCHOR_CTE = f"""{ONCE}, st AS (SELECT work_id, chunk_id, era, string_split_regex(chunk_text, {q(L.SENTENCE)}) AS l, regexp_extract_all(chunk_text, {q(L.LINE)}) AS w FROM once),
+ss AS (SELECT work_id, chunk_id, era, i, regexp_replace({strip('l[i]')}, '^[，、；：]+|[，、；：]+$', '', 'g') AS s FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM st)),
+sr AS (SELECT *, regexp_replace(s, {q(L.NOT_LIKE)}, '', 'g') AS sr FROM ss), wl AS (SELECT work_id, chunk_id, era, i, {strip('w[i]')} AS s FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM st)),
+wt AS (SELECT work_id, chunk_id, era, i, regexp_replace(s, '^[，、；： ]+|[，、；： ]+$', '', 'g') AS s FROM wl),
+hit AS (SELECT *, 0 AS k, 'metaphor' AS type FROM (SELECT work_id, chunk_id, era, i, s FROM sr WHERE length(s) BETWEEN 8 AND 80 AND {SIMILE_RAW} AND NOT {GARBLED})
+ UNION ALL SELECT *, 1, 'dash' FROM ss WHERE length(s) BETWEEN 8 AND 60 AND contains(s, '——') AND NOT {BROKEN} UNION ALL SELECT *, 2, 'ellipsis' FROM ss WHERE length(s) BETWEEN 8 AND 60 AND {BROKEN}
+ UNION ALL SELECT *, 3, 'tag' FROM wl WHERE length(s) <= 80 AND (regexp_matches(s, {q(L.TAG_FRONT)}) OR regexp_matches(s, {q(L.TAG_REAR)})) UNION ALL SELECT *, 4, 'short_para' FROM wt WHERE length(s) BETWEEN 2 AND 8 AND regexp_matches(s, '[。！？]$')
+ UNION ALL SELECT *, 5, 'example' FROM ss WHERE length(s) BETWEEN 8 AND 60 AND regexp_matches(s, {q(L.EXAMPLE)})),
+one AS (SELECT work_id, chunk_id, era, k, type, s FROM (SELECT *, row_number() OVER (PARTITION BY work_id, chunk_id, k ORDER BY i) AS r FROM hit) WHERE r = 1 AND (k IN (0, 4) OR NOT {GARBLED}))"""
+ANCHORS = f"WITH {ANCHOR_CTE} SELECT work_id, chunk_id, era, CAST(k AS INTEGER) AS k, type, s AS quote FROM one"
+POOL = f"""WITH {ANCHOR_CTE}, c AS (SELECT *, row_number() OVER (PARTITION BY work_id, chunk_id ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY work_id, chunk_id) AS m, list_sum(list_transform(string_split(chunk_id, ''), lambda x: ord(x))) AS code FROM one),
+g AS (SELECT *, ((i - code % m) % m + m) % m AS turn FROM c WHERE length(s) >= 6), rd AS (SELECT work_id, chunk_id, row_number() OVER (PARTITION BY work_id, era ORDER BY chunk_id) AS rnd FROM once), ne AS (SELECT work_id, count(DISTINCT era) AS eras FROM once GROUP BY 1),
+a AS (SELECT *, row_number() OVER (PARTITION BY work_id, era ORDER BY rnd, turn) AS r FROM g JOIN rd USING (work_id, chunk_id) JOIN ne USING (work_id)),
+b AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY rnd, encode(era), turn) AS rank FROM a WHERE r <= ceil(28.0 / eras)) SELECT work_id, printf('E%04d', rank) AS evidence_id, chunk_id, era, type, s AS quote FROM b WHERE rank <= 28"""
+
 ORACLES = {
     "noise_stats": NOISE, "style_core": style_core("doc_id", DOCS), "sentence_stats": SENTENCE_STATS, "rhetoric": RHETORIC, "similes": SIMILES, "description_mix": DESCRIPTION,
     "low_level": LOW_LEVEL, "vocabulary_richness": VOCABULARY, "top_words": TOP_WORDS, "style_labels": STYLE_LABELS,
+    "chapter_index": CHAPTER_INDEX, "chunk_chapters": CHUNK_CHAPTERS, "volume_asof": VOLUME_ASOF, "fallback_chapters": FALLBACK, "reading_plan": READING_PLAN, "fold_chunks": FOLD,
+    "quotes": f"WITH {QUOTED} SELECT * FROM qq", "speakers": SPEAKERS, "dialogue_functions": f"WITH {QUOTED} SELECT doc_id, {FUNCTION} AS function, count(*) AS n FROM qq GROUP BY ALL", "tag_counts": f"WITH {QUOTED} SELECT tag, count(*) AS n FROM qq WHERE tag IS NOT NULL GROUP BY tag",
+    "era_measures": ERA_MEASURES, "era_trends": ERA_TRENDS, "mad_bands": MAD, "copy_risk": COPY, "scenes": SCENES,
+    "evidence_verify": VERIFY, "work_codes": CODES, "leak_scan": LEAKS, "masked": MASKED, "anchors": ANCHORS, "evidence_pool": POOL,
 }

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from inkmill.functions.frames import table
-from inkmill.operators import noise, packed, style
+from inkmill.operators import compare, dialogue, evidence, noise, packed, structure, style
 from inkmill.plans.oracles import ORACLES
 
 
 def per_document(operator):
-    return lambda spark, directory: operator(table(spark, directory, "documents"), ["doc_id"], "text")
+    return lambda spark, directory: operator(table(spark, directory, "documents", spread=True), ["doc_id"], "text")
 
 
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
@@ -18,12 +18,35 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def noise_stats(spark: SparkSession, directory: str) -> DataFrame:
-    return noise.noise_stats(table(spark, directory, "documents"), "doc_id", "text")
+    return noise.noise_stats(table(spark, directory, "documents", spread=True), "doc_id", "text")
+
+
+def keyed(operator):
+    return lambda spark, directory: operator(table(spark, directory, "documents", spread=True), "doc_id", "text")
+
+
+def over(operator, *tables: str):
+    return lambda spark, directory: operator(*[table(spark, directory, t, spread=t == "evidence_store") for t in tables])
+
+
+def copy_risk(spark: SparkSession, directory: str) -> DataFrame:
+    trials = table(spark, directory, "documents", spread=True).where("doc_kind = 'trial'")
+    return compare.copy_risk(trials, "doc_id", "text", table(spark, directory, "eval_items"), "text")
+
+
+def mad_bands(spark: SparkSession, directory: str) -> DataFrame:
+    return compare.mad_bands(table(spark, directory, "documents"), "doc_kind", "n_chars")
 
 
 QUERIES = {
     "p3_found": p3_found,
     "noise_stats": noise_stats,
     **{f.__name__: per_document(f) for f in (style.style_core, style.sentence_stats, style.rhetoric, style.similes, style.description_mix, style.low_level, style.vocabulary_richness, style.top_words, style.style_labels)},
-}
+    "chapter_index": over(structure.chapter_index, "evidence_store"), "chunk_chapters": over(structure.chunk_chapters, "evidence_store", "chapters"), "volume_asof": over(structure.volume_asof, "chapters"),
+    "fallback_chapters": keyed(structure.fallback_chapters), "reading_plan": over(structure.reading_plan, "chapters"), "fold_chunks": keyed(structure.fold_chunks),
+    "quotes": keyed(dialogue.quotes), "speakers": keyed(dialogue.speakers), "dialogue_functions": keyed(dialogue.dialogue_functions), "tag_counts": keyed(dialogue.tag_counts),
+    "era_measures": over(compare.era_measures, "evidence_store"), "era_trends": over(compare.era_trends, "evidence_store"), "mad_bands": mad_bands, "copy_risk": copy_risk, "scenes": keyed(compare.scenes),
+    "evidence_verify": over(evidence.verify, "evidence_item", "evidence_store"), "work_codes": over(evidence.work_codes, "works"), "leak_scan": over(evidence.leak_scan, "works", "evidence_store"),
+    "masked": over(evidence.masked, "works", "evidence_store"), "anchors": over(evidence.anchors, "evidence_store"), "evidence_pool": over(evidence.evidence_pool, "evidence_store"),
+}
 __all__ = ["ORACLES", "QUERIES"]
