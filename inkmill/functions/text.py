@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lexicons import WS
+
+
+#: The characters of the class WS, one by one.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(c: Column, extra: str = "") -> Column:
-    """Without Unicode white space (and ``extra`` characters) at both ends."""
-    return F.regexp_replace(c, rf"^[{WS}{extra}]+|[{WS}{extra}]+$", "")
+    """Without Unicode white space (and ``extra`` characters) at both ends; looks at the ends only, unlike a regex."""
+    return F.btrim(c, F.lit(BLANKS + extra))
+
+
+def grams(c: Column, n: int) -> Column:
+    """All character n-grams in order; cut from an array, as cutting from a string walks it from its start each time."""
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    whole = F.aggregate(F.array(chars), F.array().cast("array<string>"), lambda _, a: F.transform(F.sequence(F.lit(1), F.greatest(F.size(a) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(a, i, F.lit(n)), "")))
+    return F.when(F.length(c) >= n, whole).otherwise(F.array().cast("array<string>"))
 
 
 def count(c: Column, pattern: str) -> Column:

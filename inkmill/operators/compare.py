@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkmill.functions import lexicons as L
 from inkmill.functions.frames import latest
+from inkmill.functions.text import grams as text_grams
 from inkmill.functions.text import strip
 from inkmill.operators.style import ratio, style_core
 
@@ -68,10 +69,8 @@ def mad_bands(df: DataFrame, group: str, value: str, k: int = 3, least: int = 4)
 
 
 def grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(key, g, c): counts of the hashed character n-grams of each text, combined map-side."""
-    t = F.col(text)
-    each = F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))
-    return df.where(F.length(t) >= n).select(key, F.explode(each).alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).alias("c"))
+    """(key, g, c): counts of the character n-grams of each text, combined map-side."""
+    return df.where(F.length(text) >= n).select(key, F.explode(text_grams(F.col(text), n)).alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).alias("c"))
 
 
 def overlap(trials: DataFrame, key: str, text: str, references: DataFrame, reference_text: str, n: int) -> DataFrame:

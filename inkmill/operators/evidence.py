@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkmill.functions import lexicons as L
 from inkmill.functions.frames import latest
+from inkmill.functions.text import grams as text_grams
 from inkmill.functions.text import strip
 from inkmill.operators.noise import lines
 from inkmill.operators.style import is_simile
@@ -79,8 +80,8 @@ def verify(items: DataFrame, chunks: DataFrame, least: int = 6) -> DataFrame:
     open_ = long_.join(valid.select("item_id"), "item_id", "left_anti").withColumn("g", F.xxhash64("work_id", F.substring("q", 1, least)))
     probes = open_.select("g").distinct()
     small = probes.count() <= MOST_BROADCAST
-    grams = texts.where(F.length("t") >= least).select("work_id", "chunk_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - least + 1), lambda i: F.xxhash64(F.col("work_id"), F.substring(F.col("t"), i, F.lit(least)))))).alias("g"))
-    met = grams.join(F.broadcast(probes) if small else probes, "g", "left_semi")
+    grams = texts.where(F.length("t") >= least).select("work_id", "chunk_id", F.explode(text_grams(F.col("t"), least)).alias("s")).select("work_id", "chunk_id", F.xxhash64("work_id", "s").alias("g"))
+    met = grams.join(F.broadcast(probes) if small else probes, "g", "left_semi").distinct()
     pairs = open_.join(met, ["work_id", "g"]).select("item_id", "work_id", "chunk_id", "q").join(texts, ["work_id", "chunk_id"]).where(F.contains("t", "q"))
     fixed = pairs.groupBy("item_id").agg(F.min("chunk_id").alias("chunk_id")).select("item_id", F.lit("fixed").alias("status"), "chunk_id")
     return cites.select("item_id").join(valid.unionByName(fixed), "item_id", "left").select("item_id", F.coalesce("status", F.lit("downgraded")).alias("status"), "chunk_id")

@@ -15,18 +15,27 @@ def lines(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
 
 
-def classified(line: Column) -> Column:
-    """struct(kind, size, out): kind is blank, kept or a kind of noise; out is what stays of the line."""
-    scrubbed = F.regexp_replace(line, CORRUPT, "")
-    core = strip(scrubbed)
+def classified(found: Column) -> Column:
+    """Per line struct(kind, size, out): kind is blank, kept or a kind of noise; out is what stays of the line.
+
+    Each step is a transform of its own: inside a lambda a repeated expression would be evaluated again.
+    """
+    scrubbed = F.transform(found, lambda x: F.struct(x.alias("x"), F.when(x.rlike(CORRUPT), F.regexp_replace(x, CORRUPT, "")).otherwise(x).alias("y")))
+    cored = F.transform(scrubbed, lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), strip(s["y"]).alias("c")))
+    return F.transform(F.transform(cored, _kind), lambda s: F.struct(s["kind"].alias("kind"), F.length(s["x"]).cast("long").alias("size"), F.when(s["kind"] == "blank", s["x"]).when(s["kind"] == "kept", s["y"]).otherwise("").alias("out")))
+
+
+def _kind(s: Column) -> Column:
+    x, y, c = s["x"], s["y"], s["c"]
+    noisy = F.when(contains_any(c, NOTE_WORDS), "platform_notes").otherwise("watermarks")
     kind = (
-        F.when(strip(line) == "", "blank")
-        .when(line.rlike(CORRUPT) & (F.length(core) < 2), "corrupted_lines")
-        .when(core.rlike(DIVIDER), "structural_dividers")
-        .when(core.rlike(PLATFORM) | core.rlike(NAVIGATION) | core.rlike(LINK), F.when(contains_any(core, NOTE_WORDS), "platform_notes").otherwise("watermarks"))
+        F.when((c == "") & (strip(x) == ""), "blank")
+        .when((F.length(y) != F.length(x)) & (F.length(c) < 2), "corrupted_lines")
+        .when(c.rlike(DIVIDER), "structural_dividers")
+        .when(c.rlike(f"{PLATFORM}|{NAVIGATION}|{LINK}"), noisy)
         .otherwise("kept")
     )
-    return F.struct(kind.alias("kind"), F.length(line).cast("long").alias("size"), F.when(kind == "blank", line).when(kind == "kept", scrubbed).otherwise("").alias("out"))
+    return F.struct(x.alias("x"), y.alias("y"), kind.alias("kind"))
 
 
 def _count(kind: str) -> Column:
@@ -35,7 +44,7 @@ def _count(kind: str) -> Column:
 
 def with_clean(df: DataFrame, text: str) -> DataFrame:
     """df with ``lines`` (classified) and ``clean`` text.  A null text has null lines and null clean text."""
-    return df.withColumn("lines", F.transform(lines(F.col(text)), classified)).withColumn("clean", F.array_join(F.transform("lines", lambda x: x["out"]), ""))
+    return df.withColumn("lines", classified(lines(F.col(text)))).withColumn("clean", F.array_join(F.transform("lines", lambda x: x["out"]), ""))
 
 
 def noise_stats(df: DataFrame, key: str, text: str) -> DataFrame:

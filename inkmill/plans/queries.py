@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from inkmill.functions.frames import table
-from inkmill.operators import compare, dialogue, evidence, noise, packed, structure, style
+from inkmill.operators import compare, dialogue, evidence, noise, packed, structure, style, tokenizer
 from inkmill.plans.oracles import ORACLES
 
 
@@ -44,7 +44,7 @@ QUERIES = {
     **{f.__name__: per_document(f) for f in (style.style_core, style.sentence_stats, style.rhetoric, style.similes, style.description_mix, style.low_level, style.vocabulary_richness, style.top_words, style.style_labels)},
     "chapter_index": over(structure.chapter_index, "evidence_store"), "chunk_chapters": over(structure.chunk_chapters, "evidence_store", "chapters"), "volume_asof": over(structure.volume_asof, "chapters"),
     "fallback_chapters": keyed(structure.fallback_chapters), "reading_plan": over(structure.reading_plan, "chapters"), "fold_chunks": keyed(structure.fold_chunks),
-    "quotes": keyed(dialogue.quotes), "speakers": keyed(dialogue.speakers), "dialogue_functions": keyed(dialogue.dialogue_functions), "tag_counts": keyed(dialogue.tag_counts),
+    "imagery": keyed(tokenizer.imagery), "quotes": keyed(dialogue.quotes), "speakers": keyed(dialogue.speakers), "dialogue_functions": keyed(dialogue.dialogue_functions), "tag_counts": keyed(dialogue.tag_counts),
     "era_measures": over(compare.era_measures, "evidence_store"), "era_trends": over(compare.era_trends, "evidence_store"), "mad_bands": mad_bands, "copy_risk": copy_risk, "scenes": keyed(compare.scenes),
     "evidence_verify": over(evidence.verify, "evidence_item", "evidence_store"), "work_codes": over(evidence.work_codes, "works"), "leak_scan": over(evidence.leak_scan, "works", "evidence_store"),
     "masked": over(evidence.masked, "works", "evidence_store"), "anchors": over(evidence.anchors, "evidence_store"), "evidence_pool": over(evidence.evidence_pool, "evidence_store"),
