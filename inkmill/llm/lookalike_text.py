@@ -180,19 +180,22 @@ def canonical(df: DataFrame, column: str, into: str, keep: list[str]) -> DataFra
     return picked.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in picked.dtypes[:-1]) + f", `{into}` string")
 
 
-def lookalike_pairs(df: DataFrame, key: str, group: str, column: str, blocks: int = 8) -> DataFrame:
+def lookalike_pairs(df: DataFrame, key: str, group: str, column: str) -> DataFrame:
     """Pairs (item_a < item_b) of one ``group`` whose texts look the same but differ in their characters.
 
-    Rows delivered again (same key) count once, the latest text holds in ``df`` beforehand.  Equal texts are first
-    gathered per hashed block into one row, so copies are never paired with each other: only variants meet, and every
-    pair made is part of the result.  Nulls in the key, group or text take part in no pair; empty texts are no quotes.
+    Rows delivered again (same key) count once; the caller keeps one text per key.  The different spellings of one look
+    are paired first, then each spelling is met with its rows, so copies of one spelling are never paired with each
+    other and every row made is part of the result.  No group is gathered in one row; a hot look is split by the
+    adaptive skew join.  Nulls in the key, group or text take part in no pair; texts that show nothing are no quotes.
     """
     rows = canonical(df.where(F.col(column).isNotNull() & F.col(key).isNotNull() & F.col(group).isNotNull()), column, "look", [key, group, column])
-    rows = rows.where(F.length("look") > 0).select(F.col(key).alias("id"), F.col(group).alias("g"), F.xxhash64("look").alias("look_h"), F.col("look"), F.col(column).alias("raw"))
-    variants = rows.groupBy("g", "look", "raw", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_set("id").alias("ids"))
-    mixed = variants.groupBy("g", "look").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where(F.col("lo") != F.col("hi")).select("g", "look")
-    variants = variants.join(mixed, ["g", "look"], "left_semi")
-    a, b = (variants.select("g", "look", F.col("raw").alias(f"raw_{s}"), F.col("ids").alias(f"ids_{s}")) for s in "ab")
-    pairs = a.join(b, ["g", "look"]).where(F.col("raw_a") < F.col("raw_b"))
-    pairs = pairs.select(F.explode("ids_a").alias("x"), "ids_b").select("x", F.explode("ids_b").alias("y"))
-    return pairs.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b")).distinct()
+    rows = rows.where(F.length("look") > 0).select(F.col(key).alias("id"), F.col(group).alias("g"), F.xxhash64("look").alias("h"), "look", F.col(column).alias("raw"))
+    spellings = rows.groupBy("g", "h", "look", "raw").agg(F.count(F.lit(1)).alias("n"))
+    mixed = spellings.groupBy("g", "h", "look").agg(F.count(F.lit(1)).alias("v")).where("v > 1").select("g", "h", "look")
+    spellings = spellings.join(mixed, ["g", "h", "look"], "left_semi")
+    a, b = (spellings.select("g", "h", "look", F.col("raw").alias(f"raw_{s}")) for s in "ab")
+    both = a.join(b, ["g", "h", "look"]).where("raw_a < raw_b").drop("look")
+    first = rows.select("g", "h", F.col("raw").alias("raw_a"), F.col("id").alias("x"))
+    second = rows.select("g", "h", F.col("raw").alias("raw_b"), F.col("id").alias("y"))
+    pairs = both.join(first, ["g", "h", "raw_a"]).drop("raw_a").join(second, ["g", "h", "raw_b"]).where("x <> y")
+    return pairs.select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b")).distinct()
