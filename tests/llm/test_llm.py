@@ -214,6 +214,23 @@ def test_scan_noise(spark):
     assert "灰塔" not in fixed["c1"] and "12" not in fixed["c1"] and "the others looked" in fixed["c3"] and fixed["c4"] is None and fixed["c5"] == ""
 
 
+def test_scan_heads_as_long_as_the_text(spark):
+    body = ["He walked home along the river and thought of", "the winter road while nobody in the house was", "awake and the lamps went out one by one until"]
+    spaced = "T H E   P A I N T E D   W H I S T L E   O F   H O B B S W E L L"
+    inside = [*body, "The Painted Whistle of Hobbswell | The Drum", *body, *body]
+    long_ = [*body, spaced, *body, *body]
+    divided = [*body[:2], "awake and the lamps went out and the oth-", "The Painted Whistle of Hobbswell | The Drum", "ers looked away from the window and said that", *body]
+    same = [*body, "They met near the mill where nobody ever went", *body, "They met near the mill where nobody ever went", *body]
+    page = [*body, "41", "A Long Head That No Table Of Titles Has", *body, "42", "A Long Head That No Table Of Titles Has", *body]
+    store = spark.createDataFrame([("w", f"c{i}", i, "\n".join(x), "scan", 1, "") for i, x in enumerate((inside, long_, divided, same, page))], STORE)
+    works = spark.createDataFrame([("w", "The Painted Whistle of Hobbswell", None)], "work_id string, title string, author_name string")
+    chapters = spark.createDataFrame([], "work_id string, chapter_no int, title string, is_fallback boolean")
+    kinds = sorted((r.chunk_id, r.noise_kind) for r in scan_noise.noise_kinds(store, works, chapters).collect())
+    assert kinds == [("c0", "header"), ("c1", "header"), ("c2", "header"), ("c2", "hyphen"), ("c4", "header"), ("c4", "page_no")]
+    fixed = {r.chunk_id: r.repaired for r in scan_noise.repair(store, works, chapters).collect()}
+    assert "Whistle" not in fixed["c0"] and "T H E" not in fixed["c1"] and "the others looked" in fixed["c2"] and fixed["c3"].count("They met") == 2 and "Long Head" not in fixed["c4"]
+
+
 def test_misread_needs_evidence():
     known = {"门了": 50, "了笑": 40, "forgotten": 90, "other": 80}
     assert scan_noise.misread("门孒笑", known) == [(1, 2, "了")]
