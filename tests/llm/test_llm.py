@@ -238,6 +238,14 @@ def test_misread_needs_evidence():
     assert scan_noise.misread("he had forgottcn it, ot■er", known) == [(7, 16, "forgotten"), (23, 24, "")]
 
 
+def test_misread_in_a_large_corpus():
+    for scale in (1, 10, 1000):
+        known = {"whcre": 5 * scale, "where": 2087 * scale, "arc": 100 * scale, "are": 1500 * scale}
+        assert scan_noise.misread("whcre the arc is", known) == [(0, 5, "where")]
+    readings = {}
+    assert scan_noise.misread("whcre whcre", known, readings) == [(0, 5, "where"), (6, 11, "where")] and readings == {"whcre": "where"}
+
+
 @pytest.mark.parametrize("line,number", [("46", 46), ("- 183 -", 183), ("Page 7", 7), ("P.262", 262), ("第131页", 131), ("第 47 页 共 412 页", 47), ("263/412", 263), ("[129]", 129), ("三四二", 342), ("一百零五", 105), ("cccxlii", 342), ("十二", 12)])
 def test_page_numbers(line, number):
     m = scan_noise.NUMBER.fullmatch(line)
