@@ -34,6 +34,11 @@ def copy_risk(spark: SparkSession, directory: str) -> DataFrame:
     return compare.copy_risk(trials, "doc_id", "text", table(spark, directory, "eval_items"), "text")
 
 
+def copy_risk_books(spark: SparkSession, directory: str) -> DataFrame:
+    trials = table(spark, directory, "documents", spread=True).where("doc_kind = 'trial'")
+    return compare.corpus_copy_risk(trials, "doc_id", "text", table(spark, directory, "evidence_store", spread=True), "chunk_text")
+
+
 def mad_bands(spark: SparkSession, directory: str) -> DataFrame:
     return compare.mad_bands(table(spark, directory, "documents"), "doc_kind", "n_chars")
 
@@ -45,7 +50,7 @@ QUERIES = {
     "chapter_index": over(structure.chapter_index, "evidence_store"), "chunk_chapters": over(structure.chunk_chapters, "evidence_store", "chapters"), "volume_asof": over(structure.volume_asof, "chapters"),
     "fallback_chapters": keyed(structure.fallback_chapters), "reading_plan": over(structure.reading_plan, "chapters"), "fold_chunks": keyed(structure.fold_chunks),
     "imagery": keyed(tokenizer.imagery), "quotes": keyed(dialogue.quotes), "speakers": keyed(dialogue.speakers), "dialogue_functions": keyed(dialogue.dialogue_functions), "tag_counts": keyed(dialogue.tag_counts),
-    "era_measures": over(compare.era_measures, "evidence_store"), "era_trends": over(compare.era_trends, "evidence_store"), "mad_bands": mad_bands, "copy_risk": copy_risk, "scenes": keyed(compare.scenes),
+    "era_measures": over(compare.era_measures, "evidence_store"), "era_trends": over(compare.era_trends, "evidence_store"), "mad_bands": mad_bands, "copy_risk": copy_risk, "copy_risk_books": copy_risk_books, "scenes": keyed(compare.scenes),
     "evidence_verify": over(evidence.verify, "evidence_item", "evidence_store"), "work_codes": over(evidence.work_codes, "works"), "leak_scan": over(evidence.leak_scan, "works", "evidence_store"),
     "masked": over(evidence.masked, "works", "evidence_store"), "anchors": over(evidence.anchors, "evidence_store"), "evidence_pool": over(evidence.evidence_pool, "evidence_store"),
 }

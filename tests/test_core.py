@@ -98,6 +98,24 @@ def test_grams_and_overlap(spark):
     assert rows[1].at_risk and not rows[2].at_risk
 
 
+def test_corpus_copy_risk_agrees_with_all_grams(spark):
+    body = "山门夜雨连绵不绝，他提着灯走过长廊。The lamps went out one by one until nobody was awake"
+    trials = spark.createDataFrame([(1, "前言" + body[10:70] + "后记"), (2, "nothing of it"), (3, None), (4, ""), (5, body[:39]), (6, body * 5), (7, "灯走过长" * 60)], "id long, text string")
+    refs = spark.createDataFrame([(body,), (body,), (None,), ("",), ("灯走过长灯走",), ("短",)], "r string")
+    mine, brute = (sorted(map(tuple, f(trials, "id", "text", refs, "r").collect())) for f in (compare.corpus_copy_risk, compare.copy_risk))
+    assert mine == brute and [r[0] for r in mine if r[-1]] == [1, 6]
+    assert not compare.corpus_copy_risk(trials, "id", "text", refs.limit(0), "r").where("at_risk").count() and not compare.corpus_copy_risk(trials.limit(0), "id", "text", refs, "r").count()
+
+
+def test_copies_from_the_books_are_seen(spark, tmp_path):
+    from inkmill.plans.queries import QUERIES
+
+    stretch = "他提着灯走过长廊心里想着旧事一路上没有人说话只有雨声敲打屋檐像旧年的更鼓门外的人影渐渐散去"
+    spark.createDataFrame([(1, "trial", "甲" + stretch), (2, "review", stretch)], "doc_id long, doc_kind string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("w", "c1", "前" + stretch)], "work_id string, chunk_id string, chunk_text string").write.parquet(str(tmp_path / "evidence_store.parquet"))
+    assert [(r.doc_id, r.at_risk) for r in QUERIES["copy_risk_books"](spark, str(tmp_path)).collect()] == [(1, True)]
+
+
 def test_verify(spark):
     chunks = spark.createDataFrame([("w", "c001", 0, "他说——走吧走吧走吧", "e", 1), ("w", "c002", 10, "灯火阑珊处那人回首", "e", 1)], "work_id string, chunk_id string, start_pos long, chunk_text string, era string, ingested_at long")
     items = spark.createDataFrame([(1, "w", " C001", "走吧走吧走吧", 1), (2, "w", "c001", "灯火阑珊处那人", 1), (3, "w", "c001", "没有这句话的", 1), (4, "w", None, None, 1), (1, "w", " C001", "走吧走吧走吧", 2)], "item_id long, work_id string, chunk_id string, quote string, ingested_at long")
