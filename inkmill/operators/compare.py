@@ -1,4 +1,4 @@
-"""Comparison over periods and against references (M1-M2, F1-F9): trends, bands, n-gram overlap, copy risk, scenes."""
+"""Comparison over periods and against references (M1, M2 for four of six measures, F1 without heading lines, F2, F5, F7-F9 with a threshold in place of the F8 length): trends, bands, n-gram overlap, copy risk, scenes."""
 
 from __future__ import annotations
 

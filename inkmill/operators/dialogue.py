@@ -1,4 +1,4 @@
-"""Dialogue (D1-D19): quotations with their surroundings, speaker and tag beside them, speaker profiles, functions."""
+"""Dialogue (D1-D12, D15 without top lists, D18 without its cut, D19): quotations with their surroundings, speaker and tag beside them, speaker profiles, functions."""
 
 from __future__ import annotations
 

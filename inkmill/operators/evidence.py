@@ -1,4 +1,4 @@
-"""Evidence (E4-E11) and identity (V1-V8): anchors, the candidate pool, quote verification, leak scan and masking."""
+"""Evidence (E4-E7, E9, E10) and identity (V1 for author and title, V2, V3, V7, V8): anchors, the candidate pool, quote verification, leak scan and masking."""
 
 from __future__ import annotations
 
@@ -98,20 +98,29 @@ def terms(works: DataFrame) -> DataFrame:
     return works.select("work_id", F.explode(F.array(F.struct(F.lit("author").alias("kind"), strip(F.col("author_name")).alias("term")), F.struct(F.lit("title").alias("kind"), strip(F.col("title")).alias("term")))).alias("x")).select("work_id", "x.kind", "x.term").where(F.length("term") >= 2)
 
 
+def whole_word(term: Column) -> Column:
+    """A pattern for a term of ASCII characters that stands as a word of its own; null for other terms."""
+    quoted = F.concat(F.lit(r"\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return F.when(term.rlike(r"^[\x00-\x7f]+$"), F.concat(F.lit("(?<![A-Za-z0-9_])"), quoted, F.lit("(?![A-Za-z0-9_])")))
+
+
 def leak_scan(works: DataFrame, chunks: DataFrame) -> DataFrame:
     """(work_id, chunk_id, kind, hits): author and title names inside a work's own text; ASCII names only as whole words."""
     once = latest(chunks, ["work_id", "chunk_id"], "ingested_at", ["chunk_text"])
     both = once.join(terms(works), "work_id").where(F.contains("chunk_text", "term"))
-    hits = (F.length("chunk_text") - F.length(F.replace("chunk_text", "term", F.lit("")))) / F.length("term")
-    return both.select("work_id", "chunk_id", "kind", F.floor(hits).alias("hits"))
+    anywhere = F.floor((F.length("chunk_text") - F.length(F.replace("chunk_text", "term", F.lit("")))) / F.length("term"))
+    word = whole_word(F.col("term"))
+    hits = F.when(word.isNotNull(), F.regexp_count("chunk_text", word).cast("long")).otherwise(anywhere)
+    return both.select("work_id", "chunk_id", "kind", hits.alias("hits")).where("hits > 0")
 
 
 def masked(works: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunks with author and title replaced by labels in one pass, longest term first: no label is replaced again."""
+    """Chunks with author and title replaced by labels in one pass, longest term first, ASCII names only as whole words: no label is replaced again."""
     once = latest(chunks, ["work_id", "chunk_id"], "ingested_at", ["chunk_text"])
     names = terms(works).groupBy("work_id").agg(F.max(F.when(F.col("kind") == "author", F.col("term"))).alias("author"), F.max(F.when(F.col("kind") == "title", F.col("term"))).alias("title"))
     both = once.join(names, "work_id", "left")
-    swap = lambda c, t, mark: F.when(t.isNotNull(), F.replace(c, t, F.lit(mark))).otherwise(c)
+    put = lambda c, t, mark: F.when(whole_word(t).isNotNull(), F.regexp_replace(c, whole_word(t), F.lit(mark))).otherwise(F.replace(c, t, F.lit(mark)))
+    swap = lambda c, t, mark: F.when(F.contains(c, t), put(c, t, mark)).otherwise(c)
     a, t, x = F.col("author"), F.col("title"), F.col("chunk_text")
     first = F.length(F.coalesce(t, F.lit(""))) >= F.length(F.coalesce(a, F.lit("")))
     one, two = "\ue000", "\ue001"  # stand-ins that no text holds, so a label is never masked again

@@ -1,4 +1,4 @@
-"""Style measures per text (A1-A14, R1-R3, D19-D20, W1-W13, K2-K4, G14), as expressions of one row.
+"""Style measures per text (A1-A14, R1-R3, D19-D20, W1-W7, W11-W13, K2-K4, G14), as expressions of one row.
 
 Counts come out as integers and ratios as one division of integers, unrounded.  Texts are cleaned of noise lines
 first.  Null, empty and blank texts give zero counts; ratios without a denominator are computed over at least 1.

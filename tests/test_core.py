@@ -98,6 +98,14 @@ def test_grams_and_overlap(spark):
     assert rows[1].at_risk and not rows[2].at_risk
 
 
+def test_ascii_names_are_whole_words(spark):
+    works = spark.createDataFrame([("w", "Ash", "林砚"), ("v", "The C++ \\E Way", None)], "work_id string, author_name string, title string").select("work_id", "author_name", "title")
+    chunks = spark.createDataFrame([("w", "c1", "Ashes washed Ash, and Ash_1; 林砚说", 1), ("w", "c2", "only Ashes", 1), ("v", "c1", "(The C++ \\E Way) Then", 1)], "work_id string, chunk_id string, chunk_text string, ingested_at long")
+    assert sorted(map(tuple, evidence.leak_scan(works, chunks).collect())) == [("v", "c1", "author", 1), ("w", "c1", "author", 1), ("w", "c1", "title", 1)]
+    sizes = {(r.work_id, r.chunk_id): r.n_chars for r in evidence.masked(works, chunks).collect()}
+    assert sizes == {("w", "c1"): len("Ashes washed 某作者, and Ash_1; 某书说"), ("w", "c2"): 10, ("v", "c1"): len("(某作者) Then")}
+
+
 def test_corpus_copy_risk_agrees_with_all_grams(spark):
     body = "山门夜雨连绵不绝，他提着灯走过长廊。The lamps went out one by one until nobody was awake"
     trials = spark.createDataFrame([(1, "前言" + body[10:70] + "后记"), (2, "nothing of it"), (3, None), (4, ""), (5, body[:39]), (6, body * 5), (7, "灯走过长" * 60)], "id long, text string")
