@@ -199,14 +199,18 @@ def starts(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     keep = (letters != t.OTHER) | np.concatenate(([True], letters[:-1] != t.OTHER))
     spots = np.flatnonzero(keep)
     events = letters[spots]
-    state = t.run(events)
-    for _ in range(6):  # an opening mark that its line never closes is no mark
-        ends = np.flatnonzero((events == t.LINE) & (t.depth[state] > 0))
+    line = np.cumsum(events == t.LINE) - (events == t.LINE)
+    todo = np.arange(len(events))
+    while True:  # an opening mark that its line never closes is no mark; each round takes one from each such line, and only these go on
+        part = events[todo]
+        state = t.run(part)
+        ends = np.flatnonzero((part == t.LINE) & (t.depth[state] > 0))
         if not len(ends):
             break
-        opened = np.flatnonzero((t.depth[state] == 0) & (t.depth[t.step[events, state]] > 0))
-        events[np.unique(opened[np.searchsorted(opened, ends) - 1])] = t.OTHER
-        state = t.run(events)
+        opened = np.flatnonzero((t.depth[state] == 0) & (t.depth[t.step[part, state]] > 0))
+        events[todo[np.unique(opened[np.searchsorted(opened, ends) - 1])]] = t.OTHER
+        todo = todo[np.isin(line[todo], line[todo[ends]])]
+    state = t.run(events)
     after_state = t.step[events, state]
     outside = t.depth[state] == 0
 

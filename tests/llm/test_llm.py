@@ -62,6 +62,13 @@ def test_sentences(text, expected):
     assert [text[a - 1 : b - 1].strip().split("\n")[0] for a, b in zip(starts, [*starts[1:], len(text) + 1])] == expected
 
 
+def test_many_unclosed_marks_in_a_line():
+    for n in (1, 6, 7, 8, 30):
+        text = "“好，" * n + "他走了。她来了。\n好。"
+        starts = sentences.starts_array(pa.array([text])).to_pylist()[0]
+        assert [text[a - 1] for a in starts] == ["“", "她", "好"]
+
+
 def test_prefix_scan_equals_stepping():
     t = sentences.transducer()
     rng = np.random.default_rng(3)
