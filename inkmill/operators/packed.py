@@ -237,12 +237,20 @@ def _pieces(column: str, known: list[str]):
 
 
 def dictionary(fields: DataFrame, column: str, min_share: float = 2e-5, min_count: int = 3) -> list[str]:
-    """Known whole values: at least ``min_share`` of all pieces of the column (hence at most 1 / min_share values)."""
+    """Known whole values of the column, seen ``min_count`` times: all with a separator inside, as only these keep text from
+    being cut; of the others, which decide between two covers, those with ``min_share`` of all pieces (at most 1 / min_share)."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            inner = [any(kind != "text" for kind, _ in atoms(v)) for v in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inner, pa.bool_())], ["v", "n", "held"])
+
     pieces = fields.select(F.col(column).alias("f")).where(F.length(F.trim("f")) > 0).mapInArrow(_pieces("f", []), "f string, values array<string>")
     counted = pieces.select(F.explode("values").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     sums = counted.agg(F.sum("n").alias("t")).collect()[0]["t"] or 0
     floor = max(min_count, -(-sums * min_share // 1))
-    return sorted(r["v"] for r in counted.where(F.col("n") >= F.lit(floor)).where(F.length("v") <= 400).select("v").collect())
+    known = counted.where(F.col("n") >= min_count).mapInArrow(held, "v string, n long, held boolean")
+    return sorted(r["v"] for r in known.where(F.col("held") | (F.col("n") >= F.lit(floor)) & (F.length("v") <= 400)).select("v").collect())
 
 
 def unpack(df: DataFrame, key: str, column: str, min_share: float = 2e-5, min_count: int = 3, pos: str = "pos", value: str = "value") -> DataFrame:

@@ -144,6 +144,13 @@ def test_packed_dictionary_protects_values():
     assert packed.segment("少用甲；无例外；乙", known) == ["少用甲；无例外", "乙"]
 
 
+def test_dictionary_keeps_values_with_separators(spark):
+    long_ = "少用；" + "长" * 500
+    rows = [('"少用甲；无例外"|乙',)] * 3 + [(f'"{long_}"|乙',)] * 3 + [("常见",)] * 50 + [("少见",)] * 3
+    known = packed.dictionary(spark.createDataFrame(rows, "f string"), "f", min_share=0.1)
+    assert known == sorted(["少用甲；无例外", long_, "常见"])
+
+
 def test_unpack(spark):
     df = spark.createDataFrame([(1, "甲；乙", 5), (1, "甲；乙", 6), (2, None, 7), (3, "", 8)], "contract_id long, enemy_clauses string, pos long")
     rows = sorted(packed.unpack(df, "contract_id", "enemy_clauses", pos="clause_pos", value="clause_text").collect())
