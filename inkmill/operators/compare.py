@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inkmill.functions import lexicons as L
 from inkmill.functions.codepoints import decode, parts
-from inkmill.functions.frames import latest
+from inkmill.functions.frames import latest_texts
 from inkmill.functions.text import grams as text_grams
 from inkmill.functions.text import strip
 from inkmill.operators.style import ratio, style_core
@@ -38,7 +38,7 @@ def trend(v: Column) -> Column:
 
 def era_measures(chunks: DataFrame) -> DataFrame:
     """Summed counts per work and period: additive over chunks, combined before the shuffle, so a hot work is no matter."""
-    once = latest(chunks, ["work_id", "chunk_id"], "ingested_at", ["chunk_text", "era"])
+    once = latest_texts(chunks, ["work_id", "chunk_id"], "ingested_at", ["chunk_text", "era"])
     core = style_core(once.where(F.col("era").isin(L.ERAS)), ["work_id", "chunk_id", "era"], "chunk_text")
     sums = sorted({c for pair in MEASURES.values() for c in pair})
     return core.groupBy("work_id", "era").agg(*[F.sum(c).alias(c) for c in sums])

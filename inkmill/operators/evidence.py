@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmill.functions import lexicons as L
-from inkmill.functions.frames import latest
+from inkmill.functions.frames import latest, latest_texts
 from inkmill.functions.text import grams as text_grams
 from inkmill.functions.text import strip
 from inkmill.operators.noise import lines
@@ -23,7 +23,7 @@ def garbled(s: Column) -> Column:
 def anchors(chunks: DataFrame) -> DataFrame:
     """(work_id, chunk_id, era, type, quote): the first anchor of each type per chunk; a garbled first hit ends the search,
     but for metaphors, which go on to the next."""
-    once = latest(chunks, ["work_id", "chunk_id"], "ingested_at", ["chunk_text", "era"])
+    once = latest_texts(chunks, ["work_id", "chunk_id"], "ingested_at", ["chunk_text", "era"])
     trim = "^[，、；：]+|[，、；：]+$"
     sents = F.transform(F.split("chunk_text", L.SENTENCE, -1), lambda s: F.regexp_replace(strip(s), trim, ""))
     rows = F.transform(lines(F.col("chunk_text")), lambda s: strip(s))
@@ -73,7 +73,7 @@ def verify(items: DataFrame, chunks: DataFrame, least: int = 6) -> DataFrame:
 
     Other chunks are reached by the hash of the quote's first characters, never by pairing quotes with all chunks.
     """
-    texts = latest(chunks, ["work_id", "chunk_id"], "ingested_at", ["chunk_text"]).select("work_id", "chunk_id", normal(F.col("chunk_text")).alias("t"))
+    texts = latest_texts(chunks, ["work_id", "chunk_id"], "ingested_at", ["chunk_text"]).select("work_id", "chunk_id", normal(F.col("chunk_text")).alias("t"))
     cites = latest(items, ["item_id"], "ingested_at", ["work_id", "chunk_id", "quote"]).select("item_id", "work_id", F.lower(F.trim("chunk_id")).alias("cited"), F.coalesce(normal(F.col("quote")), F.lit("")).alias("q"))
     long_ = cites.where(F.length("q") >= least)
     valid = long_.join(texts.withColumnRenamed("chunk_id", "cited"), ["work_id", "cited"]).where(F.contains("t", "q")).select("item_id", F.lit("valid").alias("status"), F.col("cited").alias("chunk_id"))
@@ -106,7 +106,7 @@ def whole_word(term: Column) -> Column:
 
 def leak_scan(works: DataFrame, chunks: DataFrame) -> DataFrame:
     """(work_id, chunk_id, kind, hits): author and title names inside a work's own text; ASCII names only as whole words."""
-    once = latest(chunks, ["work_id", "chunk_id"], "ingested_at", ["chunk_text"])
+    once = latest_texts(chunks, ["work_id", "chunk_id"], "ingested_at", ["chunk_text"])
     both = once.join(terms(works), "work_id").where(F.contains("chunk_text", "term"))
     anywhere = F.floor((F.length("chunk_text") - F.length(F.replace("chunk_text", "term", F.lit("")))) / F.length("term"))
     word = whole_word(F.col("term"))
@@ -116,7 +116,7 @@ def leak_scan(works: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def masked(works: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks with author and title replaced by labels in one pass, longest term first, ASCII names only as whole words: no label is replaced again."""
-    once = latest(chunks, ["work_id", "chunk_id"], "ingested_at", ["chunk_text"])
+    once = latest_texts(chunks, ["work_id", "chunk_id"], "ingested_at", ["chunk_text"])
     names = terms(works).groupBy("work_id").agg(F.max(F.when(F.col("kind") == "author", F.col("term"))).alias("author"), F.max(F.when(F.col("kind") == "title", F.col("term"))).alias("title"))
     both = once.join(names, "work_id", "left")
     put = lambda c, t, mark: F.when(whole_word(t).isNotNull(), F.regexp_replace(c, whole_word(t), F.lit(mark))).otherwise(F.replace(c, t, F.lit(mark)))

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmill.functions import lexicons as L
-from inkmill.functions.frames import latest
+from inkmill.functions.frames import latest, latest_texts
 from inkmill.functions.text import strip, total
 from inkmill.operators.noise import lines
 
 
 def heading_lines(chunks: DataFrame) -> DataFrame:
     """(work_id, pos, title) of heading lines; pos is 0-based on the axis of start_pos.  Chunks delivered again count once."""
-    once = latest(chunks, ["work_id", "chunk_id"], "ingested_at", ["start_pos", "chunk_text"])
+    once = latest_texts(chunks, ["work_id", "chunk_id"], "ingested_at", ["start_pos", "chunk_text"])
     found = once.select("work_id", "start_pos", lines(F.col("chunk_text")).alias("l"))
     heads = F.filter(F.transform("l", lambda x, i: F.struct(i.alias("i"), strip(x).alias("title"))), lambda h: h["title"].rlike(L.HEADING))
     at = lambda h: F.struct((F.col("start_pos") + total(F.transform(F.slice("l", F.lit(1), h["i"]), lambda x: F.length(x).cast("long")))).alias("pos"), h["title"].alias("title"))
