@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.functions.frames import latest, table
+from inkmill.functions.frames import latest, latest_texts, table
 
 from . import containers, leakage, lookalike_text, scan_noise, splitting, subjects
 from . import sentences as sentence_ops
@@ -35,7 +35,7 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p4_pieces(spark: SparkSession, directory: str) -> DataFrame:
-    chunks = latest(splitting.oversized(table(spark, directory, "evidence_store"), 2400), ["work_id", "chunk_id"], "ingested_at", ["chunk_text"])
+    chunks = latest_texts(splitting.oversized(table(spark, directory, "evidence_store"), 2400), ["work_id", "chunk_id"], "ingested_at", ["chunk_text"])
     return splitting.split(chunks, "chunk_text", ["work_id", "chunk_id"])
 
 
@@ -44,7 +44,7 @@ def p4_item_pieces(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p5_sentences(spark: SparkSession, directory: str) -> DataFrame:
-    chunks = latest(table(spark, directory, "evidence_store"), ["work_id", "chunk_id"], "ingested_at", ["chunk_text"])
+    chunks = latest_texts(table(spark, directory, "evidence_store"), ["work_id", "chunk_id"], "ingested_at", ["chunk_text"])
     return sentence_ops.sentences(chunks, "chunk_text", ["work_id", "chunk_id"])
 
 

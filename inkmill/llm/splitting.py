@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkmill.functions.codepoints import decode, parts
-from inkmill.functions.frames import latest
+from inkmill.functions.frames import latest, latest_texts
 
 from .chars import BREAK, MARK, SPACE, look
 from .leakage import fold
@@ -132,7 +132,7 @@ def assign_pieces(chunks: DataFrame, items: DataFrame, limit: int = 2400, low: i
     whole, null where the chunk does not hold the quote (or the quote is null or has no letters).
     Items meet their chunk as one list per chunk and hashed part of 2000, so a much-cited chunk is spread.
     """
-    texts = latest(oversized(chunks, limit), ["work_id", "chunk_id"], "ingested_at", ["chunk_text"])
+    texts = latest_texts(oversized(chunks, limit), ["work_id", "chunk_id"], "ingested_at", ["chunk_text"])
     cites = latest(items.where("item_id is not null"), ["item_id"], "ingested_at", ["work_id", "chunk_id", "quote"])
     cites = cites.withColumn("cited", F.lower(F.trim("chunk_id"))).where("work_id is not null and cited <> ''")
     keys = texts.select("work_id", "chunk_id", F.lower(F.trim("chunk_id")).alias("cited"))

@@ -175,27 +175,53 @@ def test_leaks(spark):
 
 
 # problem 8
-def test_bisect_separates_and_model_holds_out():
+SUBJECT_TERMS = {s: [f"{s}word{chr(97 + k)}" for k in range(20)] for s in ("law", "music", "sport")}
+FILLER = ["table", "river", "stone", "window", "garden", "letter", "candle", "road"]
+
+
+def subject_doc(subject, share):
+    out = []
+    for _ in range(24):
+        if subject and random.random() < share:
+            out.append(f"The {random.choice(SUBJECT_TERMS[subject])} met the {random.choice(SUBJECT_TERMS[subject])} near the {random.choice(FILLER)}.")
+        else:
+            out.append(f"The {random.choice(FILLER)} stood by the {random.choice(FILLER)}.")
+    return " ".join(out)
+
+
+def subject_agreement():
     random.seed(8)
-    terms = {s: [f"{s}word{chr(97 + k)}" for k in range(20)] for s in ("law", "music", "sport")}
-    filler = ["table", "river", "stone", "window", "garden", "letter", "candle", "road"]
-
-    def doc(subject, share):
-        out = []
-        for _ in range(24):
-            if subject and random.random() < share:
-                out.append(f"The {random.choice(terms[subject])} met the {random.choice(terms[subject])} near the {random.choice(filler)}.")
-            else:
-                out.append(f"The {random.choice(filler)} stood by the {random.choice(filler)}.")
-        return " ".join(out)
-
-    train = [(s, doc(s, 0.6)) for _ in range(60) for s in (*terms, None)]
-    model = subjects.fit([t for _, t in train], [{s or "general"} for s, _ in train], [*terms, "general"])
-    test = [(s, doc(s, 0.5)) for _ in range(15) for s in (*terms, None)]
+    train = [(s, subject_doc(s, 0.6)) for _ in range(60) for s in (*SUBJECT_TERMS, None)]
+    model = subjects.fit([t for _, t in train], [{s or "general"} for s, _ in train], [*SUBJECT_TERMS, "general"])
+    test = [(s, subject_doc(s, 0.5)) for _ in range(15) for s in (*SUBJECT_TERMS, None)]
     points, offsets = decode(pa.array([t for _, t in test]))
     found, total = model.mixtures(points, offsets)
     got = [{model.subjects[k] for k in np.flatnonzero(f >= 0.15 * n)} for f, n in zip(found, total)]
-    assert sum(g == ({s} if s else set()) for g, (s, _) in zip(got, test)) / len(test) >= 0.9
+    return sum(g == ({s} if s else set()) for g, (s, _) in zip(got, test)) / len(test)
+
+
+def test_leaves_hold_out():
+    assert subject_agreement() >= 0.9
+
+
+def test_subjects_come_from_the_leaves(monkeypatch):
+    monkeypatch.setattr(subjects, "bisect", lambda vectors, leaves: np.random.default_rng(0).integers(0, leaves, len(vectors)))
+    assert subject_agreement() < 0.5
+
+
+def test_mixture_of_two_subjects():
+    random.seed(9)
+    train = [(s, subject_doc(s, 0.6)) for _ in range(60) for s in (*SUBJECT_TERMS, None)]
+    model = subjects.fit([t for _, t in train], [{s or "general"} for s, _ in train], [*SUBJECT_TERMS, "general"])
+    points, offsets = decode(pa.array([subject_doc("law", 0.9) + " " + subject_doc("sport", 0.9)]))
+    found, total = model.mixtures(points, offsets)
+    assert {model.subjects[k] for k in np.flatnonzero(found[0] >= 0.15 * total[0])} == {"law", "sport"}
+
+
+def test_identical_texts_share_their_labels(spark):
+    docs = spark.createDataFrame([(1, "a text", 0), (2, "a text", 0), (3, "x" * 50, 0), (4, None, 0)], "doc_id long, text string, subject int")
+    labels = spark.createDataFrame([(1, " LAW "), (2, "music"), (3, "law"), (9, "law"), (None, "law")], "doc_id long, subject string")
+    assert subjects.sample(docs, labels, ["law", "music"], 10, 40) == (["a text"], [{"law", "music"}])
 
 
 def test_subjects_edge_cases(spark):
