@@ -174,6 +174,41 @@ def test_leaks(spark):
     assert leakage.leaks(d, i.limit(0)).count() == 0 and leakage.leaks(d.limit(0), i).count() == 0
 
 
+def test_leaks_do_not_reach_into_the_next_document(spark):
+    random.seed(16)
+    passage = "".join(random.choices([chr(c) for c in range(0x4E00, 0x5200)], k=100))
+    docs = spark.createDataFrame([(1, passage[:30]), (2, passage[31:61]), (3, passage[10:70])], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(7, "zh", passage)], "item_id long, lang string, text string")
+    assert [(r.doc_id, r.start_pos, r.end_pos) for r in leakage.leaks(docs, items).collect()] == [(3, 1, 60)]
+    built = leakage.Passages([(7, "text", passage, "zh")], leakage.LEAST, leakage.GRAM)
+    for cut in range(20, 81):
+        assert built.search(*decode(pa.array([passage[:cut], passage[cut + 1 :]]))) == [(r, 0, 0, n) for r, n in enumerate((cut, 99 - cut)) if n >= 50]
+
+
+@pytest.mark.parametrize("lang,first,last,n", [("zh", 0x4E00, 0x9000, 300), ("en", 0x61, 0x7B, 500)])
+def test_changed_characters_within_the_guarantee(lang, first, last, n):
+    random.seed(17)
+    letters = [chr(c) for c in range(first, last)]
+    passage = "".join(random.choices(letters, k=n))
+    built = leakage.Passages([(1, "text", passage, lang)], leakage.LEAST, leakage.GRAM)
+    least = leakage.LEAST[lang]
+    for turn in range(200):
+        at = random.randrange(n - 2 * least)
+        part = list(passage[at : at + least + 20])
+        for k in random.sample(range(10, least + 10), least // 10) if turn else range(8, len(part) - 8, 9):
+            part[k] = "龘" if lang == "zh" else "é"
+        text = "".join(random.choices(letters, k=40)) + "".join(part) + "".join(random.choices(letters, k=40))
+        assert built.search(*decode(pa.array([text]))), (turn, at)
+
+
+def test_leaks_of_questions_in_blocks(spark):
+    items = spark.createDataFrame([(1, "en", "the long passage of the test " * 8, "Who carried the lantern over the bridge?", "Zanithel"), (2, "en", None, None, None)], "item_id long, lang string, text string, question string, answer string")
+    docs = spark.createDataFrame([(1, "He asked: who carried the LANTERN, over the bridge!"), (2, "It was Zanithel."), (3, "the long passage of the test " * 6), (4, "who carried the lantern")], "doc_id long, text string")
+    for most in (10, 10_000):
+        rows = leakage.leaks(docs, items, fields=("text", "question", "answer"), most_chars=most).collect()
+        assert sorted((r.doc_id, r.field) for r in rows) == [(1, "question"), (2, "answer"), (3, "text")]
+
+
 # problem 8
 SUBJECT_TERMS = {s: [f"{s}word{chr(97 + k)}" for k in range(20)] for s in ("law", "music", "sport")}
 FILLER = ["table", "river", "stone", "window", "garden", "letter", "candle", "road"]
