@@ -8,6 +8,10 @@ allows are pruned, and the search steps back to the next-best filling when the w
 incumbent (best-fit decreasing at first) cannot be beaten.  Bins that are not full enough are opened again and their
 items packed in a second round, so that the blocks cost next to no room.
 
+The search takes exponential time in the worst case, so ``Search`` limits it: fillings kept per bin, nodes walked per
+bin, steps per block.  Beyond a limit the best packing so far is used, which never has more bins than best-fit
+decreasing.  ``EXACT`` has no limits: every block then gets as few bins as there can be.
+
 Defined results: null and empty texts have no tokens and take part with size 0 in some container of their block;
 equal texts are separate items; every document comes out exactly once, or in consecutive pieces if it was divided.
 """
@@ -17,47 +21,56 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.functions.frames import materialise
+from inkmill.functions.frames import Shared, materialise
 
+#: The vocabulary file where the session does not name one in spark.inkmill.tokenizer.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The split pattern that goes with the public byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_encoders: dict[int, object] = {}
 
+class Search(NamedTuple):
+    """Limits of the search; None: no limit.  ``steps`` is per bin of the first packing."""
+
+    width: int | None = 4
+    nodes: int | None = 300
+    steps: int | None = 3
 
-def encoder(ranks: dict[bytes, int]):
-    import tiktoken
 
-    return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+EXACT = Search(None, None, None)
 
 
-def read_ranks(path: str) -> bytes:
-    return Path(path).read_bytes()
+def encoder(data: bytes):
+    import tiktoken
+
+    return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=parse_ranks(data), special_tokens={})
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line)}
 
 
-def token_counts(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
+def tokenizer_path(spark: SparkSession, path: str | None) -> str:
+    return path or spark.conf.get("spark.inkmill.tokenizer", None) or TOKENIZER
+
+
+def token_counts(df: DataFrame, key: str, text: str, tokenizer: str | None = None) -> DataFrame:
     """(key, n_tokens) per row; nulls count 0."""
-    shared = df.sparkSession.sparkContext.broadcast(read_ranks(tokenizer))
+    shared = Shared(df.sparkSession, Path(tokenizer_path(df.sparkSession, tokenizer)).read_bytes(), encoder)
     picked = df.select(key, F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = None
+        enc = shared.get()
         for batch in batches:
-            if enc is None:
-                enc = _encoders.get(0) or _encoders.setdefault(0, encoder(parse_ranks(shared.value)))
-            sizes = [len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(1).to_pylist()]
+            sizes = [len(t) for t in enc.encode_ordinary_batch([t or "" for t in batch.column(1).to_pylist()], num_threads=1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32())], [key, "n_tokens"])
 
     return picked.mapInArrow(run, f"`{key}` {picked.dtypes[0][1]}, n_tokens int")
@@ -86,51 +99,68 @@ class Room:
         return (self.mask & ((2 << most) - 1)).bit_length() - 1 if most > 0 and self.mask & ((2 << most) - 2) else 0
 
 
-def fillings(room: Room, free: int, most_waste: int, width: int, nodes: int) -> list[tuple[int, ...]]:
-    """Up to ``width`` undominated fillings of ``free`` from sizes in ``room``, least waste first, large sizes first.
+def spread(sums: int, waste: int) -> int:
+    """All sums (bits) raised by 1 to ``waste``."""
+    out, width = sums << 1, 1
+    while waste and width < waste:
+        more = min(width, waste - width)
+        out |= out << more
+        width += more
+    return out if waste else 0
+
+
+def dominated(room: Room, chosen: tuple[int, ...], waste: int) -> bool:
+    """Whether one larger item of ``room`` can take the place of some of the chosen ones, or be added, within the waste.
 
-    A filling is dominated if one of its sizes can be raised or another one added within the room left; walking
-    through the sizes from large to small and closing each branch with the largest size that fits leaves those out.
+    An item of the same sum as two or more chosen ones dominates them too: the smaller ones are easier to place later.
+    """
+    if room.mask & ((1 << waste + 1) - 1):
+        return True
+    some = several = 0
+    for s in chosen:
+        several |= (some << s) | (several << s)
+        some |= (1 << s) | several
+    return bool(room.mask & (spread(some, waste) | several))
+
+
+def fillings(room: Room, free: int, most_waste: int, width: int | None = None, nodes: int | None = None) -> list[tuple[int, ...]]:
+    """The undominated fillings of ``free`` from sizes in ``room``, least waste first, large sizes first.
+
+    Sizes are walked from large to small; a branch is left when what can still follow wastes more than ``most_waste``.
+    With ``width`` only so many fillings are kept, with ``nodes`` only so many steps are walked.
     """
     found: list[tuple[int, int, tuple[int, ...]]] = []
     worst = most_waste
-    left = [nodes]
+    left = nodes
 
-    def walk(free: int, top: int, chosen: tuple[int, ...]) -> None:
+    def keep(waste: int, chosen: tuple[int, ...]) -> None:
         nonlocal worst
-        left[0] -= 1
+        if waste <= worst and not dominated(room, chosen, waste):
+            found.append((waste, len(chosen), chosen))
+            if width and len(found) >= width:
+                found.sort()
+                del found[width:]
+                worst = found[-1][0] - 1
+
+    def walk(free: int, top: int, chosen: tuple[int, ...]) -> None:
+        nonlocal left
+        if left is not None:
+            left -= 1
         s = room.largest(min(free, top))
         if not s:
-            if free <= worst:
-                found.append((free, len(chosen), chosen))
-                if len(found) >= width:
-                    found.sort()
-                    del found[width:]
-                    worst = found[-1][0] if found[-1][0] else -1
-            return
-        if s == free:
-            room_needed = (0, len(chosen) + 1, (*chosen, s))
-            if worst >= 0:
-                found.append(room_needed)
-                if len(found) >= width:
-                    found.sort()
-                    del found[width:]
-                    worst = found[-1][0] if found[-1][0] else -1
-            return
-        while s and left[0] > 0 and worst >= 0:
-            rest = free - s
+            keep(free, chosen)
+        while s and worst >= 0 and (left is None or left > 0):
             room.take(s)
-            # the sum of what can follow is bounded by the sizes not above s; with none left the waste is the rest
-            if room.largest(min(rest, s)) or rest <= worst:
-                walk(rest, s, (*chosen, s))
+            if s == free:
+                keep(0, (*chosen, s))
+            elif room.largest(min(free - s, s)) or free - s <= worst:
+                walk(free - s, s, (*chosen, s))
             room.give(s)
-            if s * 64 < free and len(found) >= width:
-                break
             s = room.largest(s - 1)
 
     walk(free, free, ())
     found.sort()
-    return [f for _, _, f in found[:width]]
+    return [f for _, _, f in found]
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -158,31 +188,34 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def complete(sizes: list[int], capacity: int, width: int = 4, nodes: int = 300, steps: int | None = None) -> list[list[int]]:
+def complete(sizes: list[int], capacity: int, search: Search = Search()) -> list[list[int]]:
     """Bins of sizes, each at most ``capacity``: bin completion with best-fit decreasing as first incumbent."""
     zeros = [s for s in sizes if s <= 0]
     sizes = [s for s in sizes if s > 0]
     total = sum(sizes)
     bound = -(-total // capacity)
     best = best_fit(sizes, capacity)
-    steps = 3 * len(best) + 2000 if steps is None else steps
+    steps = None if search.steps is None else search.steps * len(best) + 2000
     if len(best) > bound:
         room = Room(sizes, capacity)
         bins: list[list[int]] = []
         choices: list[list[tuple[int, ...]]] = []
         waste = 0
         allowed = (len(best) - 1) * capacity - total
-        while steps > 0 and len(best) > bound:
-            steps -= 1
+        while steps != 0 and len(best) > bound:
+            if steps is not None:
+                steps -= 1
             if not room.mask:
                 if len(bins) < len(best):
                     best = [list(b) for b in bins]
                     allowed = (len(best) - 1) * capacity - total
                 options = []
+            elif waste > allowed:
+                options = []
             else:
                 top = room.largest(capacity)
                 room.take(top)
-                options = [(top, *f) for f in fillings(room, capacity - top, min(capacity - top, max(0, allowed - waste)), width, nodes)]
+                options = [(top, *f) for f in fillings(room, capacity - top, min(capacity - top, allowed - waste), search.width, search.nodes)]
                 room.give(top)
             choices.append(options)
             while choices and not choices[-1]:  # step back
@@ -205,22 +238,22 @@ def complete(sizes: list[int], capacity: int, width: int = 4, nodes: int = 300,
     return best
 
 
-def pack_ids(ids: list, sizes: list[int], capacity: int, **search: int) -> list[list]:
+def pack_ids(ids: list, sizes: list[int], capacity: int, search: Search = Search()) -> list[list]:
     """The ids of each bin; among equal sizes ids are used in the order given."""
     by: dict[int, list] = {}
     for i, s in sorted(zip(ids, sizes), reverse=True):
         by.setdefault(s, []).append(i)
-    return [[by[s].pop() for s in b] for b in complete(sizes, capacity, **search)]
+    return [[by[s].pop() for s in b] for b in complete(sizes, capacity, search)]
 
 
 RESULT = "round int, block long, bin int, fill int, doc_id long, piece_no int, n_tokens int"
 
 
-def _packer(capacity: int, round_: int):
+def _packer(capacity: int, round_: int, search: Search):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         rows = list(zip(frame["doc_id"].tolist(), frame["piece_no"].tolist(), frame["n_tokens"].tolist()))
         out = []
-        for b, members in enumerate(pack_ids(rows, [r[2] for r in rows], capacity)):
+        for b, members in enumerate(pack_ids(rows, [r[2] for r in rows], capacity, search)):
             fill = sum(m[2] for m in members)
             out += [(round_, int(frame["block"].iloc[0]), b, fill, *m) for m in members]
         return pd.DataFrame(out, columns=["round", "block", "bin", "fill", "doc_id", "piece_no", "n_tokens"])
@@ -228,7 +261,7 @@ def _packer(capacity: int, round_: int):
     return run
 
 
-def containers(documents: DataFrame, capacity: int = 2048, tokenizer: str = TOKENIZER, block_items: int = 20_000, full: float = 0.999) -> DataFrame:
+def containers(documents: DataFrame, capacity: int = 2048, tokenizer: str | None = None, block_items: int = 20_000, full: float = 0.999, search: Search = Search()) -> DataFrame:
     """(container_id, doc_id, piece_no, start_token, n_tokens, fill): every piece in its container.
 
     Only (id, size) rows are shuffled.  A block holds about ``block_items`` items whatever the input, as ids are
@@ -246,12 +279,13 @@ def containers(documents: DataFrame, capacity: int = 2048, tokenizer: str = TOKE
     )
     pieces = sizes.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.piece_no", "p.n_tokens")
     block = F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(blocks)).alias("block")
-    first = materialise(pieces.select(block, "doc_id", "piece_no", "n_tokens").groupBy("block").applyInPandas(_packer(capacity, 1), RESULT))
+    # as many partitions as blocks, so that small blocks with much work are not put into one task
+    first = materialise(pieces.select(block, "doc_id", "piece_no", "n_tokens").repartition(2 * blocks, "block").groupBy("block").applyInPandas(_packer(capacity, 1, search), RESULT))
     shut = first.where(F.col("fill") >= full * capacity)
     again = first.where(F.col("fill") < full * capacity)
     left = -(-again.count() // block_items) or 1
     block = F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(2)), F.lit(left)).alias("block")
-    second = again.select(block, "doc_id", "piece_no", "n_tokens").groupBy("block").applyInPandas(_packer(capacity, 2), RESULT)
+    second = again.select(block, "doc_id", "piece_no", "n_tokens").repartition(2 * left, "block").groupBy("block").applyInPandas(_packer(capacity, 2, search), RESULT)
     return shut.unionByName(second).select(
         F.concat_ws("-", "round", "block", "bin").alias("container_id"), "doc_id", "piece_no", (F.greatest(F.col("piece_no") - 1, F.lit(0)) * capacity).cast("int").alias("start_token"), "n_tokens", "fill"
     )

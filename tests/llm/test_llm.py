@@ -141,6 +141,41 @@ def test_bin_completion_is_optimal_on_small_inputs():
     assert containers.complete([], 10) == [] and containers.complete([0, 0], 10) == [[0, 0]]
 
 
+def test_fillings_are_the_undominated_ones():
+    from itertools import combinations
+
+    def sub(items, size):
+        return {tuple(sorted(c, reverse=True)) for c in combinations(items, size)}
+
+    assert containers.fillings(containers.Room([10, 9], 11), 11, 11) == [(10,)]
+    random.seed(15)
+    for _ in range(200):
+        free = random.randint(3, 24)
+        sizes = [random.randint(1, 14) for _ in range(random.randint(1, 8))]
+        all_ = {f for k in range(len(sizes) + 1) for f in sub(sizes, k) if sum(f) <= free}
+
+        def worse(f, sizes=sizes, free=free):  # another item can be added, or take the place of some for more or of several for as much
+            rest, waste = list(sizes), free - sum(f)
+            for s in f:
+                rest.remove(s)
+            groups = [()] + [g for k in range(1, len(f) + 1) for g in combinations(f, k)]
+            return any(sum(g) <= x <= sum(g) + waste and (x > sum(g) or len(g) > 1) for g in groups for x in rest)
+
+        got = containers.fillings(containers.Room(sizes, 30), free, free)
+        assert len(got) == len(set(got)) and set(got) == {f for f in all_ if not worse(f)}
+
+
+def test_search_improves_on_best_fit():
+    random.seed(14)
+    better = 0
+    for _ in range(60):
+        sizes = [random.randint(18, 60) for _ in range(14)]
+        first, limited, exact = containers.best_fit(sizes, 100), containers.complete(sizes, 100), containers.complete(sizes, 100, containers.EXACT)
+        assert len(exact) == least_bins(sorted(sizes, reverse=True), 100) and len(exact) <= len(limited) <= len(first)
+        better += len(exact) < len(first)
+    assert better > 0
+
+
 def test_containers(spark):
     docs = spark.createDataFrame([(i, "词语很多。" * (i * 40), None) for i in range(40)] + [(100, None, "x"), (101, "", "x")], "doc_id long, text string, n_tokens string")
     rows = containers.containers(docs).collect()
