@@ -1,10 +1,18 @@
 """Several values packed in one field (problem 3): dictionary-guided segmentation.
 
-Two passes over the packed column.  The first cuts every field at all of its separators and counts the whole
-values; values that make up at least ``min_share`` of all pieces form the dictionary, so it can never hold more than
-``1 / min_share`` entries and is safe to ship to every executor.  The second pass lets a multi-pattern automaton mark
-the known whole values in each field and a dynamic program choose the cheapest cover of the field by values: a known
-value may contain separators, an unknown one pays for every separator it would swallow.
+Two passes over the packed column.  The first cuts every field at its plain separators and counts the whole values;
+those seen ``min_count`` times form the dictionary.  The second pass lets a multi-pattern automaton mark the known whole
+values in each field, and a dynamic program chooses the cheapest cover of the field by values:
+
+* a known value may hold separators of any kind, so it keeps them from cutting (``known; value`` stays whole);
+* weak separators (commas, enumeration commas, unspaced slashes), which stand inside values as often as between them,
+  cut only where known values meet on both sides;
+* an unknown value reaches from one plain separator to the next.
+
+What stands in quotation marks or brackets, is escaped, or is a value of a JSON list or a quoted value is not cut.
+
+A dictionary of more than ``most_chars`` characters is searched in blocks of that size, one scan of the fields a block;
+nothing is left out of it.
 
 Defined results: a null, empty or blank field yields no rows; a field without separators yields one row; values keep
 their order and repeated values keep their own positions; positions count from 1 and empty pieces take none.
@@ -14,19 +22,27 @@ from __future__ import annotations
 
 import json
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkmill.functions.frames import Shared, materialise
+
 PAIRS = {"“": "”", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "【": "】", "《": "》", "〈": "〉", "«": "»", "‘": "’"}
 QUOTES = {"“": "”", "「": "」", "『": "』", '"': '"', "«": "»", "‘": "’"}
+OPENS = {shut: opened for opened, shut in PAIRS.items()}
 SEPARATORS = set(";；|｜\t\r\n")
+WEAK = set(",，、/／")
 SLASH = re.compile(r"\s+[/／]\s+")
 COMMA = re.compile(r"\s*[,，]\s*")
 BULLET = re.compile(r"[-–—*•·●▪◦‣]\s+|[•·●▪]\s*")
+#: Characters that begin nothing but text.
+PLAIN = re.compile(r"[^\s\\\d;；|｜,，、/／\"“「『（(\[【《〈«‘①-⑳]+")
 MARKS = (
     ("paren", re.compile(r"[（(]\s*(\d{1,3})\s*[）)]\s*")),
     ("circle", re.compile(r"([①-⑳])\s*")),
@@ -34,22 +50,22 @@ MARKS = (
     ("dot", re.compile(r"(?<!\d)(\d{1,3})[.．](?!\d)\s*")),
     ("close", re.compile(r"(?<!\d)(\d{1,3})[)）]\s*")),
 )
-KNOWN, UNKNOWN, SWALLOWED = 1.0, 2.0, 2.5
-#: A value holds at most so many separators; an unknown piece never gains by swallowing one, so only known values are concerned.
-WIDEST = 40
+#: Costs of a known value, of an unknown one and of each of its characters, and of a cut at a weak separator.
+KNOWN, UNKNOWN, LETTER, AT_WEAK = 1.0, 2.0, 0.5, 0.25
+#: Characters of known values that are shipped to the executors at once.
+MOST_CHARS = 10_000_000
 
 
-def closing(text: str, at: int) -> int:
-    """Index of the mark that closes the one at ``at``, counting nested marks of the same kind; -1 without one."""
-    opened, shut, depth = text[at], PAIRS[text[at]], 0
-    for i in range(at, len(text)):
-        if text[i] == opened:
-            depth += 1
-        elif text[i] == shut:
-            depth -= 1
-            if not depth:
-                return i
-    return -1
+def partners(text: str) -> dict[int, int]:
+    """Index of each opening mark that is closed -> index of its closing mark; marks of one kind nest."""
+    found: dict[int, int] = {}
+    opened: defaultdict[str, list[int]] = defaultdict(list)
+    for i, c in enumerate(text):
+        if c in PAIRS:
+            opened[c].append(i)
+        elif c in OPENS and opened[OPENS[c]]:
+            found[opened[OPENS[c]].pop()] = i
+    return found
 
 
 def number(style: str, mark: str) -> int:
@@ -57,22 +73,29 @@ def number(style: str, mark: str) -> int:
 
 
 def atoms(text: str) -> list[tuple[str, str]]:
-    """The field as (kind, value) atoms; kind is "text", "cut" (separator) or "mark" (numbering or bullet)."""
+    """The field as (kind, value) atoms; kind is "text", "cut" (separator), "mark" (numbering or bullet) or "weak" (weak separator)."""
     out: list[tuple[str, str]] = []
     plain: list[str] = []
-    style, due, at, n = "", 1, 0, len(text)
+    style, due, at, n, solid = "", 1, 0, len(text), False
+    close = partners(text)
 
     def flush() -> None:
+        nonlocal solid
         if plain:
             out.append(("text", "".join(plain)))
             plain.clear()
+        solid = False
 
     while at < n:
+        if solid and (m := PLAIN.match(text, at)):
+            plain.append(m[0])
+            at = m.end()
+            continue
         c = text[at]
-        fresh = not "".join(plain).strip() and (not out or out[-1][0] != "text")
+        fresh = not solid and (not out or out[-1][0] in ("cut", "mark"))
         if c == "\\" and at + 1 < n and (text[at + 1] in SEPARATORS or text[at + 1] in ",，/\\\"'"):
             plain.append(text[at + 1])
-            at += 2
+            at, solid = at + 2, True
             continue
         hit = None
         for kind, mark in MARKS:
@@ -109,9 +132,9 @@ def atoms(text: str) -> list[tuple[str, str]]:
                     out.append(("cut", m[0]))
                     at = m.end()
                 continue
-        if c in PAIRS and (end := closing(text, at)) > 0:
+        if (end := close.get(at, -1)) > 0:
             plain.append(text[at : end + 1])
-            at = end + 1
+            at, solid = end + 1, True
             continue
         if c in SEPARATORS:
             flush()
@@ -123,7 +146,13 @@ def atoms(text: str) -> list[tuple[str, str]]:
             out.append(("cut", m[0]))
             at = m.end()
             continue
+        if c in WEAK:
+            flush()
+            out.append(("weak", c))
+            at += 1
+            continue
         plain.append(c)
+        solid = solid or not c.isspace()
         at += 1
     flush()
     return out
@@ -138,7 +167,7 @@ def bare(value: str) -> str:
             if value[0] == '"':
                 if '"' not in value[1:-1]:
                     value = value[1:-1]
-            elif closing(value, 0) == len(value) - 1:
+            elif partners(value).get(0) == len(value) - 1:
                 value = value[1:-1]
         if value == before:
             return value
@@ -157,63 +186,66 @@ def parsed(text: str) -> list[str] | None:
     return [v for v in (str(x).strip() for x in values if x is not None) if v]
 
 
-def spans(found: list[tuple[str, str]], known: ahocorasick.Automaton | None) -> tuple[str, list[tuple[int, int]], set[tuple[int, int]]]:
-    """The atoms' text laid end to end, each atom's span in it, and the spans of known whole values."""
-    flat, places, at = [], [], 0
-    for _, value in found:
-        flat.append(value)
-        places.append((at, at + len(value)))
-        at += len(value)
-    text = "".join(flat)
-    hits = {(end - len(v) + 1, end + 1) for end, v in known.iter(text)} if known and text else set()
-    return text, places, hits
+def matches(text: str | None, known: ahocorasick.Automaton | None) -> list[tuple[int, int]]:
+    """The spans of known whole values in the atoms' text laid end to end."""
+    if known is None or not text or not text.strip():
+        return []
+    flat = "".join(value for _, value in atoms(text.strip()))
+    return [(end - len(v) + 1, end + 1) for end, v in known.iter(flat)]
 
 
-def segment(text: str | None, known: ahocorasick.Automaton | None = None) -> list[str]:
-    """The values of one packed field, in order."""
+def segment(text: str | None, known: ahocorasick.Automaton | list[tuple[int, int]] | None = None) -> list[str]:
+    """The values of one packed field, in order; ``known`` is the automaton of whole values, or their spans in the field."""
     if not text or not text.strip():
         return []
     values = parsed(text)
     if values is not None:
         return values
     found = atoms(text.strip())
-    flat, places, hits = spans(found, known)
     n = len(found)
-    best: list[tuple[float, int]] = [(0.0, -1)] + [(float("inf"), -1)] * n
+    if isinstance(known, ahocorasick.Automaton):
+        known = matches(text, known)
+    flat = "".join(value for _, value in found)
+    places, at = [0], 0
+    for _, value in found:
+        at += len(value)
+        places.append(at)
+    # known values must begin and end with an atom, whatever blanks stand around them
+    begins = {places[i] + len(v) - len(v.lstrip()): i for i, (kind, v) in enumerate(found) if kind == "text"}
+    ends = {places[i + 1] - len(v) + len(v.rstrip()): i + 1 for i, (kind, v) in enumerate(found) if kind == "text"}
+    spans: defaultdict[int, list[int]] = defaultdict(list)
+    for a, b in known or []:
+        if a in begins and b in ends:
+            spans[ends[b]].append(begins[a])
+
+    parted = lambda i: i in (0, n) or found[i - 1][0] in ("cut", "mark") or found[i][0] in ("cut", "mark")
+    endless = (float("inf"), -1)
+    # cheapest cover up to each atom border: reached with any value, reached with a known value, and begun behind a weak separator
+    best, by_known, resumed = ([endless] * (n + 1) for _ in range(3))
+    best[0], start = (0.0, -1), 0
     for end in range(1, n + 1):
-        swallowed = 0
-        for start in range(end - 1, max(-1, end - 2 * WIDEST - 2), -1):
-            kind = found[start][0]
-            if kind != "text" and start == end - 1:
-                if best[start][0] < best[end][0]:
-                    best[end] = (best[start][0], start)
-                break
-            swallowed += kind != "text"
-            if kind != "text":
-                continue
-            a, b = places[start][0], places[end - 1][1]
-            while a < b and flat[a].isspace():
-                a += 1
-            while b > a and flat[b - 1].isspace():
-                b -= 1
-            if (a, b) in hits:
-                cost = KNOWN
-            else:
-                cost = UNKNOWN + SWALLOWED * swallowed
-            if best[start][0] + cost < best[end][0]:
-                best[end] = (best[start][0] + cost, start)
-    cuts, end = [], n
+        kind = found[end - 1][0]
+        if kind in ("cut", "mark"):
+            best[end], start = (best[end - 1][0], end - 1), end
+            continue
+        if kind == "weak":
+            resumed[end] = (by_known[end - 1][0] + AT_WEAK, end - 1)
+        for begin in spans[end]:
+            before = min(best[begin][0] if parted(begin) else float("inf"), resumed[begin][0])
+            by_known[end] = min(by_known[end], (before + KNOWN, begin))
+        if parted(end):
+            whole = (best[start][0] + UNKNOWN + LETTER * (places[end] - places[start]), start)
+            best[end] = min(by_known[end], whole)
+    out, end, weak = [], n, False
     while end > 0:
-        cuts.append((best[end][1], end))
-        end = best[end][1]
-    out = []
-    for a, b in reversed(cuts):
-        if b - a == 1 and found[a][0] != "text":
+        if found[end - 1][0] in ("cut", "mark"):
+            end -= 1
             continue
-        value = bare(flat[places[a][0] : places[b - 1][1]])
-        if value:
-            out.append(value)
-    return out
+        begin = (by_known if weak else best)[end][1]
+        out.append(bare(flat[places[begin] : places[end]]))
+        weak = begin > 0 and resumed[begin][0] < (best[begin][0] if parted(begin) else float("inf"))
+        end = begin - 1 if weak else begin
+    return [v for v in reversed(out) if v]
 
 
 def automaton(values: Iterable[str]) -> ahocorasick.Automaton | None:
@@ -226,47 +258,54 @@ def automaton(values: Iterable[str]) -> ahocorasick.Automaton | None:
     return built
 
 
-def _pieces(column: str, known: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = automaton(known)
-        for batch in batches:
-            lists = [segment(x, built) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.string()))], [column, "values"])
-
-    return run
-
+def dictionary(fields: DataFrame, column: str, min_count: int = 3) -> DataFrame:
+    """(v): the whole values of the column seen ``min_count`` times."""
 
-def dictionary(fields: DataFrame, column: str, min_share: float = 2e-5, min_count: int = 3) -> list[str]:
-    """Known whole values of the column, seen ``min_count`` times: all with a separator inside, as only these keep text from
-    being cut; of the others, which decide between two covers, those with ``min_share`` of all pieces (at most 1 / min_share)."""
-
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            inner = [any(kind != "text" for kind, _ in atoms(v)) for v in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inner, pa.bool_())], ["v", "n", "held"])
+            yield pa.RecordBatch.from_arrays([pa.array([segment(x) for x in batch.column(0).to_pylist()], pa.list_(pa.string()))], ["values"])
 
-    pieces = fields.select(F.col(column).alias("f")).where(F.length(F.trim("f")) > 0).mapInArrow(_pieces("f", []), "f string, values array<string>")
-    counted = pieces.select(F.explode("values").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    sums = counted.agg(F.sum("n").alias("t")).collect()[0]["t"] or 0
-    floor = max(min_count, -(-sums * min_share // 1))
-    known = counted.where(F.col("n") >= min_count).mapInArrow(held, "v string, n long, held boolean")
-    return sorted(r["v"] for r in known.where(F.col("held") | (F.col("n") >= F.lit(floor)) & (F.length("v") <= 400)).select("v").collect())
+    pieces = fields.select(F.col(column).alias("f")).where(F.length(F.trim("f")) > 0).mapInArrow(run, "values array<string>")
+    return pieces.select(F.explode("values").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count).select("v")
 
 
-def unpack(df: DataFrame, key: str, column: str, min_share: float = 2e-5, min_count: int = 3, pos: str = "pos", value: str = "value") -> DataFrame:
+def unpack(df: DataFrame, key: str, column: str, min_count: int = 3, pos: str = "pos", value: str = "value", most_chars: int = MOST_CHARS) -> DataFrame:
     """One row per value of the packed ``column``: ``(key, pos, value)``; other columns of ``df`` are not needed.
 
     Rows delivered again with the same key and field count once.  Skew is harmless: cutting is row by row and only
     the distinct (key, field) pairs and the piece counts are shuffled, the latter pre-aggregated.
     """
+    spark = df.sparkSession
     fields = df.select(F.col(key).alias("_k"), F.col(column).alias("_f")).where(F.length(F.trim("_f")) > 0).distinct()
-    known = dictionary(fields, "_f", min_share, min_count)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = automaton(known)
-        for batch in batches:
-            lists = [segment(x, built) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.string()))], ["_k", "_v"])
-
-    cut = fields.mapInArrow(run, f"_k {dict(fields.dtypes)['_k']}, _v array<string>")
-    return cut.select("_k", F.posexplode("_v")).select(F.col("_k").alias(key), (F.col("pos") + 1).cast("int").alias(pos), F.col("col").alias(value))
+    values = materialise(dictionary(fields, "_f", min_count))
+    size = values.agg(F.sum(F.length("v")).alias("n")).first()["n"] or 0
+    blocks = -(-size // most_chars) or 1
+    kind = f"_k {dict(fields.dtypes)['_k']}, "
+
+    def ship(block: int) -> Shared:
+        mine = values.where(F.pmod(F.xxhash64("v"), F.lit(blocks)) == block) if blocks > 1 else values
+        return Shared(spark, sorted(r["v"] for r in mine.collect()), automaton)
+
+    def marked(known: Shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                spans = [[{"a": a, "b": b} for a, b in matches(x, known.get())] for x in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["_k", "_f", "_s"])
+
+        return fields.mapInArrow(run, kind + "_f string, _s array<struct<a:int,b:int>>").where(F.size("_s") > 0)
+
+    def cut(known: Shared | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [known.get()] * batch.num_rows if known else [[(s["a"], s["b"]) for s in x or []] for x in batch.column(2).to_pylist()]
+                lists = [segment(x, s) for x, s in zip(batch.column(1).to_pylist(), found)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.string()))], ["_k", "_v"])
+
+        return run
+
+    if blocks == 1:
+        out = fields.mapInArrow(cut(ship(0)), kind + "_v array<string>")
+    else:
+        spans = reduce(DataFrame.unionByName, [marked(ship(b)) for b in range(blocks)]).groupBy("_k", "_f").agg(F.flatten(F.collect_list("_s")).alias("_s"))
+        out = fields.join(spans, ["_k", "_f"], "left").mapInArrow(cut(None), kind + "_v array<string>")
+    return out.select("_k", F.posexplode("_v")).select(F.col("_k").alias(key), (F.col("pos") + 1).cast("int").alias(pos), F.col("col").alias(value))
