@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkmill.functions.codepoints import decode, encode, parts
+from inkmill.functions.frames import latest, materialise
 
 from .lookalikes import LETTERS, RADICALS
 
@@ -180,22 +181,48 @@ def canonical(df: DataFrame, column: str, into: str, keep: list[str]) -> DataFra
     return picked.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in picked.dtypes[:-1]) + f", `{into}` string")
 
 
-def lookalike_pairs(df: DataFrame, key: str, group: str, column: str) -> DataFrame:
+def looks(df: DataFrame, key: str, group: str, column: str, order: str | None = None) -> DataFrame:
+    """(id, g, look, raw): every row with the 128-bit hashes of what its text looks like and of its characters.
+
+    The consistent form is computed once, before deliveries of one key are reduced to the latest by ``order``, so that
+    only hashes are shuffled, and kept in a table for the joins that follow.  Nulls in the key, group or text and texts
+    that show nothing are left out.
+    """
+    time = F.lit(0) if order is None else F.col(order)
+    shown = canonical(df.where(F.col(key).isNotNull()).withColumn("_time", time), column, "_look", [key, group, "_time", column])
+    digest = lambda c: F.unhex(F.md5(c))
+    rows = shown.select(F.col(key).alias("id"), F.col(group).alias("g"), F.col("_time").alias("o"), F.when(F.length("_look") > 0, digest(F.col("_look"))).alias("look"), digest(F.col(column)).alias("raw"))
+    return materialise(latest(rows, ["id"], "o", ["g", "look", "raw"]).where("g is not null and look is not null"))
+
+
+def lookalike_pairs(df: DataFrame, key: str, group: str, column: str, order: str | None = None) -> DataFrame:
     """Pairs (item_a < item_b) of one ``group`` whose texts look the same but differ in their characters.
 
-    Rows delivered again (same key) count once; the caller keeps one text per key.  The different spellings of one look
+    Rows delivered again (same key) count once, the latest by ``order``.  The different spellings of one look
     are paired first, then each spelling is met with its rows, so copies of one spelling are never paired with each
     other and every row made is part of the result.  No group is gathered in one row; a hot look is split by the
-    adaptive skew join.  Nulls in the key, group or text take part in no pair; texts that show nothing are no quotes.
+    adaptive skew join.  Where pairs would be too many, ``look_classes`` has the same links in one row per text.
+    """
+    rows = looks(df, key, group, column, order)
+    spellings = rows.groupBy("g", "look", "raw").agg(F.count(F.lit(1)).alias("n"))
+    mixed = spellings.groupBy("g", "look").agg(F.count(F.lit(1)).alias("v")).where("v > 1").select("g", "look")
+    spellings = materialise(spellings.join(mixed, ["g", "look"], "left_semi"))
+    a, b = (spellings.select("g", "look", F.col("raw").alias(f"raw_{s}")) for s in "ab")
+    both = a.join(b, ["g", "look"]).where("raw_a < raw_b")
+    first = rows.select("g", "look", F.col("raw").alias("raw_a"), F.col("id").alias("x"))
+    second = rows.select("g", "look", F.col("raw").alias("raw_b"), F.col("id").alias("y"))
+    pairs = both.join(first, ["g", "look", "raw_a"]).select("g", "look", "raw_b", "x").join(second, ["g", "look", "raw_b"])
+    return pairs.select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"))
+
+
+def look_classes(df: DataFrame, key: str, group: str, column: str, order: str | None = None) -> DataFrame:
+    """One row per text: (key, group, class_id, n_links).
+
+    Texts of one group that look the same share the class named by its smallest key; ``n_links`` counts those of them
+    that differ in their characters.  Its size is that of the input, however many texts look alike.
     """
-    rows = canonical(df.where(F.col(column).isNotNull() & F.col(key).isNotNull() & F.col(group).isNotNull()), column, "look", [key, group, column])
-    rows = rows.where(F.length("look") > 0).select(F.col(key).alias("id"), F.col(group).alias("g"), F.xxhash64("look").alias("h"), "look", F.col(column).alias("raw"))
-    spellings = rows.groupBy("g", "h", "look", "raw").agg(F.count(F.lit(1)).alias("n"))
-    mixed = spellings.groupBy("g", "h", "look").agg(F.count(F.lit(1)).alias("v")).where("v > 1").select("g", "h", "look")
-    spellings = spellings.join(mixed, ["g", "h", "look"], "left_semi")
-    a, b = (spellings.select("g", "h", "look", F.col("raw").alias(f"raw_{s}")) for s in "ab")
-    both = a.join(b, ["g", "h", "look"]).where("raw_a < raw_b").drop("look")
-    first = rows.select("g", "h", F.col("raw").alias("raw_a"), F.col("id").alias("x"))
-    second = rows.select("g", "h", F.col("raw").alias("raw_b"), F.col("id").alias("y"))
-    pairs = both.join(first, ["g", "h", "raw_a"]).drop("raw_a").join(second, ["g", "h", "raw_b"]).where("x <> y")
-    return pairs.select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b")).distinct()
+    rows = looks(df, key, group, column, order)
+    spellings = rows.groupBy("g", "look", "raw").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("m"))
+    classes = spellings.groupBy("g", "look").agg(F.sum("n").alias("all"), F.min("m").alias("class_id"))
+    links = spellings.join(classes, ["g", "look"]).select("g", "look", "raw", "class_id", (F.col("all") - F.col("n")).alias("n_links"))
+    return rows.join(links, ["g", "look", "raw"]).select(F.col("id").alias(key), F.col("g").alias(group), "class_id", "n_links")

@@ -24,8 +24,11 @@ def p1_repaired(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
-    items = latest(table(spark, directory, "evidence_item"), ["item_id"], "ingested_at", ["work_id", "quote"])
-    return lookalike_text.lookalike_pairs(items, "item_id", "work_id", "quote")
+    return lookalike_text.lookalike_pairs(table(spark, directory, "evidence_item"), "item_id", "work_id", "quote", "ingested_at")
+
+
+def p2_classes(spark: SparkSession, directory: str) -> DataFrame:
+    return lookalike_text.look_classes(table(spark, directory, "evidence_item"), "item_id", "work_id", "quote", "ingested_at")
 
 
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
@@ -85,7 +88,7 @@ def p2_canonical(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_repaired": p1_repaired,
-    "p2_found": p2_found, "p2_canonical": p2_canonical,
+    "p2_found": p2_found, "p2_canonical": p2_canonical, "p2_classes": p2_classes,
     "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_item_pieces": p4_item_pieces,
     "p5_found": p5_found, "p5_sentences": p5_sentences,
     "p6_containers": p6_containers,

@@ -47,6 +47,21 @@ def test_lookalike_pairs(spark):
     df = spark.createDataFrame(rows, "item_id long, work_id string, quote string")
     assert sorted(map(tuple, lookalike_text.lookalike_pairs(df, "item_id", "work_id", "quote").collect())) == [(1, 2), (2, 3)]
     assert lookalike_text.lookalike_pairs(df.limit(0), "item_id", "work_id", "quote").count() == 0
+    classes = sorted((r.item_id, r.class_id, r.n_links) for r in lookalike_text.look_classes(df, "item_id", "work_id", "quote").collect())
+    assert classes == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 4, 0)] and lookalike_text.look_classes(df.limit(0), "item_id", "work_id", "quote").count() == 0
+
+
+def test_links_of_classes_are_the_pairs(spark):
+    random.seed(12)
+    rows = [(i, random.choice("vw"), random.choice(["Had it", "Hаd it", "Ｈad it", "no", "nо", "yes"]), random.randint(0, 2)) for i in range(60)]
+    df = spark.createDataFrame(rows + [(r[0], r[1], "no", 9) for r in rows[:5]], "item_id long, work_id string, quote string, ingested_at long")
+    pairs = [tuple(r) for r in lookalike_text.lookalike_pairs(df, "item_id", "work_id", "quote", "ingested_at").collect()]
+    last = {r[0]: (r[1], "no" if r[0] < 5 else r[2]) for r in rows}
+    look = lambda t: t.replace("а", "a").replace("Ｈ", "H").replace("о", "o")
+    brute = {(a, b) for a in last for b in last if a < b and last[a][0] == last[b][0] and last[a][1] != last[b][1] and look(last[a][1]) == look(last[b][1])}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == brute
+    links = {r.item_id: r.n_links for r in lookalike_text.look_classes(df, "item_id", "work_id", "quote", "ingested_at").collect()}
+    assert links == {i: sum(i in p for p in pairs) for i in last}
 
 
 # problem 5
