@@ -102,3 +102,6 @@ TAG_REAR = rf"[”」』][，。！？…]?[^{WS}]{{0,40}}(?:说道|问道|答
 EXAMPLE = "比如说|例如|譬如"
 DIALOGUE_LINE = "[“”「」『』\"']|说道|问道|答道|笑道|说|道|问|答"
 FUNCTION_WORD = "[的地得了着在和与]"
+
+# Tags that decorate a quotation.
+DECORATIVE = "低声道 沉声道 冷笑道 娇笑道 幽幽地".split()

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from inkmill.functions.frames import table
-from inkmill.operators import compare, dialogue, evidence, noise, packed, structure, style, tokenizer
-from inkmill.plans.oracles import ORACLES
+from inkmill.operators import compare, dialogue, evidence, noise, packed, ratios, structure, style, tokenizer, voices
+from inkmill.plans import more_oracles, oracles
 
 
 def per_document(operator):
@@ -25,6 +25,11 @@ def keyed(operator):
     return lambda spark, directory: operator(table(spark, directory, "documents", spread=True), "doc_id", "text")
 
 
+def tokens(operator):
+    """An operator on tagged tokens, over the tokens that can be told without a dictionary."""
+    return lambda spark, directory: operator(ratios.tagged_tokens(table(spark, directory, "documents", spread=True), ["doc_id"], "text"), "doc_id")
+
+
 def over(operator, *tables: str):
     return lambda spark, directory: operator(*[table(spark, directory, t, spread=t == "evidence_store") for t in tables])
 
@@ -53,5 +58,9 @@ QUERIES = {
     "era_measures": over(compare.era_measures, "evidence_store"), "era_trends": over(compare.era_trends, "evidence_store"), "mad_bands": mad_bands, "copy_risk": copy_risk, "copy_risk_books": copy_risk_books, "scenes": keyed(compare.scenes),
     "evidence_verify": over(evidence.verify, "evidence_item", "evidence_store"), "work_codes": over(evidence.work_codes, "works"), "leak_scan": over(evidence.leak_scan, "works", "evidence_store"),
     "masked": over(evidence.masked, "works", "evidence_store"), "anchors": over(evidence.anchors, "evidence_store"), "evidence_pool": over(evidence.evidence_pool, "evidence_store"),
+    **{f.__name__: keyed(f) for f in (voices.fixed_phrases, voices.opening_words, voices.common_tags, voices.sample_quotes, voices.speaker_lists, voices.tag_frequencies, voices.tag_ratio, voices.unique_tags, voices.function_shares, voices.semantic_dimensions, voices.exemplars)},
+    **{f.__name__: per_document(f) for f in (ratios.style_densities, ratios.style_markers, ratios.style_signals, ratios.scored_labels, ratios.deployment, ratios.low_level_ratios, ratios.special_systems, ratios.tagged_tokens)},
+    "pos_shares": tokens(ratios.pos_shares), "entities": tokens(ratios.entities),
 }
+ORACLES = {**oracles.ORACLES, **more_oracles.ORACLES}
 __all__ = ["ORACLES", "QUERIES"]
