@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmill.functions import lexicons as L
-from inkmill.functions.frames import latest, latest_texts
-from inkmill.functions.text import grams as text_grams
+from inkmill.functions.frames import latest, latest_texts, materialise
+from inkmill.functions.probes import find_quotes
 from inkmill.functions.text import strip
 from inkmill.operators.noise import lines
 from inkmill.operators.style import is_simile
 
 TYPES = ["metaphor", "dash", "ellipsis", "tag", "short_para", "example"]
-MOST_BROADCAST = 2_000_000
 
 
 def garbled(s: Column) -> Column:
@@ -71,19 +70,18 @@ def normal(c: Column) -> Column:
 def verify(items: DataFrame, chunks: DataFrame, least: int = 6) -> DataFrame:
     """(item_id, status, chunk_id): valid in the cited chunk, fixed to the first chunk of the work that holds it, else downgraded.
 
-    Other chunks are reached by the hash of the quote's first characters, never by pairing quotes with all chunks.
+    Quotes meet their cited chunk by key.  Those it does not hold are sought in all chunks of their work by one scan
+    (``find_quotes``), which emits finds only: quotes are never paired with chunks that do not hold them.
     """
-    texts = latest_texts(chunks, ["work_id", "chunk_id"], "ingested_at", ["chunk_text"]).select("work_id", "chunk_id", normal(F.col("chunk_text")).alias("t"))
+    texts = latest_texts(chunks, ["work_id", "chunk_id"], "ingested_at", ["seq", "chunk_text"]).select("work_id", "chunk_id", "seq", normal(F.col("chunk_text")).alias("t"))
     cites = latest(items, ["item_id"], "ingested_at", ["work_id", "chunk_id", "quote"]).select("item_id", "work_id", F.lower(F.trim("chunk_id")).alias("cited"), F.coalesce(normal(F.col("quote")), F.lit("")).alias("q"))
     long_ = cites.where(F.length("q") >= least)
-    valid = long_.join(texts.withColumnRenamed("chunk_id", "cited"), ["work_id", "cited"]).where(F.contains("t", "q")).select("item_id", F.lit("valid").alias("status"), F.col("cited").alias("chunk_id"))
-    open_ = long_.join(valid.select("item_id"), "item_id", "left_anti").withColumn("g", F.xxhash64("work_id", F.substring("q", 1, least)))
-    probes = open_.select("g").distinct()
-    small = probes.count() <= MOST_BROADCAST
-    grams = texts.where(F.length("t") >= least).select("work_id", "chunk_id", F.explode(text_grams(F.col("t"), least)).alias("s")).select("work_id", "chunk_id", F.xxhash64("work_id", "s").alias("g"))
-    met = grams.join(F.broadcast(probes) if small else probes, "g", "left_semi").distinct()
-    pairs = open_.join(met, ["work_id", "g"]).select("item_id", "work_id", "chunk_id", "q").join(texts, ["work_id", "chunk_id"]).where(F.contains("t", "q"))
-    fixed = pairs.groupBy("item_id").agg(F.min("chunk_id").alias("chunk_id")).select("item_id", F.lit("fixed").alias("status"), "chunk_id")
+    met = long_.where("cited <> ''").join(texts.select("work_id", F.col("chunk_id").alias("cited"), "t"), ["work_id", "cited"]).where(F.contains("t", "q"))
+    valid = materialise(met.select("item_id", F.lit("valid").alias("status"), F.col("cited").alias("chunk_id")))
+    open_ = long_.join(valid.select("item_id"), "item_id", "left_anti").select("item_id", "work_id", "q", F.xxhash64("work_id", "q").alias("quote_key"))
+    found = find_quotes(texts, ["work_id", "chunk_id", "seq"], "work_id", "t", open_.select(F.col("work_id").alias("g"), "q", "quote_key"))
+    first = found.groupBy("work_id", "quote_key").agg(F.min(F.struct("seq", "chunk_id")).alias("f")).select("work_id", "quote_key", F.col("f.chunk_id").alias("chunk_id"))
+    fixed = open_.join(first, ["work_id", "quote_key"]).select("item_id", F.lit("fixed").alias("status"), "chunk_id")
     return cites.select("item_id").join(valid.unionByName(fixed), "item_id", "left").select("item_id", F.coalesce("status", F.lit("downgraded")).alias("status"), "chunk_id")
 
 

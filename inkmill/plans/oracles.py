@@ -148,7 +148,7 @@ m AS (SELECT doc_id, short_sentences * {D(100)} / CAST(greatest(n_sentences, 1)
  CASE WHEN dsc > 0 THEN action * {D(100)} / CAST(dsc AS DOUBLE) END AS act, CASE WHEN dsc > 0 THEN md * {D(100)} / CAST(dsc AS DOUBLE) END AS mind, CASE WHEN dsc > 0 THEN scenery * {D(100)} / CAST(dsc AS DOUBLE) END AS env FROM j)
 SELECT doc_id, {some(RULES)} AS signals, {some(LABELS)} AS labels, CASE WHEN excl > 8 THEN least({D(0.95)}, {WARM} + {D(0.05)}) ELSE {WARM} END AS temperature FROM m"""
 
-ONCE = "once AS (SELECT work_id, chunk_id, any_value(start_pos) AS start_pos, any_value(chunk_text) AS chunk_text, any_value(era) AS era FROM evidence_store GROUP BY ALL)"
+ONCE = "once AS (SELECT work_id, chunk_id, arg_max(seq, ingested_at) AS seq, arg_max(start_pos, ingested_at) AS start_pos, arg_max(chunk_text, ingested_at) AS chunk_text, arg_max(era, ingested_at) AS era FROM evidence_store GROUP BY ALL)"
 CHAPTER_INDEX = f"""WITH {ONCE}, l0 AS (SELECT work_id, start_pos, regexp_extract_all(chunk_text, {q(L.LINE)}) AS l FROM once),
 l1 AS (SELECT work_id, start_pos, l, unnest(range(1, len(l) + 1)) AS i FROM l0),
 h AS (SELECT DISTINCT work_id, start_pos + {total('list_transform(l[1:i - 1], lambda x: length(x))')} AS pos, {strip('l[i]')} AS title FROM l1 WHERE regexp_matches({strip('l[i]')}, {q(L.HEADING)})),
@@ -253,9 +253,9 @@ def normal(x: str) -> str:
     return f"replace(translate(regexp_replace({x}, {q(f'[{L.WS}]+')}, '', 'g'), '“”‘’—', {q(chr(34) * 2 + chr(39) * 2 + '-')}), '…', '...')"
 
 
-VERIFY = f"""WITH {ONCE}, t AS (SELECT work_id, chunk_id, {normal('chunk_text')} AS t FROM once), i0 AS (SELECT DISTINCT ON (item_id) item_id, work_id, lower(trim(chunk_id)) AS cited, coalesce({normal('quote')}, '') AS q FROM evidence_item ORDER BY item_id, ingested_at DESC),
+VERIFY = f"""WITH {ONCE}, t AS (SELECT work_id, chunk_id, seq, {normal('chunk_text')} AS t FROM once), i0 AS (SELECT DISTINCT ON (item_id) item_id, work_id, lower(trim(chunk_id)) AS cited, coalesce({normal('quote')}, '') AS q FROM evidence_item ORDER BY item_id, ingested_at DESC),
 v AS (SELECT i0.item_id, 'valid' AS status, t.chunk_id FROM i0 JOIN t ON t.work_id = i0.work_id AND t.chunk_id = cited WHERE length(q) >= 6 AND contains(t.t, q)),
-f AS (SELECT i0.item_id, 'fixed' AS status, min(t.chunk_id) AS chunk_id FROM i0 JOIN t ON t.work_id = i0.work_id AND contains(t.t, q) WHERE length(q) >= 6 AND i0.item_id NOT IN (SELECT item_id FROM v) GROUP BY 1)
+f AS (SELECT i0.item_id, 'fixed' AS status, min_by(t.chunk_id, t.seq) AS chunk_id FROM i0 JOIN t ON t.work_id = i0.work_id AND contains(t.t, q) WHERE length(q) >= 6 AND i0.item_id NOT IN (SELECT item_id FROM v) GROUP BY 1)
 SELECT item_id, coalesce(status, 'downgraded') AS status, chunk_id FROM i0 LEFT JOIN (SELECT * FROM v UNION ALL SELECT * FROM f) x USING (item_id)"""
 CODES = """WITH s AS (SELECT work_id, regexp_replace(coalesce(author_name, '') || '|' || coalesce(title, ''), '^\\|+|\\|+$', '', 'g') AS seed FROM works)
 SELECT work_id, CASE WHEN seed = '' THEN 'WORK_UNKNOWN' ELSE 'WORK_' || upper(substr(sha256(seed), 1, 6)) END AS code FROM s"""

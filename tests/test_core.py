@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from inkmill.functions.probes import find_quotes
 from inkmill.functions.text import grams, strip
 from inkmill.operators import compare, dialogue, evidence, noise, packed, structure, style, tokenizer
 from inkmill.sources import text_files
@@ -124,10 +126,27 @@ def test_copies_from_the_books_are_seen(spark, tmp_path):
     assert [(r.doc_id, r.at_risk) for r in QUERIES["copy_risk_books"](spark, str(tmp_path)).collect()] == [(1, True)]
 
 
+CHUNKS = "work_id string, chunk_id string, seq int, start_pos long, chunk_text string, era string, ingested_at long"
+ITEMS = "item_id long, work_id string, chunk_id string, quote string, ingested_at long"
+
+
 def test_verify(spark):
-    chunks = spark.createDataFrame([("w", "c001", 0, "他说——走吧走吧走吧", "e", 1), ("w", "c002", 10, "灯火阑珊处那人回首", "e", 1)], "work_id string, chunk_id string, start_pos long, chunk_text string, era string, ingested_at long")
-    items = spark.createDataFrame([(1, "w", " C001", "走吧走吧走吧", 1), (2, "w", "c001", "灯火阑珊处那人", 1), (3, "w", "c001", "没有这句话的", 1), (4, "w", None, None, 1), (1, "w", " C001", "走吧走吧走吧", 2)], "item_id long, work_id string, chunk_id string, quote string, ingested_at long")
-    assert {r.item_id: (r.status, r.chunk_id) for r in evidence.verify(items, chunks).collect()} == {1: ("valid", "c001"), 2: ("fixed", "c002"), 3: ("downgraded", None), 4: ("downgraded", None)}
+    chunks = spark.createDataFrame([("w", "c001", 1, 0, "他说——走吧走吧走吧", "e", 1), ("w", "c1002", 1002, 99, "灯火阑珊处那人回首", "e", 1), ("w", "c002", 2, 10, "灯火阑珊处那人回首", "e", 1), ("v", "c001", 1, 0, "没有这句话的", "e", 1), ("w", "c009", 9, 50, None, "e", 1)], CHUNKS)
+    items = spark.createDataFrame([(1, "w", " C001", "走吧走吧走吧", 1), (2, "w", "c001", "灯火阑珊处那人", 1), (3, "w", "c001", "没有这句话的", 1), (4, "w", None, None, 1), (1, "w", " C001", "走吧走吧走吧", 2), (5, "w", "c001", "走吧", 1)], ITEMS)
+    assert {r.item_id: (r.status, r.chunk_id) for r in evidence.verify(items, chunks).collect()} == {1: ("valid", "c001"), 2: ("fixed", "c002"), 3: ("downgraded", None), 4: ("downgraded", None), 5: ("downgraded", None)}
+    assert evidence.verify(items, chunks.limit(0)).where("status <> 'downgraded'").count() == 0 and evidence.verify(items.limit(0), chunks).count() == 0
+
+
+def test_quotes_are_found_as_by_search(spark):
+    rng = random.Random(4)
+    texts = [(f"t{i}", rng.choice("gh"), "".join(rng.choices("山门夜雨他走", k=rng.choice([0, 5, 30, 400])))) for i in range(40)]
+    quotes = [(g, t[a : a + n]) for _, g, t in texts for a, n in [(rng.randrange(60), rng.choice([6, 7, 11, 12, 25, 60]))]] + [("g", "他" * 30)]
+    quotes = [(g, q, k) for k, (g, q) in enumerate(quotes) if len(q) >= 6]
+    df, qs = spark.createDataFrame([*texts, ("n", "g", None)], "id string, g string, t string"), spark.createDataFrame(quotes, "g string, q string, quote_key long")
+    brute = {(i, k) for i, g, t in texts for h, q, k in quotes if g == h and q in t}
+    for most in (10_000, 7):
+        rows = [tuple(r) for r in find_quotes(df, ["id"], "g", "t", qs, most=most).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == brute
 
 
 @pytest.mark.parametrize("field,values", [
