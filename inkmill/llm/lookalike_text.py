@@ -144,20 +144,24 @@ def _compose(points: np.ndarray, rows: np.ndarray, t: dict[str, np.ndarray]) ->
     return points, rows
 
 
-def canonical_points(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code points and row offsets in the consistent form."""
-    t, n = tables(), len(offsets) - 1
+def expanded_points(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points expanded by the table, and the index of the character each comes from."""
+    t = tables()
     inside = points < LIMIT
     small = np.where(inside, points, 0)
     size = np.where(inside, t["size"][small], np.where((points >= 0xE0000) & (points < 0xE0FFF), 0, 1)).astype(np.int64)
-    rows = np.repeat(np.arange(n), np.diff(offsets))
     ends = np.cumsum(size)
-    total = int(ends[-1]) if len(ends) else 0
     source = np.repeat(np.arange(len(points)), size)
-    within = np.arange(total) - (ends - size)[source]
-    out = np.where(inside[source], t["flat"][np.where(inside, t["start"][small], 0)[source] + within], points[source])
-    rows = rows[source]
-    if total:
+    within = np.arange(len(source)) - (ends - size)[source]
+    return np.where(inside[source], t["flat"][np.where(inside, t["start"][small], 0)[source] + within], points[source]), source
+
+
+def canonical_points(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points and row offsets in the consistent form."""
+    t, n = tables(), len(offsets) - 1
+    out, source = expanded_points(points)
+    rows = np.repeat(np.arange(n), np.diff(offsets))[source]
+    if len(out):
         out = _rescript(out.astype(np.uint32), rows, t)
         out, rows = _compose(out, rows, t)
     return out, np.searchsorted(rows, np.arange(n + 1))

@@ -116,11 +116,18 @@ def test_bisection_limits_overlap_and_round_trip():
 
 def test_assign_pieces(spark):
     text = "。".join(f"第{i}句话说得很长很长" for i in range(600))
-    store = spark.createDataFrame([("w", "c001", 0, text, "web", 1, ""), ("w", "c001", 0, text, "web", 2, ""), ("w", "c002", 9, "短", "web", 1, ""), ("w", "c003", 9, None, "web", 1, "")], STORE)
-    items = spark.createDataFrame([(1, "w", " C001 ", "第５９９句话", 1), (2, "w", "c001", "没有", 1), (3, "w", "c002", "短", 1), (4, "w", None, None, 1)], "item_id long, work_id string, chunk_id string, quote string, ingested_at long")
-    rows = {r.item_id: r for r in splitting.assign_pieces(store, items).collect()}
-    assert set(rows) == {1, 2} and rows[2].piece_no is None
-    assert rows[1].piece_no == splitting.split(splitting.oversized(store, 2400), "chunk_text", ["work_id", "chunk_id"]).first().n_pieces
+    other = "。".join(f"那{i}盏灯照着河边的路" for i in range(600))
+    rows = [("w", "c001", 1, text, 1), ("w", "c001", 1, text, 2), ("w", "c002", 2, "短句子在这里面", 1), ("w", "c003", 3, None, 1), ("w", "c004", 4, other, 1), ("w", "c005", 5, other, 1)]
+    store = spark.createDataFrame([(w, c, s, 0, t, "web", n, "") for w, c, s, t, n in rows], "work_id string, chunk_id string, seq int, start_pos long, chunk_text string, origin string, ingested_at long, extra string")
+    items = [(1, " C001 ", "第５９９句话"), (2, "c001", "没有这样的一句话"), (3, "c002", "短句子在这里面"), (4, None, None), (5, "c001", "那599盏灯，照着河边"), (6, "c001", "第300句话說得很長很长。第301句话"), (7, "c001", "短句子在这里面"), (8, "c999", "那3盏灯照着河边"), (9, "", "短句子在这里面"), (10, "c004", "灯"), (11, "c001", text[1000:2900])]
+    df = spark.createDataFrame([(i, "w", c, q, 1) for i, c, q in items], "item_id long, work_id string, chunk_id string, quote string, ingested_at long")
+    rows = {r.item_id: r for r in splitting.assign_pieces(store, df).collect()}
+    pieces = splitting.split(splitting.oversized(store, 2400), "chunk_text", ["work_id", "chunk_id"]).where("chunk_id = 'c001'").collect()
+    assert {i: (r.chunk_id, r.match) for i, r in rows.items()} == {1: ("c001", "exact"), 2: ("c001", None), 5: ("c004", "moved"), 6: ("c001", "near"), 7: ("c002", "moved"), 8: ("c004", "moved"), 10: ("c004", "exact"), 11: ("c001", "exact")}
+    assert rows[1].piece_no == pieces[0].n_pieces and rows[2].piece_no is None and rows[7].piece_no == 1
+    held = next(p for p in pieces if p.piece_no == rows[6].piece_no)
+    assert "第300句" in held.piece_text and "第301句话" in held.piece_text and text[rows[1].quote_pos - 1 :].startswith("第599句")
+    assert splitting.assign_pieces(store, df.limit(0)).count() == 0 and splitting.assign_pieces(store.limit(0), df).count() == 0
 
 
 # problem 6
