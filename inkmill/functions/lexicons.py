@@ -105,3 +105,14 @@ FUNCTION_WORD = "[的地得了着在和与]"
 
 # Tags that decorate a quotation.
 DECORATIVE = "低声道 沉声道 冷笑道 娇笑道 幽幽地".split()
+
+# What a card may promise, as (term in the card, mark in a quote), and how speech and comparisons show.
+PROMISED_MARKS = {"ellipsis": ("省略号", "……"), "dash": ("破折号", "——"), "exclamation": ("感叹号", "！"), "question": ("问号", "？")}
+SPEECH_TERMS = ["对话", "对白", "标签", "说话人", "引语", "口吻"]
+COMPARISON_TERMS = ["比喻", "喻"]
+SPEECH_SHOWN = "[“”「」『』\"']|说道|问道|答道|笑道|说|道|问|答"
+COMPARISON_SHOWN = "宛如|犹如|如同|仿佛|像|如|若"
+
+# Names and triggers that say nothing.
+STOCK_NAMES = ["描写细腻", "文笔优美", "情节紧凑", "未命名技法"]
+STOCK_TRIGGERS = ["需要时", "合适的时候", "看情况"]

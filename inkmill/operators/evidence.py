@@ -19,10 +19,10 @@ def garbled(s: Column) -> Column:
     return ~s.rlike(L.DIALOGUE_LINE) & (F.length(s) > 12) & ~s.rlike(L.FUNCTION_WORD)
 
 
-def anchors(chunks: DataFrame) -> DataFrame:
-    """(work_id, chunk_id, era, type, quote): the first anchor of each type per chunk; a garbled first hit ends the search,
-    but for metaphors, which go on to the next."""
-    once = latest_texts(chunks, ["work_id", "chunk_id"], "ingested_at", ["chunk_text", "era"])
+def anchors(chunks: DataFrame, places: bool = False) -> DataFrame:
+    """(work_id, chunk_id, era, k, type, quote): the first anchor of each type per chunk; a garbled first hit ends the search,
+    but for metaphors, which go on to the next.  With ``places`` also where the quote begins on the axis of the work."""
+    once = latest_texts(chunks, ["work_id", "chunk_id"], "ingested_at", ["chunk_text", "era", "start_pos"])
     trim = "^[，、；：]+|[，、；：]+$"
     sents = F.transform(F.split("chunk_text", L.SENTENCE, -1), lambda s: F.regexp_replace(strip(s), trim, ""))
     rows = F.transform(lines(F.col("chunk_text")), lambda s: strip(s))
@@ -38,28 +38,38 @@ def anchors(chunks: DataFrame) -> DataFrame:
         "short_para": some(short, lambda s: F.length(s).between(2, 8) & s.rlike("[。！？]$")),
         "example": some(sents, lambda s: fits(s) & s.rlike(L.EXAMPLE)),
     }
-    out = once.select("work_id", "chunk_id", "era", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(t).alias("type"), q.alias("quote")) for i, (t, q) in enumerate(picks.items())])).alias("a"))
-    out = out.select("work_id", "chunk_id", "era", "a.k", "a.type", "a.quote").where("quote is not null")
+    picked = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(t).alias("type"), q.alias("quote")) for i, (t, q) in enumerate(picks.items())])
+    if places:
+        picked = F.transform(picked, lambda a: F.struct(a["k"].alias("k"), a["type"].alias("type"), a["quote"].alias("quote"), (F.col("start_pos") + F.instr(F.col("chunk_text"), a["quote"]) - 1).alias("at")))
+    out = once.select("work_id", "chunk_id", "era", F.explode(picked).alias("a"))
+    out = out.select("work_id", "chunk_id", "era", "a.k", "a.type", "a.quote", *([F.col("a.at").alias("start_pos")] if places else [])).where("quote is not null")
     return out.where(F.col("type").isin("metaphor", "short_para") | ~garbled(F.col("quote")))
 
 
-def evidence_pool(chunks: DataFrame, most: int = 28) -> DataFrame:
+def evidence_pool(chunks: DataFrame, most: int = 28, places: bool = False) -> DataFrame:
     """Candidates drawn in rounds over the periods of a work, one chunk per period and round, each period within its share.
 
-    Both limits are prefixes of one order (round, period, candidate), so two ranks replace the loop.
+    Both limits are prefixes of one order (round, period, candidate), so two ranks replace the loop.  Only the first
+    ``most`` candidates of a period can be drawn; they are picked in hashed parts of the period first, so a hot work is
+    not sorted in one task, and only chunks up to the last of them are numbered.
     """
-    found = anchors(chunks)
+    found = materialise(anchors(chunks, places))
     w = Window.partitionBy("work_id", "chunk_id").orderBy("k")
     code = F.aggregate(F.split("chunk_id", ""), F.lit(0), lambda s, c: s + F.ascii(c))
     n = F.count(F.lit(1)).over(Window.partitionBy("work_id", "chunk_id"))
-    found = found.withColumn("i", F.row_number().over(w) - 1).withColumn("m", n).withColumn("turn", F.pmod(F.col("i") - F.pmod(code, F.col("m")), F.col("m")))
+    found = found.withColumn("i", F.row_number().over(w) - 1).withColumn("m", n).withColumn("turn", F.pmod(F.col("i") - F.pmod(code, F.col("m")), F.col("m"))).where(F.length("quote") >= 6)
+    part = found.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(64)))
+    part = part.withColumn("r", F.row_number().over(Window.partitionBy("work_id", "era", "part").orderBy("chunk_id", "turn"))).where(F.col("r") <= most)
+    first = part.withColumn("r", F.row_number().over(Window.partitionBy("work_id", "era").orderBy("chunk_id", "turn"))).where(F.col("r") <= most).drop("part", "r")
     once = latest(chunks, ["work_id", "chunk_id"], "ingested_at", ["era"])
-    rounds = once.select("work_id", "chunk_id", "era", F.row_number().over(Window.partitionBy("work_id", "era").orderBy("chunk_id")).alias("round"))
+    bounds = first.groupBy("work_id", F.col("era").alias("e")).agg(F.max("chunk_id").alias("upto"))
+    near = once.join(bounds, (once["work_id"] == bounds["work_id"]) & once["era"].eqNullSafe(bounds["e"]) & (once["chunk_id"] <= bounds["upto"])).select(once["work_id"], "chunk_id", "era")
+    rounds = near.select("work_id", "chunk_id", F.row_number().over(Window.partitionBy("work_id", "era").orderBy("chunk_id")).alias("round"))
     eras = once.groupBy("work_id").agg(F.countDistinct("era").alias("eras"))
-    found = found.where(F.length("quote") >= 6).join(rounds, ["work_id", "chunk_id", "era"]).join(eras, "work_id")
-    found = found.withColumn("r", F.row_number().over(Window.partitionBy("work_id", "era").orderBy("round", "turn"))).where(F.col("r") <= F.ceil(F.lit(most) / F.col("eras")))
-    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("work_id").orderBy("round", "era", "turn"))).where(F.col("rank") <= most)
-    return found.select("work_id", F.format_string("E%04d", F.col("rank")).alias("evidence_id"), "chunk_id", "era", "type", "quote")
+    drawn = first.where("era is not null").join(rounds, ["work_id", "chunk_id"]).join(eras, "work_id")
+    drawn = drawn.withColumn("r", F.row_number().over(Window.partitionBy("work_id", "era").orderBy("round", "turn"))).where(F.col("r") <= F.ceil(F.lit(most) / F.col("eras")))
+    drawn = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("work_id").orderBy("round", "era", "turn"))).where(F.col("rank") <= most)
+    return drawn.select("work_id", F.format_string("E%04d", F.col("rank")).alias("evidence_id"), "chunk_id", "era", "type", "quote", *(["start_pos"] if places else []))
 
 
 def normal(c: Column) -> Column:

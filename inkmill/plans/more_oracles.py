@@ -113,4 +113,52 @@ SELECT doc_id, CAST(i AS INTEGER) AS pos, l[i].word AS word, l[i].flag AS flag F
     "entities": f"WITH {DOCS}, {TOK} SELECT doc_id, 0 AS person, 0 AS place, 0 AS org, 0 AS other, 0 AS entities, {D(0)} AS density FROM tk WHERE c > 0",
 }
 
-ORACLES = {**VOICES, **RATIOS}
+LAST = "li AS (SELECT DISTINCT ON (item_id) * FROM evidence_item ORDER BY item_id, ingested_at DESC)"
+VERIFIED = O.VERIFY.replace("SELECT item_id, coalesce(status", "vr AS (SELECT item_id, coalesce(status", 1).replace("\nvr AS", ",\nvr AS") + ")"
+CONF = f"coalesce(lower({strip('confidence')}), 'high')"
+
+
+def low(x: str) -> str:
+    return f"CASE WHEN {x} = 'high' THEN 'mid' ELSE 'low' END"
+
+
+POOL_CTE = O.POOL[: O.POOL.rindex(" SELECT work_id, printf")] + ", pool AS (SELECT work_id, printf('E%04d', rank) AS evidence_id, chunk_id, era, type, s AS quote FROM b WHERE rank <= 28)"
+SPANS = "sp AS (SELECT work_id, era, min(start_pos) AS st, max(start_pos + length(chunk_text)) AS en FROM evidence_store WHERE era_id IS NOT NULL GROUP BY ALL)"
+PROMISE = {k: (f"contains(body, {q(t)})", f"contains(coalesce(quote, ''), {q(m)})") for k, (t, m) in L.PROMISED_MARKS.items()}
+PROMISE["speech"] = (f"regexp_matches(body, {q('|'.join(L.SPEECH_TERMS))})", f"regexp_matches(coalesce(quote, ''), {q(L.SPEECH_SHOWN)})")
+PROMISE["comparison"] = (f"regexp_matches(body, {q('|'.join(L.COMPARISON_TERMS))})", f"regexp_matches(coalesce(quote, ''), {q(L.COMPARISON_SHOWN)})")
+
+
+def blank(c: str) -> str:
+    return f"coalesce({strip(c)}, '') = ''"
+
+
+def listing(rules: dict[str, str]) -> str:
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN {q(k)} END" for k, c in rules.items()) + "], lambda x: x IS NOT NULL), ',')"
+
+
+LEVEL = "NOT coalesce(lower({}) IN ('high', 'mid', 'low'), false)"
+SCHEMA = {
+    "name": f"{blank('card_name')} OR list_contains({O.listed(L.STOCK_NAMES)}, {strip('card_name')})", "definition": blank("definition"), "trigger": f"{blank('trigger_cond')} OR list_contains({O.listed(L.STOCK_TRIGGERS)}, {strip('trigger_cond')})",
+    "steps": "coalesce(len(steps), 0) NOT BETWEEN 3 AND 5", "boundary": blank("boundary"), "evidence": "n < 2", "quote": "n >= 2 AND nq > 0", "metric": "n >= 2 AND nm > 0", "counterexample": blank("counterexample"), "purpose": blank("serves_purpose"),
+    "transferability": LEVEL.format(strip("transferability")), "confidence": LEVEL.format(strip("confidence")),
+}
+CARDS = {
+    "evidence_positions": f"{POOL_CTE} SELECT work_id, evidence_id, chunk_id, pool.era, start_pos + instr(chunk_text, quote) - 1 AS start_pos, start_pos + instr(chunk_text, quote) - 1 + length(quote) AS end_pos FROM pool JOIN once USING (work_id, chunk_id)",
+    "quote_eras": f"""WITH {O.ONCE}, {LAST}, {SPANS}, m AS (SELECT item_id, li.work_id, o.era AS label, CASE WHEN length(quote) > 0 AND instr(chunk_text, quote) > 0 THEN start_pos + instr(chunk_text, quote) - 1 END AS pos FROM li JOIN once o ON o.work_id = li.work_id AND o.chunk_id = lower(trim(li.chunk_id)) WHERE trim(li.chunk_id) <> ''),
+f AS (SELECT item_id, label, sp.era, row_number() OVER (PARTITION BY item_id ORDER BY st, encode(sp.era)) AS r FROM m LEFT JOIN sp ON sp.work_id = m.work_id AND pos >= st AND pos < en) SELECT item_id, coalesce(era, label) AS era FROM f WHERE r = 1""",
+    "verified_cards": f"""{VERIFIED}, {LAST}, n AS (SELECT card_id, count(*) FILTER (WHERE status = 'valid') AS valid, count(*) FILTER (WHERE status = 'fixed') AS fixed, count(*) FILTER (WHERE status = 'downgraded') AS downgraded FROM li JOIN vr USING (item_id) GROUP BY 1)
+SELECT c.card_id, coalesce(valid, 0) AS valid, coalesce(fixed, 0) AS fixed, coalesce(downgraded, 0) AS downgraded, CASE WHEN downgraded > 0 THEN {low(CONF)} ELSE {CONF} END AS confidence FROM technique_card c LEFT JOIN n USING (card_id)""",
+    "references": f"{POOL_CTE}, {LAST} SELECT item_id, p.era IS NOT NULL AS known, p.era FROM li LEFT JOIN pool p ON p.work_id = li.work_id AND p.evidence_id = {strip('li.evidence_id')} WHERE {strip('li.evidence_id')} <> ''",
+    "expanded": f"""{POOL_CTE}, {LAST}, h AS (SELECT DISTINCT card_id, {strip('evidence_id')} AS evidence_id FROM li WHERE evidence_id IS NOT NULL), r AS (SELECT card_id, printf('E%04d', n) AS evidence_id FROM technique_card, (VALUES (1), (2), (3)) v(n))
+SELECT r.card_id, r.evidence_id, p.chunk_id, p.quote, p.era FROM r ANTI JOIN h USING (card_id, evidence_id) JOIN technique_card c ON c.card_id = r.card_id JOIN pool p ON p.work_id = c.work_id AND p.evidence_id = r.evidence_id""",
+    "reinforced": f"""WITH {LAST}, s AS (SELECT card_id, {', '.join(f'bool_or({m}) AS {k}' for k, (_, m) in PROMISE.items())} FROM li GROUP BY 1), c AS (SELECT card_id, coalesce(card_name, '') || ' ' || coalesce(definition, '') AS body, {CONF} AS c FROM technique_card),
+p AS (SELECT card_id, {listing({k: f'{t} AND NOT {k}' for k, (t, _) in PROMISE.items()})} AS problems, c FROM c JOIN s USING (card_id)) SELECT card_id, problems, {low('c')} AS confidence FROM p WHERE problems <> ''""",
+    "era_excerpts": f"WITH {O.ONCE}, m AS (SELECT *, row_number() OVER (PARTITION BY work_id, era ORDER BY chunk_id) AS i, count(*) OVER (PARTITION BY work_id, era) AS n FROM once) SELECT work_id, era, chunk_id, substr({strip('chunk_text')}, 1, 900) AS excerpt FROM m WHERE i = n // 2 + 1",
+    "copy_references": f"""WITH RECURSIVE {O.ONCE}, g AS (SELECT work_id, era, list(chunk_id ORDER BY chunk_id) AS l, min(chunk_id) AS first FROM once GROUP BY ALL),
+w AS (SELECT work_id, era, first, l, 0 AS round, l[len(l) // 2 + 1] AS chunk_id FROM g UNION ALL SELECT work_id, era, first, z, round + 1, z[len(z) // 2 + 1] FROM (SELECT *, list_concat(l[1:len(l) // 2], l[len(l) // 2 + 2:]) AS z FROM w) x WHERE len(z) > 0 AND round < 9),
+k AS (SELECT *, {rank('work_id', 'round, first')} FROM w) SELECT work_id, rank, chunk_id, era FROM k WHERE rank <= 10""",
+    "card_schema": f"WITH {LAST}, n AS (SELECT card_id, count(*) AS n, count(*) FILTER (WHERE {blank('quote')}) AS nq, count(*) FILTER (WHERE {blank('metric')}) AS nm FROM li GROUP BY 1), b AS (SELECT c.*, coalesce(n, 0) AS n, coalesce(nq, 0) AS nq, coalesce(nm, 0) AS nm FROM technique_card c LEFT JOIN n USING (card_id)), p AS (SELECT card_id, {listing(SCHEMA)} AS problems FROM b) SELECT * FROM p WHERE problems <> ''",
+}
+
+ORACLES = {**VOICES, **RATIOS, **CARDS}

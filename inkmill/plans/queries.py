@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inkmill.functions.frames import table
-from inkmill.operators import compare, dialogue, evidence, noise, packed, ratios, structure, style, tokenizer, voices
+from inkmill.operators import cards, compare, dialogue, evidence, noise, packed, ratios, structure, style, tokenizer, voices
 from inkmill.plans import more_oracles, oracles
 
 
@@ -48,6 +49,17 @@ def mad_bands(spark: SparkSession, directory: str) -> DataFrame:
     return compare.mad_bands(table(spark, directory, "documents"), "doc_kind", "n_chars")
 
 
+def expanded(spark: SparkSession, directory: str) -> DataFrame:
+    """Every card given the first three anchors of its work by id alone."""
+    own, items, chunks = (table(spark, directory, t) for t in ("technique_card", "evidence_item", "evidence_store"))
+    refs = own.select("card_id", F.explode(F.array(*[F.lit(f"E{n:04d}") for n in (1, 2, 3)])).alias("evidence_id"))
+    return cards.expanded(own, refs, items, chunks)
+
+
+def contract_fields(spark: SparkSession, directory: str) -> DataFrame:
+    return cards.contract_fields(table(spark, directory, "writer_contract"), p3_found(spark, directory))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "noise_stats": noise_stats,
@@ -60,6 +72,9 @@ QUERIES = {
     "masked": over(evidence.masked, "works", "evidence_store"), "anchors": over(evidence.anchors, "evidence_store"), "evidence_pool": over(evidence.evidence_pool, "evidence_store"),
     **{f.__name__: keyed(f) for f in (voices.fixed_phrases, voices.opening_words, voices.common_tags, voices.sample_quotes, voices.speaker_lists, voices.tag_frequencies, voices.tag_ratio, voices.unique_tags, voices.function_shares, voices.semantic_dimensions, voices.exemplars)},
     **{f.__name__: per_document(f) for f in (ratios.style_densities, ratios.style_markers, ratios.style_signals, ratios.scored_labels, ratios.deployment, ratios.low_level_ratios, ratios.special_systems, ratios.tagged_tokens)},
+    "evidence_positions": over(cards.evidence_positions, "evidence_store"), "quote_eras": over(cards.quote_eras, "evidence_item", "evidence_store"), "verified_cards": over(cards.verified_cards, "technique_card", "evidence_item", "evidence_store"),
+    "references": over(cards.references, "evidence_item", "evidence_store"), "expanded": expanded, "reinforced": over(cards.reinforced, "technique_card", "evidence_item"), "era_excerpts": over(cards.era_excerpts, "evidence_store"),
+    "copy_references": over(cards.copy_references, "evidence_store"), "card_schema": over(cards.card_schema, "technique_card", "evidence_item"), "contract_fields": contract_fields,
     "pos_shares": tokens(ratios.pos_shares), "entities": tokens(ratios.entities),
 }
 ORACLES = {**oracles.ORACLES, **more_oracles.ORACLES}
