@@ -116,3 +116,19 @@ COMPARISON_SHOWN = "宛如|犹如|如同|仿佛|像|如|若"
 # Names and triggers that say nothing.
 STOCK_NAMES = ["描写细腻", "文笔优美", "情节紧凑", "未命名技法"]
 STOCK_TRIGGERS = ["需要时", "合适的时候", "看情况"]
+
+# Lines that part the scenes of a trial, and the words that tell a scene's type.
+SCENE_MARK = r"(?m)^[ \t\x{3000}]*(?:-{3,}|={3,}|#{1,6}[ \t\x{3000}]*场景[^\n]*)[ \t\x{3000}\r]*$"
+SCENE_TYPES = [("日常", ["日常", "互动", "探索"]), ("冲突", ["冲突", "打斗", "高压", "战斗"]), ("抉择", ["抉择", "危机", "关键", "决定"])]
+
+# Kinds of cards, as (kind, terms in the card, marks in a text); the first kind that matches counts.
+CARD_PROFILES = [
+    ("metaphor", ["比喻", "点染", "喻体"], ["宛若", "仿佛", "如同", "犹如", "像", "如"]),
+    ("action", ["动作", "推拉", "切分", "动词"], ["拔", "斩", "冲", "退", "出拳", "踏", "抓", "挥"]),
+    ("question", ["设问", "线索", "疑问", "反问"], ["难道", "为何", "究竟", "？", "?"]),
+    ("ellipsis", ["省略号", "悬置"], ["……", "..."]),
+    ("dash", ["破折号", "揭底"], ["——", "--"]),
+    ("dialogue_tag", ["对话标签", "标签", "说话人", "对白", "台词", "声纹", "口癖"], ["说道", "问道", "答道", "笑道", "说", "道", "问", "“", "”", "「", "」"]),
+    ("perspective", ["视角", "人称", "镜头", "景别", "限知", "全知"], ["他", "她", "我", "你"]),
+    ("rhythm", ["节奏", "段落", "换行", "收束", "转场", "留白", "悬念", "节拍"], []),
+]

@@ -161,4 +161,96 @@ k AS (SELECT *, {rank('work_id', 'round, first')} FROM w) SELECT work_id, rank,
     "card_schema": f"WITH {LAST}, n AS (SELECT card_id, count(*) AS n, count(*) FILTER (WHERE {blank('quote')}) AS nq, count(*) FILTER (WHERE {blank('metric')}) AS nm FROM li GROUP BY 1), b AS (SELECT c.*, coalesce(n, 0) AS n, coalesce(nq, 0) AS nq, coalesce(nm, 0) AS nm FROM technique_card c LEFT JOIN n USING (card_id)), p AS (SELECT card_id, {listing(SCHEMA)} AS problems FROM b) SELECT * FROM p WHERE problems <> ''",
 }
 
-ORACLES = {**VOICES, **RATIOS, **CARDS}
+MARK = q(L.SCENE_MARK)
+
+
+def scenes(table: str) -> str:
+    return f"""sc0 AS (SELECT doc_id, string_split_regex(coalesce(text, ''), {MARK}) AS p, regexp_extract_all(coalesce(text, ''), {MARK}) AS m FROM {table}), sc1 AS (SELECT doc_id, p, m, unnest(range(1, len(p) + 1)) AS i FROM sc0),
+sc2 AS (SELECT doc_id, i, {strip(f"(CASE WHEN i > 1 AND starts_with({strip('m[i - 1]')}, '#') THEN {strip('m[i - 1]')} || chr(10) ELSE '' END || p[i])")} AS text FROM sc1),
+sc AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS scene, text FROM sc2 WHERE text <> '')"""
+
+
+TYPE = "CASE " + " ".join(f"WHEN regexp_matches(left(text, 40), {q('|'.join(w))}) THEN {q(n)}" for n, w in L.SCENE_TYPES) + " END"
+TYPE_NAMES = O.listed([n for n, _ in L.SCENE_TYPES])
+
+
+def checks(table: str) -> str:
+    return f"""{scenes(table)}, sk AS (SELECT doc_id, count(*) AS n_scenes, count(*) FILTER (WHERE length(text) < 800) AS short_scenes, list({TYPE}) FILTER (WHERE {TYPE} IS NOT NULL) AS types FROM sc GROUP BY 1),
+sl AS (SELECT d.doc_id, coalesce(n_scenes, 0) AS n_scenes, coalesce(short_scenes, 0) AS short_scenes, CASE WHEN len(types) > 0 THEN array_to_string(list_filter({TYPE_NAMES}, lambda x: NOT list_contains(types, x)), ',') END AS missing_types FROM {table} d LEFT JOIN sk USING (doc_id)),
+chk AS (SELECT *, n_scenes BETWEEN 2 AND 3 AND short_scenes = 0 AND coalesce(missing_types, '') = '' AS meets FROM sl)"""
+
+
+SCENE_BASE = O.lines_cte("doc_id, scene", "sc")
+LENS = "list_transform(sents, lambda s: length(s))"
+ERA_CHUNKS = O.lines_cte("work_id, chunk_id, era", "once", "chunk_text")
+
+
+def similes(keys: str) -> str:
+    return f"""s0 AS (SELECT {keys}, unnest(sents) AS s FROM base), s1 AS (SELECT {keys}, regexp_replace(s, '^[，、；：]+|[，、；：]+$', '', 'g') AS s FROM s0),
+s2 AS (SELECT {keys}, regexp_replace(s, {q(L.NOT_LIKE)}, '', 'g') AS s FROM s1 WHERE length(s) BETWEEN 8 AND 80), sm AS (SELECT {keys}, count(*) AS similes FROM s2 WHERE {O.SIMILE} GROUP BY ALL)"""
+
+
+CHUNK_SUMS = f"""{O.ONCE}, {ERA_CHUNKS}, {similes('work_id, chunk_id')}, cs AS (SELECT base.work_id, base.chunk_id, base.era, clean, length(clean) AS total_chars, len(sents) AS n_sentences, {total(LENS)} AS sentence_chars, len(list_filter({LENS}, lambda x: x <= 10)) AS short_sentences,
+ len(list_filter({LENS}, lambda x: x >= 50)) AS long_sentences, len(paras) AS n_paragraphs, {total('paras')} AS paragraph_chars, {QUOTED_CHARS} AS quoted, coalesce(similes, 0) AS similes FROM base LEFT JOIN sm ON sm.work_id = base.work_id AND sm.chunk_id = base.chunk_id)"""
+SUMMED = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("total_chars", "n_sentences", "sentence_chars", "short_sentences", "long_sentences", "n_paragraphs", "paragraph_chars", "quoted", "similes"))
+VALUES = f"""{ratio('sentence_chars', 'n_sentences')} AS avg_sentence, {ratio('short_sentences', 'n_sentences')} AS short_share, {ratio('long_sentences', 'n_sentences')} AS long_share, {ratio('paragraph_chars', 'n_paragraphs')} AS avg_paragraph,
+ {ratio('quoted', 'total_chars')} AS quoted_share, similes * {D(1000)} / CAST(greatest(total_chars, 1) AS DOUBLE) AS simile_density"""
+ERAS = O.listed(L.ERAS)
+WINDOWS = f"{CHUNK_SUMS}, ew AS (SELECT work_id, era, {SUMMED} FROM cs WHERE list_contains({ERAS}, era) GROUP BY ALL HAVING sum(total_chars) >= 200)"
+TREND = f"CASE WHEN n < 2 THEN 'too_few' WHEN span = 0 THEN 'steady' WHEN mean = 0 THEN 'shifting' WHEN span / abs(mean) <= {D('0.10')} THEN 'steady' WHEN abs(net) / path >= 0.5 THEN CASE WHEN net > 0 THEN 'rising' ELSE 'falling' END ELSE 'shifting' END"
+SIX = ["avg_sentence", "short_share", "long_share", "avg_paragraph", "quoted_share", "vocabulary"]
+MATRIX = f"""WITH {WINDOWS}, ru AS (SELECT work_id, era, unnest(regexp_extract_all(clean, {q(L.CJK + '{2,}')})) AS r FROM cs WHERE list_contains({ERAS}, era)), wd AS (SELECT work_id, era, substr(r, i, 2) AS word FROM (SELECT *, unnest(range(1, length(r))) AS i FROM ru)),
+wn AS (SELECT work_id, era, count(DISTINCT word) AS u, count(*) AS n FROM wd GROUP BY ALL), v AS (SELECT ew.work_id, list_position({ERAS}, ew.era) AS p, {VALUES}, {ratio('u', 'n')} AS vocabulary FROM ew LEFT JOIN wn ON wn.work_id = ew.work_id AND wn.era = ew.era),
+m AS ({' UNION ALL '.join(f"SELECT work_id, p, '{k}' AS measure, {k} AS v FROM v" for k in SIX)}), sq AS (SELECT work_id, measure, list(v ORDER BY p) AS v FROM m WHERE v IS NOT NULL GROUP BY ALL),
+t AS (SELECT *, len(v) AS n, list_sum(v) / len(v) AS mean, list_max(v) - list_min(v) AS span, v[len(v)] - v[1] AS net, list_sum(list_transform(range(2, len(v) + 1), lambda i: abs(v[i] - v[i - 1]))) AS path FROM sq)
+SELECT work_id, measure, CAST(n AS INTEGER) AS eras, mean, {TREND} AS trend FROM t"""
+FOUR = ["avg_sentence", "short_share", "quoted_share", "simile_density"]
+BANDED = f"""ev AS (SELECT work_id, {VALUES} FROM ew), em AS ({' UNION ALL '.join(f"SELECT work_id, '{k}' AS measure, {k} AS v FROM ev" for k in FOUR)}), e1 AS (SELECT work_id, measure, median(v) AS med, list(v) AS l FROM em GROUP BY ALL HAVING count(*) >= 4),
+e2 AS (SELECT work_id, measure, med, list_median(list_transform(l, lambda x: abs(x - med))) AS mad FROM e1), e3 AS (SELECT *, CASE WHEN mad <> 0 THEN mad WHEN med <> 0 THEN abs(med) * {D(0.05)} ELSE 0.5 END AS w FROM e2),
+bands AS (SELECT work_id, measure, med AS median, greatest({D(0)}, med - 3 * w) AS low, med + 3 * w AS high FROM e3)"""
+TRIALS = f"""tt AS (SELECT lower({strip('title')}) AS t, min(work_id) AS work_id FROM works WHERE {strip('title')} <> '' GROUP BY 1), tr AS (SELECT doc_id, tt.work_id, coalesce(text, '') AS text FROM documents JOIN tt ON tt.t = lower({strip('work_title')}) WHERE doc_kind = 'trial')"""
+
+
+def renamed(cte: str, names: list[str], mark: str) -> str:
+    """The CTE with its names marked, so that it can stand beside another copy."""
+    import re
+
+    for n in names:
+        cte = re.sub(rf"(?<![\w'.]){n}(?![\w'])", n + mark, cte)
+    return cte
+
+
+TRIAL_BASE = renamed(O.lines_cte("doc_id, work_id", "tr"), ["src", "ln0", "ln1", "ln", "agg", "base"], "_t")
+TRIAL_SIM = renamed(similes("doc_id"), ["base", "s0", "s1", "s2", "sm"], "_t")
+TRIAL_VALUES = f"""{TRIALS}, {TRIAL_BASE}, {TRIAL_SIM}, tv AS (SELECT b.doc_id, work_id, {ratio(total(LENS), 'len(sents)')} AS avg_sentence, len(list_filter({LENS}, lambda x: x <= 10)) * {D(100)} / CAST(greatest(len(sents), 1) AS DOUBLE) / {D(100)} AS short_share,
+ {ratio(QUOTED_CHARS, 'length(clean)')} AS quoted_share, coalesce(similes, 0) * {D(1000)} / CAST(greatest(length(clean), 1) AS DOUBLE) AS simile_density FROM base_t b LEFT JOIN sm_t ON sm_t.doc_id = b.doc_id)"""
+LIMIT = f"CASE measure WHEN 'avg_sentence' THEN {D(0.15)} WHEN 'simile_density' THEN {D('0.30')} ELSE {D('0.10')} END"
+RELATIVE = "measure IN ('avg_sentence', 'simile_density')"
+DEVIATION = f"""{WINDOWS}, {BANDED}, {TRIAL_VALUES}, ws AS (SELECT work_id, {SUMMED} FROM cs GROUP BY 1), wv AS (SELECT work_id, {VALUES} FROM ws), rf AS ({' UNION ALL '.join(f"SELECT work_id, '{k}' AS measure, {k} AS reference FROM wv" for k in FOUR)}),
+tm AS ({' UNION ALL '.join(f"SELECT doc_id, work_id, '{k}' AS measure, {k} AS trial FROM tv" for k in FOUR)}), dv AS (SELECT doc_id, measure, reference, trial, CASE WHEN {RELATIVE} THEN abs(trial - reference) / reference ELSE abs(trial - reference) END AS deviation, coalesce(trial BETWEEN low AND high, false) AS inside
+ FROM tm JOIN rf USING (work_id, measure) LEFT JOIN bands USING (work_id, measure) WHERE NOT ({RELATIVE}) OR reference > 0), dev AS (SELECT doc_id, measure, reference, trial, deviation, CASE WHEN inside THEN 'author_band' ELSE 'fixed_tolerance' END AS basis, inside OR deviation <= {LIMIT} AS passed FROM dv)"""
+PROFILE = "CASE " + " ".join(f"WHEN regexp_matches(body, {q('|'.join(t))}) THEN {q(n)}" for n, t, _ in L.CARD_PROFILES) + " END"
+SHOWN = "CASE profile " + " ".join(f"WHEN {q(n)} THEN {' OR '.join(f'contains(text, {q(m)})' for m in marks)}" for n, _, marks in L.CARD_PROFILES if marks) + " END"
+WORK_QUOTES = renamed(QUOTED.replace(DOCS, O.lines_cte("work_id, chunk_id", "once", "chunk_text")).replace("doc_id", "work_id, chunk_id"), ["src", "ln0", "ln1", "ln", "agg", "base", "q0", "q1", "q2", "qs", "qq", *[f"{s}{i}" for s in ("lft", "rgt") for i in (0, 1, 2, 3, 4, 5, 6, 9)]], "_w")
+LINES_OF = f"list_filter(list_transform(regexp_extract_all(text, {q(L.LINE)}), lambda x: length({strip('x')})), lambda n: n > 0)"
+MOST = "greatest(3, length(text) // 350)"
+USE = f"""{WORK_QUOTES}, tg AS (SELECT work_id, tag, count(*) AS n FROM qq_w WHERE tag IS NOT NULL GROUP BY ALL), tp AS (SELECT work_id, tag AS top_tag FROM (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY n DESC, encode(tag)) AS r FROM tg) WHERE r = 1),
+cp AS (SELECT card_id, work_id, {PROFILE} AS profile FROM (SELECT card_id, work_id, concat_ws(' ', coalesce(card_name, ''), coalesce(definition, ''), array_to_string(steps, ' ')) AS body FROM technique_card)),
+cu AS (SELECT doc_id, card_id, profile, CASE WHEN profile IS NULL THEN 'not_applicable' WHEN profile = 'rhythm' THEN CASE WHEN len(list_filter({LINES_OF}, lambda n: n <= 8)) > 0 OR len({LINES_OF}) >= 3 THEN 'covered' ELSE 'uncovered' END WHEN NOT ({SHOWN}) THEN 'uncovered'
+ WHEN (profile = 'ellipsis' AND {words('text', ['……'])} > {MOST}) OR (profile = 'dash' AND {words('text', ['——'])} > {MOST}) THEN 'deformed' WHEN profile = 'dialogue_tag' AND NOT coalesce(contains(text, top_tag), true) THEN 'uncovered' ELSE 'covered' END AS status
+ FROM tr JOIN cp USING (work_id) LEFT JOIN tp USING (work_id))"""
+FIDELITY = {
+    "scene_texts": f"WITH {scenes('documents')} SELECT * FROM sc",
+    "scene_checks": f"WITH {checks('documents')} SELECT * FROM chk",
+    "scene_measures": f"WITH {scenes('documents')}, {SCENE_BASE} SELECT b.doc_id, b.scene, length(sc.text) AS chars, {ratio(total(LENS), 'len(sents)')} AS avg_sentence, {ratio(QUOTED_CHARS, 'length(clean)')} AS quoted_share FROM base b JOIN sc ON sc.doc_id = b.doc_id AND sc.scene = b.scene",
+    "era_windows": f"WITH {WINDOWS} SELECT * FROM ew",
+    "era_matrix": MATRIX,
+    "window_bands": f"WITH {WINDOWS}, {BANDED} SELECT * FROM bands",
+    "deviations": f"WITH {DEVIATION} SELECT * FROM dev",
+    "card_use": f"WITH {O.ONCE}, {TRIALS}, {USE} SELECT * FROM cu",
+    "verdicts": f"""WITH {DEVIATION}, {USE}, {checks('tr')}, cy AS ({O.COPY.replace('WITH trial', 'WITH trial_c').replace('FROM trial', 'FROM trial_c')}), md AS (SELECT doc_id, bool_and(passed) AS m FROM dev GROUP BY 1), ub AS (SELECT doc_id, count(*) FILTER (WHERE status IN ('uncovered', 'deformed')) AS b, count(*) FILTER (WHERE status <> 'not_applicable') AS a FROM cu GROUP BY 1),
+o AS (SELECT tr.doc_id, coalesce(m, true) AS measures_passed, coalesce(b, 0) AS blocking_cards, coalesce(a, 0) AS applicable_cards, coalesce(NOT at_risk, true) AS copies_passed, meets AS scenes_passed FROM tr JOIN chk ON chk.doc_id = tr.doc_id LEFT JOIN md ON md.doc_id = tr.doc_id LEFT JOIN ub ON ub.doc_id = tr.doc_id LEFT JOIN cy ON cy.doc_id = tr.doc_id)
+SELECT *, measures_passed AND blocking_cards = 0 AND copies_passed AND scenes_passed AS passed FROM o""",
+}
+
+ORACLES = {**VOICES, **RATIOS, **CARDS, **FIDELITY}

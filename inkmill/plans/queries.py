@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmill.functions.frames import table
-from inkmill.operators import cards, compare, dialogue, evidence, noise, packed, ratios, structure, style, tokenizer, voices
+from inkmill.operators import cards, compare, dialogue, evidence, fidelity, noise, packed, ratios, structure, style, tokenizer, voices
 from inkmill.plans import more_oracles, oracles
 
 
@@ -60,6 +60,15 @@ def contract_fields(spark: SparkSession, directory: str) -> DataFrame:
     return cards.contract_fields(table(spark, directory, "writer_contract"), p3_found(spark, directory))
 
 
+def longest_shared(spark: SparkSession, directory: str) -> DataFrame:
+    trials = table(spark, directory, "documents", spread=True).where("doc_kind = 'trial'")
+    return fidelity.longest_shared(trials, "doc_id", "text", table(spark, directory, "eval_items"), "text")
+
+
+def verdicts(spark: SparkSession, directory: str) -> DataFrame:
+    return fidelity.verdicts(*[table(spark, directory, t) for t in ("documents", "works", "technique_card", "evidence_store")], copy_risk(spark, directory))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "noise_stats": noise_stats,
@@ -75,6 +84,8 @@ QUERIES = {
     "evidence_positions": over(cards.evidence_positions, "evidence_store"), "quote_eras": over(cards.quote_eras, "evidence_item", "evidence_store"), "verified_cards": over(cards.verified_cards, "technique_card", "evidence_item", "evidence_store"),
     "references": over(cards.references, "evidence_item", "evidence_store"), "expanded": expanded, "reinforced": over(cards.reinforced, "technique_card", "evidence_item"), "era_excerpts": over(cards.era_excerpts, "evidence_store"),
     "copy_references": over(cards.copy_references, "evidence_store"), "card_schema": over(cards.card_schema, "technique_card", "evidence_item"), "contract_fields": contract_fields,
+    **{f.__name__: keyed(f) for f in (fidelity.scene_texts, fidelity.scene_checks, fidelity.scene_measures)}, **{f.__name__: over(f, "evidence_store") for f in (fidelity.era_windows, fidelity.era_matrix, fidelity.window_bands)},
+    "deviations": over(fidelity.deviations, "documents", "works", "evidence_store"), "card_use": over(fidelity.card_use, "documents", "works", "technique_card", "evidence_store"), "verdicts": verdicts, "longest_shared": longest_shared,
     "pos_shares": tokens(ratios.pos_shares), "entities": tokens(ratios.entities),
 }
 ORACLES = {**oracles.ORACLES, **more_oracles.ORACLES}
