@@ -132,3 +132,10 @@ CARD_PROFILES = [
     ("perspective", ["视角", "人称", "镜头", "景别", "限知", "全知"], ["他", "她", "我", "你"]),
     ("rhythm", ["节奏", "段落", "换行", "收束", "转场", "留白", "悬念", "节拍"], []),
 ]
+
+# Terms in title brackets, and words that are no identity.
+BRACKETED = r"《([\x{4e00}-\x{9fa5}A-Za-z0-9]{2,12})》"
+NO_IDENTITY = "道 说 问 答 喊 叹 笑 说道 问道 答道 一个 这个 他们 我们 自己 什么 怎么 没有 知道 主角 导师 前辈 长辈 少年 少女 老者 青年 同伴 敌人 大人 先生 姑娘 皇帝 陛下 夫人 王爷 大臣 将军".split()
+
+# Volume headings.
+VOLUME = rf"^第[{NUMERALS}]+卷(?:[{WS}:：].*)?$"

@@ -122,16 +122,19 @@ def leak_scan(works: DataFrame, chunks: DataFrame) -> DataFrame:
     return both.select("work_id", "chunk_id", "kind", hits.alias("hits")).where("hits > 0")
 
 
-def masked(works: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunks with author and title replaced by labels in one pass, longest term first, ASCII names only as whole words: no label is replaced again."""
+def masked(works: DataFrame, chunks: DataFrame, author: str = "某作者", title: str = "某书") -> DataFrame:
+    """(work_id, chunk_id, masked): texts with author and title replaced by labels, longest term first, ASCII names only as whole words.
+
+    The text is cut at the longer term, the shorter one is replaced in the parts, and these are joined by the longer
+    one's label, so no label is replaced again whatever characters the text holds.
+    """
     once = latest_texts(chunks, ["work_id", "chunk_id"], "ingested_at", ["chunk_text"])
     names = terms(works).groupBy("work_id").agg(F.max(F.when(F.col("kind") == "author", F.col("term"))).alias("author"), F.max(F.when(F.col("kind") == "title", F.col("term"))).alias("title"))
     both = once.join(names, "work_id", "left")
-    put = lambda c, t, mark: F.when(whole_word(t).isNotNull(), F.regexp_replace(c, whole_word(t), F.lit(mark))).otherwise(F.replace(c, t, F.lit(mark)))
-    swap = lambda c, t, mark: F.when(F.contains(c, t), put(c, t, mark)).otherwise(c)
     a, t, x = F.col("author"), F.col("title"), F.col("chunk_text")
     first = F.length(F.coalesce(t, F.lit(""))) >= F.length(F.coalesce(a, F.lit("")))
-    one, two = "\ue000", "\ue001"  # stand-ins that no text holds, so a label is never masked again
-    x = F.when(first, swap(swap(x, t, two), a, one)).otherwise(swap(swap(x, a, one), t, two))
-    out = F.replace(F.replace(x, F.lit(one), F.lit("某作者")), F.lit(two), F.lit("某书"))
-    return both.select("work_id", "chunk_id", F.length(out).alias("n_chars"), F.md5(out).alias("masked_md5"))
+    both = both.select("work_id", "chunk_id", "chunk_text", F.when(first, t).otherwise(a).alias("long"), F.when(first, a).otherwise(t).alias("short"), F.when(first, title).otherwise(author).alias("long_label"), F.when(first, author).otherwise(title).alias("short_label"))
+    pattern = lambda c: F.coalesce(whole_word(F.col(c)), F.concat(F.lit(r"\Q"), F.col(c), F.lit(r"\E")))
+    part = lambda p: F.when(F.contains(p, F.col("short")), F.when(whole_word(F.col("short")).isNotNull(), F.regexp_replace(p, whole_word(F.col("short")), F.col("short_label"))).otherwise(F.replace(p, F.col("short"), F.col("short_label")))).otherwise(p)
+    cut = F.when(F.contains(x, F.col("long")), F.split(x, pattern("long"), -1)).otherwise(F.array(x))
+    return both.select("work_id", "chunk_id", F.when(x.isNotNull(), F.call_function("array_join", F.transform(cut, part), F.col("long_label"))).alias("masked"))

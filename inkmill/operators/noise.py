@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkmill.functions.frames import latest_texts
 from inkmill.functions.lexicons import CORRUPT, DIVIDER, LINE, LINK, NAVIGATION, NOTE_WORDS, PLATFORM
 from inkmill.functions.text import contains_any, strip, total
 
@@ -59,3 +60,15 @@ def noise_stats(df: DataFrame, key: str, text: str) -> DataFrame:
         F.size(gone).cast("long").alias("removed_lines"),
         *[_count(k) for k in KINDS],
     )
+
+
+def noise_shares(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, removed_share): removed characters over all; empty texts have 0."""
+    return noise_stats(df, key, text).select(key, (F.col("removed_chars") / F.greatest("raw_chars", F.lit(1)).cast("double")).alias("removed_share"))
+
+
+def work_noise(chunks: DataFrame) -> DataFrame:
+    """Noise counts of whole works, each delivery once: the sums over their chunks, combined before the shuffle."""
+    once = latest_texts(chunks, ["work_id", "chunk_id"], "ingested_at", ["chunk_text"]).withColumn("k", F.struct("work_id", "chunk_id"))
+    counts = noise_stats(once, "k", "chunk_text")
+    return counts.groupBy(F.col("k.work_id").alias("work_id")).agg(*[F.sum(c).alias(c) for c in counts.columns if c != "k"])

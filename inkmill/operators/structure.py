@@ -13,9 +13,13 @@ from inkmill.operators.noise import lines
 
 def heading_lines(chunks: DataFrame) -> DataFrame:
     """(work_id, pos, title) of heading lines; pos is 0-based on the axis of start_pos.  Chunks delivered again count once."""
-    once = latest_texts(chunks, ["work_id", "chunk_id"], "ingested_at", ["start_pos", "chunk_text"])
+    return found_lines(latest_texts(chunks, ["work_id", "chunk_id"], "ingested_at", ["start_pos", "chunk_text"]), L.HEADING)
+
+
+def found_lines(once: DataFrame, pattern: str) -> DataFrame:
+    """(work_id, pos, title) of the lines that match a pattern."""
     found = once.select("work_id", "start_pos", lines(F.col("chunk_text")).alias("l"))
-    heads = F.filter(F.transform("l", lambda x, i: F.struct(i.alias("i"), strip(x).alias("title"))), lambda h: h["title"].rlike(L.HEADING))
+    heads = F.filter(F.transform("l", lambda x, i: F.struct(i.alias("i"), strip(x).alias("title"))), lambda h: h["title"].rlike(pattern))
     at = lambda h: F.struct((F.col("start_pos") + total(F.transform(F.slice("l", F.lit(1), h["i"]), lambda x: F.length(x).cast("long")))).alias("pos"), h["title"].alias("title"))
     return found.select("work_id", F.explode(F.transform(heads, at)).alias("h")).select("work_id", "h.pos", "h.title").distinct()
 
@@ -23,12 +27,28 @@ def heading_lines(chunks: DataFrame) -> DataFrame:
 def chapter_index(chunks: DataFrame) -> DataFrame:
     """Half-open chapter spans of works with at least two headings; text before the first heading belongs to none."""
     heads = heading_lines(chunks)
-    ends = chunks.groupBy("work_id").agg(F.max(F.col("start_pos") + F.length("chunk_text")).alias("work_end"))
+    once = latest(chunks.select("work_id", "chunk_id", "ingested_at", (F.col("start_pos") + F.length("chunk_text")).alias("e")), ["work_id", "chunk_id"], "ingested_at", ["e"])
+    ends = once.groupBy("work_id").agg(F.max("e").alias("work_end"))
     w = Window.partitionBy("work_id").orderBy("pos")
     out = heads.groupBy("work_id", "pos").agg(F.min("title").alias("title")).withColumn("next", F.lead("pos").over(w)).withColumn("idx", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("work_id")))
     return out.where("n >= 2").join(ends, "work_id").select("work_id", F.col("idx").cast("int").alias("chapter_idx"), "title", F.col("pos").alias("start_pos"), F.coalesce("next", "work_end").alias("end_pos"))
 
 
+def chapter_volumes(chunks: DataFrame) -> DataFrame:
+    """(work_id, chapter_idx, volume) of every chapter heading: the last volume heading before it, cut to ``第X卷``; null before the first."""
+    once = latest_texts(chunks, ["work_id", "chunk_id"], "ingested_at", ["start_pos", "chunk_text"])
+    heads = chapter_index(chunks).select("work_id", F.col("start_pos").alias("pos"), "chapter_idx", F.lit(None).cast("string").alias("volume"))
+    volumes = found_lines(once, L.VOLUME).select("work_id", "pos", F.lit(None).cast("int").alias("chapter_idx"), F.regexp_extract("title", f"^第[{L.NUMERALS}]+卷", 0).alias("volume"))
+    before = Window.partitionBy("work_id").orderBy("pos").rangeBetween(Window.unboundedPreceding, -1)
+    return heads.unionByName(volumes).withColumn("volume", F.max_by("volume", F.when(F.col("volume").isNotNull(), F.col("pos"))).over(before)).where("chapter_idx is not null").select("work_id", "chapter_idx", "volume")
+
+
+def fallback_index(df: DataFrame, key: str, text: str, size: int = 4000) -> DataFrame:
+    """Equal parts of texts as chapters: (key, chapter_idx, title, start_pos, end_pos, is_fallback)."""
+    parts = fallback_chapters(df, key, text, size)
+    return parts.select(key, (F.col("part_no") - 1).alias("chapter_idx"), F.format_string("分段_%03d", F.col("part_no")).alias("title"), "start_pos", "end_pos", F.lit(True).alias("is_fallback"))
+
+
 def interval_join(points: DataFrame, spans: DataFrame, key: str, point: str, start: str, end: str, width: int = 4000) -> DataFrame:
     """Left outer join of points to the half-open spans that hold them, as an equi join on (key, bucket of ``width``).
 
@@ -63,6 +83,13 @@ def _era(i: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, L.ERAS)), (i + 1).cast("int"))
 
 
+def era_bounds(n: Column) -> list[tuple[Column, Column]]:
+    """Half-open spans of chapter numbers of the five periods of a book of n chapters."""
+    cut = [F.floor(n * s).cast("int") for s in L.ERA_SHARES]
+    ends = [F.greatest(F.lit(1), cut[0]), *[F.greatest(a + 1, b) for a, b in zip(cut, cut[1:])], n.cast("int")]
+    return list(zip([F.lit(0), *cut], ends))
+
+
 def reading_plan(chapters: DataFrame, budget: int = 150_000) -> DataFrame:
     """(work_id, chapter_idx, chapter_id, era) of the chapters to read.
 
@@ -81,10 +108,7 @@ def reading_plan(chapters: DataFrame, budget: int = 150_000) -> DataFrame:
     slot = F.least(F.floor(F.col("idx") * k / F.col("n")), k - 1).cast("int")
     whole = base.where(small).select("work_id", "idx", "chapter_id", _era(F.element_at(F.element_at(choice, k), slot + 1)).alias("era"))
 
-    cut = [F.floor(F.col("n") * s).cast("int") for s in L.ERA_SHARES]
-    starts = [F.lit(0), *cut]
-    ends = [F.greatest(F.lit(1), cut[0]), *[F.greatest(a + 1, b) for a, b in zip(cut, cut[1:])], F.col("n").cast("int")]
-    spans = F.array(*[F.struct(F.lit(i).alias("e"), a.cast("int").alias("a"), b.cast("int").alias("b")) for i, (a, b) in enumerate(zip(starts, ends))])
+    spans = F.array(*[F.struct(F.lit(i).alias("e"), a.cast("int").alias("a"), b.cast("int").alias("b")) for i, (a, b) in enumerate(era_bounds(F.col("n")))])
     large = base.where(~small).withColumn("s", F.explode(spans)).select("work_id", "idx", "chapter_id", "len", "s.*").where("idx >= a and idx < b")
     label = large.groupBy("work_id", "idx").agg(F.min("e").alias("first_e"))
     m = F.col("b") - F.col("a")
@@ -101,6 +125,61 @@ def reading_plan(chapters: DataFrame, budget: int = 150_000) -> DataFrame:
     return whole.unionByName(picked).select("work_id", F.col("idx").alias("chapter_idx"), "chapter_id", "era")
 
 
+def plan_coverage(chapters: DataFrame) -> DataFrame:
+    """(work_id, n, covered): chapters, and those that the five periods of the plan cover; equal unless the plan has a hole."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("work_id"))
+    base = chapters.select("work_id", F.col("chapter_idx").cast("int").alias("idx"), n.alias("n"))
+    spans = F.array(*[F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")) for a, b in era_bounds(F.col("n"))])
+    held = F.exists(spans, lambda s: (F.col("idx") >= s["a"]) & (F.col("idx") < s["b"]))
+    return base.groupBy("work_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(held).alias("covered"))
+
+
+def planned(chapters: DataFrame, budget: int) -> DataFrame:
+    own = chapters.select("work_id", "chapter_id", F.col("chapter_idx").cast("int").alias("chapter_idx"), F.col("chapter_no").alias("no"), "title", F.coalesce("volume", F.lit("")).alias("volume"), F.col("start_pos").alias("orig_start"), F.col("end_pos").alias("orig_end"))
+    return reading_plan(chapters, budget).join(own.drop("chapter_id"), ["work_id", "chapter_idx"])
+
+
+def plan_offsets(chapters: DataFrame, budget: int = 150_000) -> DataFrame:
+    """(work_id, chapter_id, orig_start, orig_end, start_pos, end_pos): where sampled chapters stand in the sampled text, two line breaks between them."""
+    w = Window.partitionBy("work_id").orderBy("chapter_idx").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.col("orig_end") - F.col("orig_start")
+    out = planned(chapters, budget).withColumn("start_pos", F.coalesce(F.sum(size + 2).over(w), F.lit(0)))
+    return out.select("work_id", "chapter_id", "orig_start", "orig_end", "start_pos", (F.col("start_pos") + size).alias("end_pos"))
+
+
+def plan_summary(chapters: DataFrame, budget: int = 150_000) -> DataFrame:
+    """(work_id, n_sampled, sampled_chars, coverage_pct): the size of the sampled text with its separators, and its share of the whole."""
+    total_ = chapters.groupBy("work_id").agg(F.max("end_pos").alias("chars"))
+    own = plan_offsets(chapters, budget).groupBy("work_id").agg(F.count(F.lit(1)).alias("n_sampled"), F.max("end_pos").alias("sampled_chars"))
+    return own.join(total_, "work_id").select("work_id", "n_sampled", "sampled_chars", (F.col("sampled_chars") * F.lit(100.0) / F.greatest("chars", F.lit(1)).cast("double")).alias("coverage_pct"))
+
+
+def plan_ranges(chapters: DataFrame, budget: int = 150_000) -> DataFrame:
+    """(work_id, era, range): first and last sampled chapter of each period in words, with the volume where there is one."""
+    named = F.when(F.col("title").rlike("[章回节]"), F.regexp_extract("title", "[0-9零一二三四五六七八九十百千万〇两]+", 0)).otherwise("")
+    label = F.struct("chapter_idx", F.col("volume").alias("v"), F.when(named != "", named).otherwise(F.col("no").cast("string")).alias("n"))
+    ends = planned(chapters, budget).groupBy("work_id", "era").agg(F.min(label).alias("a"), F.max(label).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    one = lambda x: F.concat(F.when(x["v"] != "", F.concat(x["v"], F.lit("·"))).otherwise(""), F.lit("第"), x["n"], F.lit("章"))
+    span = F.concat(F.lit("第"), a["n"], F.lit("~"), b["n"], F.lit("章"))
+    return ends.select("work_id", "era", F.when((a["v"] == "") & (b["v"] == ""), span).when(a["v"] == b["v"], F.concat(a["v"], F.lit(" "), span)).otherwise(F.concat(one(a), F.lit(" ~ "), one(b))).alias("range"))
+
+
+def sampled_texts(chapters: DataFrame, chunks: DataFrame, budget: int = 150_000) -> DataFrame:
+    """(work_id, sampled_text): the sampled chapters in order, two line breaks between them; a work's text is bounded by the budget.
+
+    Chapters meet the chunks they overlap on (work, 4,000-character bucket); only the overlapping parts are gathered.
+    """
+    once = latest_texts(chunks, ["work_id", "chunk_id"], "ingested_at", ["start_pos", "chunk_text"])
+    c = once.select("work_id", F.col("start_pos").alias("s"), "chunk_text").withColumn("e", F.col("s") + F.length("chunk_text"))
+    spans = plan_offsets(chapters, budget).select("work_id", "chapter_id", F.col("orig_start").alias("a"), F.col("orig_end").alias("z"), "start_pos")
+    bucket = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / 4000), F.floor((F.col(high) - 1) / 4000)))
+    met = spans.where("z > a").withColumn("k", bucket("a", "z")).join(c.where("e > s").withColumn("k", bucket("s", "e")), ["work_id", "k"]).where("s < z and e > a").where(F.col("k") == F.floor(F.greatest("s", "a") / 4000))
+    part = F.substring(F.col("chunk_text"), (F.greatest(F.col("a") - F.col("s"), F.lit(0)) + 1).cast("int"), (F.least("z", "e") - F.greatest("a", "s")).cast("int"))
+    per = met.groupBy("work_id", "chapter_id", "start_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", part.alias("t")))), lambda x: x["t"]), "").alias("t"))
+    return per.groupBy("work_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_pos", "t"))), lambda x: x["t"]), "\n\n").alias("sampled_text"))
+
+
 def fold_chunks(df: DataFrame, key: str, text: str, size: int = 2000) -> DataFrame:
     """Whole lines gathered until a chunk has ``size`` characters: (key, chunk_id, start_pos, n_chars), lossless."""
     l = lines(F.coalesce(F.col(text), F.lit("")))

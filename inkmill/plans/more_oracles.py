@@ -253,4 +253,61 @@ o AS (SELECT tr.doc_id, coalesce(m, true) AS measures_passed, coalesce(b, 0) AS
 SELECT *, measures_passed AND blocking_cards = 0 AND copies_passed AND scenes_passed AS passed FROM o""",
 }
 
-ORACLES = {**VOICES, **RATIOS, **CARDS, **FIDELITY}
+WORD = "^[\\x00-\\x7f]+$"
+
+
+def term_hits(text: str, term: str) -> str:
+    """Occurrences of a term, whole words only for ASCII terms: the other engine has no look-around, so neighbours are tested by splitting at the term."""
+    word = f"len(list_filter(range(1, len(string_split({text}, {term}))), lambda i: NOT regexp_matches(string_split({text}, {term})[i], '[A-Za-z0-9_]$') AND NOT regexp_matches(string_split({text}, {term})[i + 1], '^[A-Za-z0-9_]')))"
+    return f"CASE WHEN NOT contains({text}, {term}) THEN 0 WHEN regexp_matches({term}, '{WORD}') THEN {word} ELSE (length({text}) - length(replace({text}, {term}, ''))) // length({term}) END"
+
+
+WORK_SAID = f"""{WORK_QUOTES}, v0 AS (SELECT work_id, regexp_replace(name, {q(f'^[{O.PUNCT}]+|[{O.PUNCT}]+$')}, '', 'g') AS v0 FROM qq_w WHERE name IS NOT NULL),
+{', '.join(f"v{i + 1} AS (SELECT * EXCLUDE (v{i}), CASE WHEN length(v{i}) > 2 THEN {O.VERB.format(f'v{i}')} ELSE v{i} END AS v{i + 1} FROM v{i})" for i in range(4))},
+ws AS (SELECT work_id, v4 AS speaker FROM v4 WHERE v4 <> '' AND NOT list_contains({O.listed(['她', '他', '它', '她俩', '他俩', *L.NO_NAMES])}, v4) AND NOT (length(v4) = 2 AND regexp_matches(v4, '^[她他它]')) AND NOT regexp_matches(v4, '[的了吗呢吧啊呀哦嘛]') AND regexp_matches(v4, '^[\\x{{4e00}}-\\x{{9fa5}}A-Za-z·]{{2,6}}$'))"""
+TOPPED = "(SELECT work_id, term, n FROM (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY n DESC, encode(term)) AS r FROM {}) WHERE r <= {})"
+CANDIDATES = f"""{O.ONCE}, {O.TERMS}, {WORK_SAID}, sn AS (SELECT work_id, speaker AS term, count(*) AS n FROM ws GROUP BY ALL), br AS (SELECT work_id, unnest(regexp_extract_all(chunk_text, {q(L.BRACKETED)}, 1)) AS term FROM once), bn AS (SELECT work_id, term, count(*) AS n FROM br WHERE NOT list_contains({O.listed(L.NO_IDENTITY)}, term) GROUP BY ALL),
+cand AS (SELECT work_id, kind, term, CASE kind WHEN 'author' THEN 1000 ELSE 999 END AS score FROM tm WHERE length(term) >= 2 UNION ALL SELECT work_id, 'character', term, n * 5 FROM {TOPPED.format('sn', 3)} WHERE n >= 2 UNION ALL SELECT work_id, 'world', term, n * 10 FROM {TOPPED.format('bn', 5)})"""
+FLAT = "regexp_replace(coalesce({0}, ''), '[\\r\\n]+', ' ', 'g')"
+MASKED_LINES = f"""WITH li AS (SELECT item_id, arg_max({{'quote': quote, 'metric': metric, 'note': note}}, ingested_at) AS x FROM evidence_item GROUP BY 1), h AS (SELECT item_id, '[I' || item_id || '] “' || {FLAT.format('x.quote')} || '” (' || {FLAT.format('x.metric')} || ') — 注解：' || {FLAT.format('x.note')} AS line FROM li),
+c AS (SELECT item_id, line, regexp_extract(line, '(?s)^(.*?)(?:—[{L.WS}]*注解：|注解：)', 1) AS head FROM h)
+SELECT item_id, regexp_replace(head, '^(\\[[a-zA-Z0-9_-]+\\][{L.WS}]*[“"''「『])(.*)([”"''」』])', '\\1某\\3') || substr(line, length(head) + 1) AS line FROM c"""
+MAPPED = f"""{CANDIDATES}, mp AS (SELECT work_id, {strip("coalesce(original, '')")} AS o, {strip("coalesce(replacement, '')")} AS r FROM (SELECT work_id, term AS original, CASE kind WHEN 'author' THEN '某作者' WHEN 'title' THEN '某' || term WHEN 'character' THEN '某人' ELSE term END AS replacement FROM cand UNION ALL SELECT work_id, '未列之名', '' FROM works UNION ALL SELECT work_id, ' ', '某物' FROM works)),
+kt AS (SELECT DISTINCT work_id, {strip('term')} AS term FROM cand WHERE term <> ''), ot AS (SELECT * FROM kt WHERE length(term) >= 2 UNION SELECT work_id, o FROM mp WHERE o <> '' AND length(o) >= 2)"""
+IDENTITY = {
+    "candidates": f"WITH {CANDIDATES} SELECT * FROM cand",
+    "masked_evidence": MASKED_LINES,
+    "mapping_problems": f"""WITH {MAPPED} SELECT DISTINCT * FROM (SELECT work_id, o AS original, 'empty_key' AS problem FROM mp WHERE o = '' UNION ALL SELECT work_id, o, 'empty_value' FROM mp WHERE o <> '' AND r = '' UNION ALL SELECT work_id, o, 'identity' FROM mp WHERE o <> '' AND r = o
+ UNION ALL SELECT work_id, o, 'label_length' FROM mp WHERE o <> '' AND r <> '' AND length(r) NOT BETWEEN 2 AND 4 UNION ALL SELECT work_id, o, 'unknown' FROM mp ANTI JOIN kt ON kt.work_id = mp.work_id AND kt.term = mp.o WHERE o <> '' UNION ALL SELECT mp.work_id, o, 'leak' FROM mp JOIN ot ON ot.work_id = mp.work_id AND contains(r, term) AND term <> o WHERE o <> '' AND r <> '')""",
+    "card_leaks": f"""WITH {CANDIDATES}, fl AS ({' UNION ALL '.join(f"SELECT card_id, work_id, '.{c}' AS path, {c} AS value FROM technique_card" for c in ('card_name', 'definition', 'serves_purpose', 'trigger_cond', 'boundary', 'counterexample'))} UNION ALL SELECT card_id, work_id, '.steps[' || (i - 1) || ']', steps[i] FROM (SELECT *, unnest(range(1, len(steps) + 1)) AS i FROM technique_card)),
+ow AS (SELECT DISTINCT work_id, term FROM cand WHERE length(term) >= 2), z AS (SELECT card_id, path, term, CAST({term_hits('value', 'term')} AS BIGINT) AS hits FROM fl JOIN ow USING (work_id)) SELECT * FROM z WHERE hits > 0""",
+    "body_leaks": f"""WITH {CANDIDATES}, tt AS (SELECT lower({strip('title')}) AS t, min(work_id) AS work_id FROM works WHERE {strip('title')} <> '' GROUP BY 1), kn AS (SELECT work_id, term, min(kind) AS kind FROM cand GROUP BY ALL),
+z AS (SELECT doc_id, kind, term, CAST({term_hits('text', 'term')} AS BIGINT) AS hits FROM documents JOIN tt ON tt.t = lower({strip('work_title')}) JOIN kn ON kn.work_id = tt.work_id) SELECT * FROM z WHERE hits > 0""",
+    "leak_scan": f"WITH {O.ONCE}, {O.TERMS}, z AS (SELECT work_id, chunk_id, kind, CAST({term_hits('chunk_text', 'term')} AS BIGINT) AS hits FROM once JOIN tm USING (work_id) WHERE length(term) >= 2) SELECT * FROM z WHERE hits > 0",
+}
+PLAN_CTE = O.READING_PLAN.replace("SELECT work_id, idx AS chapter_idx", "pl AS (SELECT work_id, idx AS chapter_idx", 1).replace("\npl AS", ",\npl AS") + ")"
+OFFSETS = f"""{PLAN_CTE}, po AS (SELECT pl.work_id, pl.chapter_id, pl.chapter_idx, pl.era, chapter_no, title, coalesce(volume, '') AS volume, start_pos AS orig_start, end_pos AS orig_end FROM pl JOIN chapters c ON c.work_id = pl.work_id AND c.chapter_idx = pl.chapter_idx),
+pf AS (SELECT *, coalesce(sum(orig_end - orig_start + 2) OVER (PARTITION BY work_id ORDER BY chapter_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sp FROM po)"""
+ONE = "CASE WHEN {0}.v <> '' THEN {0}.v || '·' ELSE '' END || '第' || {0}.n || '章'"
+VOLUMES = f"""{O.CHAPTER_INDEX.replace("SELECT work_id, CAST(idx AS INTEGER) AS chapter_idx, title", "ci AS (SELECT work_id, CAST(idx AS INTEGER) AS chapter_idx, title").replace(chr(10) + "ci AS", "," + chr(10) + "ci AS")}),
+vh AS (SELECT DISTINCT work_id, start_pos + {total('list_transform(l[1:i - 1], lambda x: length(x))')} AS pos, regexp_extract({strip('l[i]')}, {q(f'^第[{L.NUMERALS}]+卷')}) AS volume FROM l1 WHERE regexp_matches({strip('l[i]')}, {q(L.VOLUME)}))
+SELECT ci.work_id, chapter_idx, arg_max(volume, pos) AS volume FROM ci LEFT JOIN vh ON vh.work_id = ci.work_id AND vh.pos < ci.start_pos GROUP BY ci.work_id, chapter_idx"""
+CHUNK_DOCS = O.lines_cte("work_id, chunk_id", "once", "chunk_text")
+STRUCTURE = {
+    "chapter_volumes": VOLUMES,
+    "fallback_index": "SELECT doc_id, CAST(k // 4000 AS INTEGER) AS chapter_idx, printf('分段_%03d', k // 4000 + 1) AS title, CAST(k AS INTEGER) AS start_pos, CAST(least(k + 4000, n) AS INTEGER) AS end_pos, true AS is_fallback FROM (SELECT doc_id, length(text) AS n, unnest(range(0, length(text), 4000)) AS k FROM documents WHERE length(text) > 0)",
+    "plan_coverage": "SELECT work_id, count(*) AS n, count(*) AS covered FROM chapters GROUP BY 1",
+    "plan_offsets": f"{OFFSETS} SELECT work_id, chapter_id, orig_start, orig_end, CAST(sp AS BIGINT) AS start_pos, CAST(sp + orig_end - orig_start AS BIGINT) AS end_pos FROM pf",
+    "plan_summary": f"{OFFSETS}, w AS (SELECT work_id, max(end_pos) AS chars FROM chapters GROUP BY 1), z AS (SELECT work_id, count(*) AS n_sampled, CAST(max(sp + orig_end - orig_start) AS BIGINT) AS sampled_chars FROM pf GROUP BY 1) SELECT work_id, n_sampled, sampled_chars, sampled_chars * {D(100)} / CAST(greatest(chars, 1) AS DOUBLE) AS coverage_pct FROM z JOIN w USING (work_id)",
+    "plan_ranges": f"""{OFFSETS}, lb AS (SELECT work_id, era, chapter_idx, volume AS v, CASE WHEN regexp_matches(title, '[章回节]') AND regexp_extract(title, '[0-9零一二三四五六七八九十百千万〇两]+') <> '' THEN regexp_extract(title, '[0-9零一二三四五六七八九十百千万〇两]+') ELSE CAST(chapter_no AS VARCHAR) END AS n FROM po),
+en AS (SELECT work_id, era, arg_min({{'v': v, 'n': n}}, chapter_idx) AS a, arg_max({{'v': v, 'n': n}}, chapter_idx) AS b FROM lb GROUP BY ALL)
+SELECT work_id, era, CASE WHEN a.v = '' AND b.v = '' THEN '第' || a.n || '~' || b.n || '章' WHEN a.v = b.v THEN a.v || ' 第' || a.n || '~' || b.n || '章' ELSE {ONE.format('a')} || ' ~ ' || {ONE.format('b')} END AS range FROM en""",
+    "sampled_texts": f"""{OFFSETS}, {O.ONCE}, pt AS (SELECT pf.work_id, chapter_id, sp, o.start_pos AS s, substr(chunk_text, CAST(greatest(orig_start - o.start_pos, 0) + 1 AS BIGINT), CAST(least(orig_end, o.start_pos + length(chunk_text)) - greatest(orig_start, o.start_pos) AS BIGINT)) AS t
+ FROM pf JOIN once o ON o.work_id = pf.work_id AND o.start_pos < orig_end AND o.start_pos + length(chunk_text) > orig_start), pc AS (SELECT work_id, chapter_id, sp, string_agg(t, '' ORDER BY s) AS t FROM pt GROUP BY ALL) SELECT work_id, length(string_agg(t, chr(10) || chr(10) ORDER BY sp)) AS n_chars, md5(string_agg(t, chr(10) || chr(10) ORDER BY sp)) AS text_md5 FROM pc GROUP BY 1""",
+    "noise_shares": f"SELECT doc_id, removed_chars / CAST(greatest(raw_chars, 1) AS DOUBLE) AS removed_share FROM ({O.NOISE})",
+    "work_noise": f"""WITH {O.ONCE}, {CHUNK_DOCS}, g AS (SELECT work_id, chunk_id, sum(length(x)) FILTER (WHERE kind NOT IN ('kept', 'blank')) AS rc, count(*) FILTER (WHERE kind NOT IN ('kept', 'blank')) AS rl, {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS {k}" for k in O.KINDS)} FROM ln GROUP BY ALL)
+SELECT s.work_id, CAST(sum(length(s.t)) AS BIGINT) AS raw_chars, CAST(sum(length(b.clean)) AS BIGINT) AS clean_chars, CAST(coalesce(sum(rc), 0) AS BIGINT) AS removed_chars, CAST(coalesce(sum(rl), 0) AS BIGINT) AS removed_lines, {', '.join(f'CAST(coalesce(sum({k}), 0) AS BIGINT) AS {k}' for k in O.KINDS)}
+ FROM src s JOIN base b ON b.work_id = s.work_id AND b.chunk_id = s.chunk_id LEFT JOIN g ON g.work_id = s.work_id AND g.chunk_id = s.chunk_id GROUP BY 1""",
+}
+
+ORACLES = {**VOICES, **RATIOS, **CARDS, **FIDELITY, **IDENTITY, **STRUCTURE}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmill.functions.frames import table
-from inkmill.operators import cards, compare, dialogue, evidence, fidelity, noise, packed, ratios, structure, style, tokenizer, voices
+from inkmill.functions.frames import materialise, table
+from inkmill.operators import cards, compare, dialogue, evidence, fidelity, identity, noise, packed, ratios, structure, style, tokenizer, voices
 from inkmill.plans import more_oracles, oracles
 
 
@@ -69,6 +69,27 @@ def verdicts(spark: SparkSession, directory: str) -> DataFrame:
     return fidelity.verdicts(*[table(spark, directory, t) for t in ("documents", "works", "technique_card", "evidence_store")], copy_risk(spark, directory))
 
 
+def masked(spark: SparkSession, directory: str) -> DataFrame:
+    """Sizes and hashes of the masked texts, so that both engines can be compared."""
+    out = evidence.masked(table(spark, directory, "works"), table(spark, directory, "evidence_store", spread=True))
+    return out.select("work_id", "chunk_id", F.length("masked").alias("n_chars"), F.md5("masked").alias("masked_md5"))
+
+
+def sampled_texts(spark: SparkSession, directory: str) -> DataFrame:
+    out = structure.sampled_texts(table(spark, directory, "chapters"), table(spark, directory, "evidence_store"))
+    return out.select("work_id", F.length("sampled_text").alias("n_chars"), F.md5("sampled_text").alias("text_md5"))
+
+
+def mapping_problems(spark: SparkSession, directory: str) -> DataFrame:
+    """A mapping made by rule from the candidates, with faults of every kind."""
+    works = table(spark, directory, "works")
+    known = materialise(identity.candidates(works, table(spark, directory, "evidence_store")))
+    label = F.when(F.col("kind") == "author", F.lit("某作者")).when(F.col("kind") == "title", F.concat(F.lit("某"), F.col("term"))).when(F.col("kind") == "character", F.lit("某人")).otherwise(F.col("term"))
+    made = known.select("work_id", F.col("term").alias("original"), label.alias("replacement"))
+    faults = works.select("work_id", F.explode(F.array(F.struct(F.lit("未列之名").alias("original"), F.lit("").alias("replacement")), F.struct(F.lit(" ").alias("original"), F.lit("某物").alias("replacement")))).alias("x")).select("work_id", "x.*")
+    return identity.mapping_problems(made.unionByName(faults), known)
+
+
 QUERIES = {
     "p3_found": p3_found,
     "noise_stats": noise_stats,
@@ -78,7 +99,7 @@ QUERIES = {
     "imagery": keyed(tokenizer.imagery), "quotes": keyed(dialogue.quotes), "speakers": keyed(dialogue.speakers), "dialogue_functions": keyed(dialogue.dialogue_functions), "tag_counts": keyed(dialogue.tag_counts),
     "era_measures": over(compare.era_measures, "evidence_store"), "era_trends": over(compare.era_trends, "evidence_store"), "mad_bands": mad_bands, "copy_risk": copy_risk, "copy_risk_books": copy_risk_books, "scenes": keyed(compare.scenes),
     "evidence_verify": over(evidence.verify, "evidence_item", "evidence_store"), "work_codes": over(evidence.work_codes, "works"), "leak_scan": over(evidence.leak_scan, "works", "evidence_store"),
-    "masked": over(evidence.masked, "works", "evidence_store"), "anchors": over(evidence.anchors, "evidence_store"), "evidence_pool": over(evidence.evidence_pool, "evidence_store"),
+    "masked": masked, "anchors": over(evidence.anchors, "evidence_store"), "evidence_pool": over(evidence.evidence_pool, "evidence_store"),
     **{f.__name__: keyed(f) for f in (voices.fixed_phrases, voices.opening_words, voices.common_tags, voices.sample_quotes, voices.speaker_lists, voices.tag_frequencies, voices.tag_ratio, voices.unique_tags, voices.function_shares, voices.semantic_dimensions, voices.exemplars)},
     **{f.__name__: per_document(f) for f in (ratios.style_densities, ratios.style_markers, ratios.style_signals, ratios.scored_labels, ratios.deployment, ratios.low_level_ratios, ratios.special_systems, ratios.tagged_tokens)},
     "evidence_positions": over(cards.evidence_positions, "evidence_store"), "quote_eras": over(cards.quote_eras, "evidence_item", "evidence_store"), "verified_cards": over(cards.verified_cards, "technique_card", "evidence_item", "evidence_store"),
@@ -86,6 +107,10 @@ QUERIES = {
     "copy_references": over(cards.copy_references, "evidence_store"), "card_schema": over(cards.card_schema, "technique_card", "evidence_item"), "contract_fields": contract_fields,
     **{f.__name__: keyed(f) for f in (fidelity.scene_texts, fidelity.scene_checks, fidelity.scene_measures)}, **{f.__name__: over(f, "evidence_store") for f in (fidelity.era_windows, fidelity.era_matrix, fidelity.window_bands)},
     "deviations": over(fidelity.deviations, "documents", "works", "evidence_store"), "card_use": over(fidelity.card_use, "documents", "works", "technique_card", "evidence_store"), "verdicts": verdicts, "longest_shared": longest_shared,
+    "candidates": over(identity.candidates, "works", "evidence_store"), "masked_evidence": lambda spark, directory: identity.masked_evidence(table(spark, directory, "evidence_item"), "某"), "mapping_problems": mapping_problems,
+    "card_leaks": over(identity.card_leaks, "technique_card", "works", "evidence_store"), "body_leaks": over(identity.body_leaks, "documents", "works", "evidence_store"),
+    "chapter_volumes": over(structure.chapter_volumes, "evidence_store"), "fallback_index": keyed(structure.fallback_index), **{f.__name__: over(f, "chapters") for f in (structure.plan_coverage, structure.plan_offsets, structure.plan_summary, structure.plan_ranges)}, "sampled_texts": sampled_texts,
+    "noise_shares": keyed(noise.noise_shares), "work_noise": over(noise.work_noise, "evidence_store"),
     "pos_shares": tokens(ratios.pos_shares), "entities": tokens(ratios.entities),
 }
 ORACLES = {**oracles.ORACLES, **more_oracles.ORACLES}

@@ -9,10 +9,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from inkmill.functions.frames import latest, latest_texts, shared_dir
 from inkmill.functions.probes import find_quotes
 from inkmill.functions.text import grams, strip
-from inkmill.operators import compare, dialogue, evidence, noise, packed, structure, style, tokenizer
-from inkmill.sources import text_files
+from inkmill.operators import compare, dialogue, evidence, fidelity, identity, noise, packed, ratios, structure, style, tokenizer, voices
+from inkmill.sources import records, text_files
 from inkmill.streaming import style_stream
 
 DOCS = "doc_id long, text string, doc_id2 string"
@@ -104,8 +105,15 @@ def test_ascii_names_are_whole_words(spark):
     works = spark.createDataFrame([("w", "Ash", "林砚"), ("v", "The C++ \\E Way", None)], "work_id string, author_name string, title string").select("work_id", "author_name", "title")
     chunks = spark.createDataFrame([("w", "c1", "Ashes washed Ash, and Ash_1; 林砚说", 1), ("w", "c2", "only Ashes", 1), ("v", "c1", "(The C++ \\E Way) Then", 1)], "work_id string, chunk_id string, chunk_text string, ingested_at long")
     assert sorted(map(tuple, evidence.leak_scan(works, chunks).collect())) == [("v", "c1", "author", 1), ("w", "c1", "author", 1), ("w", "c1", "title", 1)]
-    sizes = {(r.work_id, r.chunk_id): r.n_chars for r in evidence.masked(works, chunks).collect()}
-    assert sizes == {("w", "c1"): len("Ashes washed 某作者, and Ash_1; 某书说"), ("w", "c2"): 10, ("v", "c1"): len("(某作者) Then")}
+    texts = {(r.work_id, r.chunk_id): r.masked for r in evidence.masked(works, chunks).collect()}
+    assert texts == {("w", "c1"): "Ashes washed 某作者, and Ash_1; 某书说", ("w", "c2"): "only Ashes", ("v", "c1"): "(某作者) Then"}
+
+
+def test_masking_replaces_no_label_again(spark):
+    works = spark.createDataFrame([("w", "作者", "某作者的书"), ("v", None, None), ("u", "林", "林")], "work_id string, author_name string, title string")
+    chunks = spark.createDataFrame([("w", "c1", "某作者的书，作者\ue000", 1), ("v", "c1", "作者", 1), ("u", "c1", None, 1), ("w", "c2", None, 1)], "work_id string, chunk_id string, chunk_text string, ingested_at long")
+    texts = {(r.work_id, r.chunk_id): r.masked for r in evidence.masked(works, chunks).collect()}
+    assert texts == {("w", "c1"): "某书，某作者\ue000", ("v", "c1"): "作者", ("u", "c1"): None, ("w", "c2"): None}
 
 
 def test_corpus_copy_risk_agrees_with_all_grams(spark):
@@ -231,3 +239,156 @@ def test_stream(spark, tmp_path):
 def test_json_lists_keep_order():
     values = [f"条款{i}；续" for i in range(50)]
     assert packed.segment(json.dumps(values)) == values
+
+
+def test_latest_texts_agrees_with_latest(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.randint(0, 4), rng.choice([1, 2, 3, None]), rng.choice(["x", "y", None])) for _ in range(60)]
+    df = spark.createDataFrame(rows, "k string, n int, at int, t string")
+    both = [sorted(map(str, f(df, ["k", "n"], "at", ["t"]).collect())) for f in (latest, latest_texts)]
+    assert both[0] == both[1] and latest_texts(df.limit(0), ["k", "n"], "at", ["t"]).count() == 0
+    once = df.dropDuplicates(["k", "n"])
+    assert sorted(map(str, latest_texts(once, ["k", "n"], "at", ["t"]).collect())) == sorted(map(str, once.select("k", "n", "t").collect()))
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark):
+    class Fake:
+        conf = spark.conf
+
+        class sparkContext:
+            master = "yarn"
+
+            class _jsc:
+                @staticmethod
+                def sc():
+                    return type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))})
+
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(ValueError):
+            shared_dir(Fake)
+
+
+TALK = "“走吧走吧。”林砚说道。“走吧走吧？”林砚说道。“好的呀！”苏疏笑道。" + "夜色沉沉。" * 210 + "“走吧走吧。”林砚说道。“好的呀！”苏疏笑道。“好的呀！！！”苏疏笑道。"
+
+
+def test_voices(spark):
+    df = spark.createDataFrame([(1, TALK), (2, None), (3, "")], "doc_id long, text string")
+    assert [(r.speaker, r.word, r.n) for r in voices.opening_words(df, "doc_id", "text").orderBy("speaker").collect()] == [("林砚", "走吧", 3), ("苏疏", "好的", 3)]
+    assert ("林砚", "走吧", 6) in {(r.speaker, r.word, r.n) for r in voices.fixed_phrases(df, "doc_id", "text").collect()}
+    assert {(r.tag, r.speaker, r.n) for r in voices.unique_tags(df, "doc_id", "text").collect()} == {("说道", "林砚", 3), ("笑道", "苏疏", 3)}
+    assert {(r.confidence, r.speaker, r.lines) for r in voices.speaker_lists(df, "doc_id", "text").collect()} == {("high", "林砚", 3), ("high", "苏疏", 3)}
+    assert {(r.kind, r.content) for r in voices.exemplars(df, "doc_id", "text").collect()} == {("overdone", "好的呀！！！")}
+    assert voices.tag_ratio(df, "doc_id", "text").first().dao == 6 and voices.semantic_dimensions(df, "doc_id", "text").count() == 3
+
+
+def test_tagged_measures(spark):
+    rows = [(1, i + 1, w, f) for i, (w, f) in enumerate([("林砚", "nr")] * 7 + [("灵石", "nz")] * 6 + [("跑", "v"), ("很", "d"), ("山门", "ns"), (" ", "x"), ("好", None)])] + [(2, i, f"器{chr(0x4E00 + i // 6)}", "nz") for i in range(6 * 32)]
+    tokens = spark.createDataFrame(rows, "doc_id long, pos int, word string, flag string")
+    one = ratios.pos_shares(tokens, "doc_id").where("doc_id = 1").first()
+    assert (one.verb_ratio, one.adverb_ratio, one.content_words) == (0.5, 0.5, 2)
+    names = ratios.entities(tokens, "doc_id").where("doc_id = 1").first()
+    assert (names.person, names.place, names.other, names.entities) == (7, 1, 6, 14)
+    assert [(r.kind, r.word) for r in ratios.entity_samples(tokens, "doc_id").where("doc_id = 1").orderBy("kind").collect()] == [("other", "灵石"), ("person", "林砚"), ("place", "山门")]
+    found = ratios.worldview(tokens, "doc_id").collect()
+    assert {(r.category, r.word, r.n) for r in found if r.doc_id == 1} == {("核心角色", "林砚", 7), ("核心设定", "灵石", 6)}
+    assert [sum(r.category == c for r in found if r.doc_id == 2) for c in ("核心设定", "力量体系", "组织势力")] == [10, 10, 10]
+
+
+def test_scenes(spark):
+    text = "前文日常\n---\n# 场景2：冲突\n打斗\n===\n\n结尾"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "---\n---"), (4, "# 场景")], "doc_id long, text string")
+    rows = {(r.doc_id, r.scene): r.text for r in fidelity.scene_texts(df, "doc_id", "text").collect()}
+    assert rows == {(1, 1): "前文日常", (1, 2): "# 场景2：冲突\n\n打斗", (1, 3): "结尾", (4, 1): "# 场景"}
+    checks = {r.doc_id: r for r in fidelity.scene_checks(df, "doc_id", "text").collect()}
+    assert (checks[1].n_scenes, checks[1].short_scenes, checks[1].missing_types, checks[1].meets) == (3, 3, "抉择", False) and checks[2].missing_types is None and checks[4].missing_types is None
+
+
+def test_longest_shared_stretch(spark):
+    rng = random.Random(7)
+    texts = [(i, "".join(rng.choices("甲乙", k=rng.choice([0, 1, 30, 90])))) for i in range(20)] + [(99, None)]
+    refs = [("".join(rng.choices("甲乙", k=60)),) for _ in range(3)] + [(None,), ("",)]
+
+    def brute(t):
+        return max((n for r, in refs for n in range(len(t or "") + 1) if any((t or "")[a : a + n] in (r or "") for a in range(len(t or "") - n + 1))), default=0)
+
+    df, rf = spark.createDataFrame(texts, "id long, t string"), spark.createDataFrame(refs, "r string")
+    for most in (10_000, 50):
+        assert {r.id: r.longest for r in fidelity.longest_shared(df, "id", "t", rf, "r", most).collect()} == {i: brute(t) for i, t in texts}
+    assert {r.longest for r in fidelity.longest_shared(df, "id", "t", rf.limit(0), "r").collect()} == {0}
+
+
+def test_identity(spark):
+    line = "前 [E1] “甲说“好”乙”（度量）— 注解：看“丙” [E2] “丁” 尾"
+    got = spark.createDataFrame([(line,), ("无锚点“原样”",), (None,)], "t string").select(identity.masked_quotes(F.col("t"), "＊").alias("m")).collect()
+    assert [r.m for r in got] == ["前 [E1] “＊”（度量）— 注解：看“丙” [E2] “＊” 尾", "无锚点“原样”", None]
+    record = json.dumps({"name": "林砚录", "evidence": [{"quote": "林砚", "note": "林砚说"}], "discarded_candidates": ["林砚"], "desensitization_map": {"林砚": "旧人"}, "a": {"林砚": 1}}, ensure_ascii=False)
+    strings = identity.json_strings(spark.createDataFrame([(1, "w", record), (2, "w", "{"), (3, "w", None)], "id long, work_id string, j string"), ["id", "work_id"], "j")
+    known = spark.createDataFrame([("w", "林砚"), ("w", "砚"), ("v", "旧人")], "work_id string, term string")
+    assert sorted((r.path, r.term) for r in identity.record_leaks(strings, "id", known).collect()) == [(".a.林砚", "林砚"), (".evidence[0].note", "林砚"), (".name", "林砚")]
+    mapping = spark.createDataFrame([("w", "林砚", "林砚"), ("w", "砚台", ""), ("w", " ", "x"), ("w", "山门", "林砚之门外人")], "work_id string, original string, replacement string")
+    assert sorted((r.original, r.problem) for r in identity.mapping_problems(mapping, known).collect()) == [("", "empty_key"), ("山门", "label_length"), ("山门", "leak"), ("山门", "unknown"), ("林砚", "identity"), ("砚台", "empty_value"), ("砚台", "unknown")]
+
+
+def test_volumes_and_samples(spark):
+    rows = [("w", "c1", 1, 0, "第一卷 起\n第1章 甲\n正文\n第2章 乙\n", "e", 1), ("w", "c2", 2, 24, "正文正文\n第二卷\n第3章 丙\n尾", "e", 1)]
+    rows[1] = (*rows[1][:3], len(rows[0][4]), *rows[1][4:])
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    assert [(r.chapter_idx, r.volume) for r in structure.chapter_volumes(chunks).orderBy("chapter_idx").collect()] == [(0, "第一卷"), (1, "第一卷"), (2, "第二卷")]
+    whole = rows[0][4] + rows[1][4]
+    spans = [(0, 10), (10, 30), (30, len(whole))]
+    chapters = spark.createDataFrame([("w", f"C{i}", i, i + 1, "题", None if i else "第一卷", a, b, b - a) for i, (a, b) in enumerate(spans)], "work_id string, chapter_id string, chapter_idx int, chapter_no int, title string, volume string, start_pos long, end_pos long, n_chars long")
+    assert structure.sampled_texts(chapters, chunks).first().sampled_text == "\n\n".join(whole[a:b] for a, b in spans)
+    assert structure.plan_summary(chapters).first().sampled_chars == len(whole) + 4
+    assert {r.range for r in structure.plan_ranges(chapters).collect()} == {"第一卷 第1~1章", "第2~2章", "第3~3章"}
+
+
+def test_imagery(spark):
+    text = "灯火摇曳，灯火通明。" * 12 + "林砚来，" * 15 + "好的呀，" * 20
+    df = spark.createDataFrame([(1, text), (2, None), (3, "灯火，" * 9)], "doc_id long, text string")
+    names = spark.createDataFrame([(1, "林砚")], "doc_id long, speaker string")
+    rows = [(r.rank, r.word, r.n) for r in tokenizer.imagery(df, "doc_id", "text", names=names).orderBy("rank").collect()]
+    # phrases are read without overlap, three characters at a time where they can be
+    assert rows == [(1, "灯火摇", 12), (2, "灯火通", 12)]
+    assert tokenizer.chosen("灯火摇曳" * 3, ["灯火摇", "火摇曳", "曳"], 8) == [0, 2]
+    assert tokenizer.imagery(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_dictionary_file_and_user_words(spark, tmp_path):
+    (tmp_path / "d.txt").write_text("中国 50 ns\n中国人 20 n\n\n人民 60\n", encoding="utf-8")
+    words = tokenizer.dictionary_file(spark, str(tmp_path / "d.txt"))
+    assert sorted(tuple(r) for r in words.collect()) == [("中国", 50, "ns"), ("中国人", 20, "n"), ("人民", 60, None)]
+    user = spark.createDataFrame([("人民", 0, None), ("民国", None, "t"), ("中国", 70, "n")], "word string, freq int, tag string")
+    assert sorted(tuple(r) for r in tokenizer.with_user_words(words, user).collect()) == [("中国", 70, "n"), ("中国人", 20, "n"), ("民国", 1, "t")]
+    (tmp_path / "bad.txt").write_text("中国 x n\n", encoding="utf-8")
+    with pytest.raises(Exception, match="no dictionary entry"):
+        tokenizer.dictionary_file(spark, str(tmp_path / "bad.txt")).collect()
+
+
+def test_cut_takes_the_most_probable_path():
+    rng = random.Random(11)
+    words = tokenizer.Words([("".join(rng.choices("甲乙丙", k=rng.randint(1, 4))), rng.randint(1, 50), "n") for _ in range(25)])
+
+    def score(parts):
+        return sum(next((w for _, (size, w) in words.automaton.iter(p) if size == len(p)), words.floor if len(p) == 1 else -1e9) if p in words.tag else words.floor if len(p) == 1 else -1e9 for p in parts)
+
+    def paths(run):
+        return [[]] if not run else [[run[:k], *rest] for k in range(1, min(4, len(run)) + 1) for rest in paths(run[k:])]
+
+    for _ in range(30):
+        run = "".join(rng.choices("甲乙丙丁", k=rng.randint(1, 8)))
+        assert "".join(words.cut(run)) == run and abs(score(words.cut(run)) - max(map(score, paths(run)))) < 1e-9
+
+
+def test_records(spark, tmp_path):
+    answer = 'Prose one\n```json\n{"a": 1}\n```\nmore\n```json\n{"technique_cards": [1]}\n```\nend'
+    rows = [(1, answer), (2, 'Only\n{"technique_cards": []} '), (3, "no block"), (4, "```json\n{broken\n}\n``` x"), (5, None), (6, "```json\n[1]\n```")]
+    out = {r.id: (r.prose, r.record) for r in records.parsed_answers(spark.createDataFrame(rows, "id long, t string"), ["id"], "t").collect()}
+    assert out[1] == ('Prose one\n```json\n{"a": 1}\n```\nmore\n\nend', '{"technique_cards": [1]}') and out[2] == ("Only", '{"technique_cards": []}') and out[3] == ("no block", None)
+    assert out[4] == (rows[3][1], None) and out[5] == (None, None) and out[6] == (rows[5][1], None)
+    table = records.markdown_table(spark.createDataFrame([(2, "b|c"), (1, None)], "n int, t string"), ["n", "t"], ["n"]).first().table
+    assert table == "| n | t |\n| --- | --- |\n| 1 |  |\n| 2 | b\\|c |"
+    (tmp_path / "r.json").write_text('[{"n": 1},\n {"n": 2}]')
+    assert sorted(r.n for r in records.read_json(spark, str(tmp_path), "n long").collect()) == [1, 2]
+    assert records.in_memory(spark, [("t", "x" * 60)]).count() == 1
+    with pytest.raises(Exception, match="fewer than 50"):
+        records.in_memory(spark, [("t", " x ")]).collect()
