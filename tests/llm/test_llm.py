@@ -333,8 +333,9 @@ def test_scan_noise(spark):
     store = spark.createDataFrame(rows, STORE)
     works = spark.createDataFrame([("w", "灰塔长歌", None)], "work_id string, title string, author_name string")
     chapters = spark.createDataFrame([], "work_id string, chapter_no int, title string, is_fallback boolean")
-    kinds = sorted((r.chunk_id, r.noise_kind) for r in scan_noise.noise_kinds(store, works, chapters).collect())
-    assert kinds == [("c1", "header"), ("c1", "page_no"), ("c3", "hyphen")]
+    for most in (None, 0):  # shipped, and joined to the chunks
+        kinds = sorted((r.chunk_id, r.noise_kind) for r in scan_noise.noise_kinds(store, works, chapters, most_entries=most).collect())
+        assert kinds == [("c1", "header"), ("c1", "page_no"), ("c3", "hyphen")]
     fixed = {r.chunk_id: r.repaired for r in scan_noise.repair(store, works, chapters).collect()}
     assert "灰塔" not in fixed["c1"] and "12" not in fixed["c1"] and "the others looked" in fixed["c3"] and fixed["c4"] is None and fixed["c5"] == ""
 
@@ -356,19 +357,31 @@ def test_scan_heads_as_long_as_the_text(spark):
     assert "Whistle" not in fixed["c0"] and "T H E" not in fixed["c1"] and "the others looked" in fixed["c2"] and fixed["c3"].count("They met") == 2 and "Long Head" not in fixed["c4"]
 
 
+def lexicon(words=None, readings=None, han=None, pairs=None):
+    return scan_noise.Lexicon(words or {}, readings or {}, han or {}, pairs or {})
+
+
 def test_misread_needs_evidence():
-    known = {"门了": 50, "了笑": 40, "forgotten": 90, "other": 80}
+    known = lexicon(han={"孒": "了", "—": "一"}, pairs={"门了": 50, "了笑": 40, "看一": 9}, readings={"forgottcn": (7, 1, "e")})
     assert scan_noise.misread("门孒笑", known) == [(1, 2, "了")]
     assert scan_noise.misread("无孒证", known) == []
-    assert scan_noise.misread("he had forgottcn it, ot■er", known) == [(7, 16, "forgotten"), (23, 24, "")]
-
-
-def test_misread_in_a_large_corpus():
-    for scale in (1, 10, 1000):
-        known = {"whcre": 5 * scale, "where": 2087 * scale, "arc": 100 * scale, "are": 1500 * scale}
-        assert scan_noise.misread("whcre the arc is", known) == [(0, 5, "where")]
-    readings = {}
-    assert scan_noise.misread("whcre whcre", known, readings) == [(0, 5, "where"), (6, 11, "where")] and readings == {"whcre": "where"}
+    assert scan_noise.misread("看—眼，看——眼", known) == [(1, 2, "一")]
+    assert scan_noise.misread("he had Forgottcn it, ot■er", known) == [(7, 16, "Forgotten"), (23, 24, "")]
+
+
+@pytest.mark.parametrize("scale", [1, 10])
+def test_confusions_are_learned_from_the_corpus(spark, scale):
+    random.seed(13)
+    lines = [f"他{a}了{b}灯" for a, b in zip("走看听说问答", "东西南北上下")] + ["the winter house where others were gone with winter", "there were letters under the weather for others"]
+    typed = [" ".join(random.sample(lines, 8) * 5) for _ in range(20 * scale)]
+    wrong = [t.replace("了", "孒", 1).replace("where", "whcre", 1).replace("letters", "lettcrs", 1).replace("weather", "wcather", 1).replace("winter", "wintcr", 1) for t in typed[: 10 * scale]]
+    rows = [("w", f"c{i}", i, t, o, 1) for i, (t, o) in enumerate([*((t, "ebook") for t in typed * 3), *((t, "scan") for t in wrong)])]
+    chunks = spark.createDataFrame(rows, "work_id string, chunk_id string, start_pos long, chunk_text string, origin string, ingested_at long")
+    corpus = scan_noise.learn(chunks)
+    assert corpus.han == {"孒": "了"}
+    assert {(r.w, r.y) for r in corpus.entries.where("y is not null").collect()} == {(w, "e") for w in ("whcre", "lettcrs", "wcather", "wintcr")}
+    bare = scan_noise.learn(chunks.drop("origin").limit(0))
+    assert bare.han == {} and bare.entries.count() == 0
 
 
 @pytest.mark.parametrize("line,number", [("46", 46), ("- 183 -", 183), ("Page 7", 7), ("P.262", 262), ("第131页", 131), ("第 47 页 共 412 页", 47), ("263/412", 263), ("[129]", 129), ("三四二", 342), ("一百零五", 105), ("cccxlii", 342), ("十二", 12)])
