@@ -139,3 +139,41 @@ NO_IDENTITY = "道 说 问 答 喊 叹 笑 说道 问道 答道 一个 这个 
 
 # Volume headings.
 VOLUME = rf"^第[{NUMERALS}]+卷(?:[{WS}:：].*)?$"
+
+# Phrases of stock prose.
+TABOO = "总而言之 综上所述 值得注意的是 由此可见 也就是说 我们可以看到 从这个角度来看 需要指出的是 值得一提的是 必须承认的是".split()
+UNPLACED = "未分期"
+
+# Registered measures of a text, as (id, name, unit, column).
+METRICS = [
+    ("M001", "total_chars", "chars", "total_chars"), ("M010", "avg_sent_len", "chars", "avg"), ("M012", "short_sent_ratio_pct", "%", "short"), ("M021", "short_para_ratio_pct", "%", "short_para"),
+    ("M030", "dialogue_ratio_pct", "%", "quoted_pct"), ("M042", "punc_exclamation", "/kchars", "excl"), ("M043", "punc_question", "/kchars", "ques"), ("M044", "punc_ellipsis", "/kchars", "ell"), ("M045", "punc_dash", "/kchars", "dash"),
+    ("M060", "metaphor_density", "/kchars", "simile"), ("M070", "action_mental_ratio", "ratio", "act_per_mind"), ("M091", "ttr_filtered", "ratio", "ttr"), ("M096", "sentiment_balance", "ratio", "balance"),
+]
+PLACEHOLDER = r"\{\{(?:metric:([A-Z]\d+)\|)?([a-z_]+)\}\}"
+
+# Names that labels may use, first match counts.
+METRIC_ALIASES = [
+    ("avg_sent_len", ["平均句长", "句长"]), ("median_sent_len", ["中位句长"]), ("short_sent_ratio", ["短句率", "短句占比"]), ("long_sent_ratio", ["长句率", "长句占比"]), ("avg_para_len", ["平均段长", "段落长度"]),
+    ("short_para_ratio", ["极短段率", "短段率"]), ("dialogue_ratio", ["对话占比", "对话比例", "对话率"]), ("dao_shuo_ratio", ["道说比", "道:说"]), ("tag_frequencies", ["标签频次", "对话标签"]), ("punc_exclamation", ["感叹号"]),
+    ("punc_question", ["问号"]), ("punc_ellipsis", ["省略号"]), ("punc_dash", ["破折号"]), ("comma_period_ratio", ["逗句比", "逗号句号比"]), ("metaphor_density", ["比喻"]), ("rhetorical_question_density", ["反问"]), ("parallelism_density", ["排比"]),
+    ("pov_pronouns", ["视角", "人称代词", "第一人称", "第三人称"]), ("description_density", ["描写密度", "动作心理比", "环境描写", "action_mental_ratio", "action_count", "env_count", "mental_count"]), ("imagery_clusters", ["意象", "高频词"]),
+]
+
+# How reports write measures, as (name, pattern with the number, kind of tolerance, tolerance), and those that must be right.
+AUDIT_RULES = [
+    ("dialogue_ratio_pct", r"(?:对话字符占比|对话占比|对话比例)[^。；\n]{0,10}?(\d+(?:\.\d+)?)\s*%", "rel", 0.06),
+    ("avg_sent_len", r"平均句长[^。；\n\d]{0,8}(\d+(?:\.\d+)?)\s*字", "abs", 1.5),
+    ("short_sent_ratio_pct", r"短句率[^。；\n]{0,12}?(\d+(?:\.\d+)?)\s*%", "rel", 0.08),
+    ("short_para_ratio_pct", r"极短段率?[^。；\n]{0,12}?(\d+(?:\.\d+)?)\s*%", "rel", 0.08),
+    ("metaphor_density", r"比喻(?:句)?密度[^。；\n\d]{0,6}(\d+(?:\.\d+)?)\s*(?:次)?\s*/?\s*千字", "rel", 0.08),
+    ("punc_exclamation", r"感叹号密度[^。；\n\d]{0,6}(\d+(?:\.\d+)?)", "rel", 0.08),
+    ("punc_question", r"问号密度[^。；\n\d]{0,6}(\d+(?:\.\d+)?)", "rel", 0.08),
+    ("punc_ellipsis", r"省略号密度[^。；\n\d]{0,6}(\d+(?:\.\d+)?)", "rel", 0.08),
+    ("punc_dash", r"破折号密度[^。；\n\d]{0,6}(\d+(?:\.\d+)?)", "rel", 0.08),
+    ("action_mental_ratio", r"动作[:：/]?(?:心理|与心理)比[^。；\n\d]{0,6}(\d+(?:\.\d+)?)", "rel", 0.08),
+    ("total_chars", r"(?:总字符数|总字符|字符总数)[^。；\n\d]{0,6}?(\d[\d,]*)\s*(?:字符|字)", "rel", 0.02),
+    ("ttr_filtered", r"(?:过滤后TTR|实词丰富度)[^。；\n\d]{0,6}(\d+(?:\.\d+)?)", "rel", 0.20),
+    ("sentiment_balance", r"情感(?:平衡|倾向)值[^。；\n\d\-]{0,6}(-?\d+(?:\.\d+)?)", "abs", 0.25),
+]
+CORE_METRICS = ["avg_sent_len", "dialogue_ratio_pct", "short_sent_ratio_pct", "metaphor_density", "action_mental_ratio"]

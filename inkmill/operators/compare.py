@@ -1,4 +1,4 @@
-"""Comparison over periods and against references (M1, M2 for four of six measures, F1 without heading lines, F2, F5, F7-F9 with a threshold in place of the F8 length): trends, bands, n-gram overlap, copy risk, scenes."""
+"""Comparison over periods and against references (M1, F2, F5, F7, F9): trends, bands, n-gram overlap, copy risk, scenes."""
 
 from __future__ import annotations
 
@@ -37,7 +37,10 @@ def trend(v: Column) -> Column:
 
 
 def era_measures(chunks: DataFrame) -> DataFrame:
-    """Summed counts per work and period: additive over chunks, combined before the shuffle, so a hot work is no matter."""
+    """Summed counts per work and period: additive over chunks, combined before the shuffle, so a hot work is no matter.
+
+    Chunks without one of the five periods belong to none and are not counted.
+    """
     once = latest_texts(chunks, ["work_id", "chunk_id"], "ingested_at", ["chunk_text", "era"])
     core = style_core(once.where(F.col("era").isin(L.ERAS)), ["work_id", "chunk_id", "era"], "chunk_text")
     sums = sorted({c for pair in MEASURES.values() for c in pair})
@@ -75,28 +78,28 @@ def mad_bands(df: DataFrame, group: str, value: str, k: int = 3, least: int = 4)
     return out.select(group, "n", "median", F.greatest(F.lit(0.0), F.col("median") - k * width).alias("low"), (F.col("median") + k * width).alias("high"))
 
 
-def grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(key, g, c): counts of the character n-grams of each text, combined map-side."""
-    return df.where(F.length(text) >= n).select(key, F.explode(text_grams(F.col(text), n)).alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).alias("c"))
+def sized_grams(text: str, sizes: tuple[int, ...]) -> Column:
+    """(n, g) of all character n-grams of the sizes."""
+    return F.concat(*[_tagged(text, n) for n in sizes])
 
 
-def overlap(trials: DataFrame, key: str, text: str, references: DataFrame, reference_text: str, n: int) -> DataFrame:
-    """(key, shared, total): n-gram occurrences of each trial that some reference has."""
-    known = grams(references.select(F.lit(0).alias("_r"), reference_text), "_r", reference_text, n).select("g").distinct()
-    if known.count() <= MOST_BROADCAST:
-        known = F.broadcast(known)
-    own = grams(trials, key, text, n)
-    return own.join(known.withColumn("hit", F.lit(1)), "g", "left").groupBy(key).agg(F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("c"))), F.lit(0)).alias("shared"), F.sum("c").alias("total"))
+def _tagged(text: str, n: int) -> Column:
+    return F.transform(text_grams(F.col(text), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
 
 
 def copy_risk(trials: DataFrame, key: str, text: str, references: DataFrame, reference_text: str) -> DataFrame:
-    """Risk per trial: a common stretch of 40 characters, or many common 5- and 7-grams; short trials by the stretch alone."""
+    """Risk per trial: a common stretch of 40 characters, or many common 5- and 7-grams; short trials by the stretch alone.
+
+    The n-grams of all three sizes are made in one pass over each side and met in one join.
+    """
     base = trials.select(key, F.coalesce(F.col(text), F.lit("")).alias("t"))
-    out = base.select(key, F.length("t").alias("n_chars"))
-    for n in SIZES:
-        part = overlap(base, key, "t", references, reference_text, n)
-        out = out.join(part.select(key, F.col("shared").alias(f"shared_{n}"), F.col("total").alias(f"total_{n}")), key, "left").fillna(0, [f"shared_{n}", f"total_{n}"])
-    return at_risk(out)
+    known = references.select(F.explode(sized_grams(reference_text, SIZES)).alias("x")).select("x.n", "x.g").distinct()
+    if known.count() <= MOST_BROADCAST:
+        known = F.broadcast(known)
+    own = base.select(key, F.explode(sized_grams("t", SIZES)).alias("x")).groupBy(key, "x.n", "x.g").agg(F.count(F.lit(1)).alias("c"))
+    met = own.join(known.withColumn("hit", F.lit(1)), ["n", "g"], "left")
+    per = met.groupBy(key).agg(*[F.coalesce(F.sum(F.when((F.col("n") == n) & wanted, F.col("c"))), F.lit(0)).alias(f"{name}_{n}") for n in SIZES for name, wanted in (("shared", F.col("hit") == 1), ("total", F.lit(True)))])
+    return at_risk(base.select(key, F.length("t").alias("n_chars")).join(per, key, "left").fillna(0, [f"{name}_{n}" for n in SIZES for name in ("shared", "total")]))
 
 
 def at_risk(out: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Dialogue (D1-D12, D15 without top lists, D18 without its cut, D19): quotations with their surroundings, speaker and tag beside them, speaker profiles, functions."""
+"""Dialogue (D1-D10, D12): quotations with their surroundings, speaker and tag beside them, speaker profiles, functions."""
 
 from __future__ import annotations
 
@@ -22,19 +22,19 @@ def accepted(name: Column) -> Column:
     return F.length(name).between(2, 4) & ~name.isin(L.NO_NAMES) & ~name.rlike(f"[{L.NAME_STOPS}]")
 
 
-def repeated(c: Column, step, times: int = 4) -> Column:
-    """``step`` applied a bounded number of times; a fold, so the expression does not grow with the rounds."""
+def repeated(c: Column, step, times: int) -> Column:
+    """``step`` applied so many times; a fold, so the expression does not grow with the rounds."""
     return F.aggregate(F.sequence(F.lit(1), F.lit(times)), c, lambda x, _: step(x))
 
 
 def bare_name(c: Column) -> Column:
-    """A candidate (at most a dozen characters) without adverbs and particles at its end."""
-    return repeated(c, lambda x: F.when(F.length(x) < 4, x).when(x.rlike(PARTICLE_TAIL), F.regexp_replace(x, PARTICLE_TAIL, "$1")).otherwise(F.regexp_replace(x, ADVERB_TAIL, "$1")))
+    """A candidate without adverbs and particles at its end; each round takes a character at least, and a dozen is the most there are."""
+    return repeated(c, lambda x: F.when(F.length(x) < 4, x).when(x.rlike(PARTICLE_TAIL), F.regexp_replace(x, PARTICLE_TAIL, "$1")).otherwise(F.regexp_replace(x, ADVERB_TAIL, "$1")), REACH)
 
 
 def normal_name(c: Column) -> Column:
     c = F.regexp_replace(c, "^[“”\"'「」『』…—，。！？!:：；;，、 ]+|[“”\"'「」『』…—，。！？!:：；;，、 ]+$", "")
-    return repeated(c, lambda x: F.when(F.length(x) > 2, F.regexp_replace(x, VERB_TAIL, "$1")).otherwise(x))
+    return repeated(c, lambda x: F.when(F.length(x) > 2, F.regexp_replace(x, VERB_TAIL, "$1")).otherwise(x), 4)  # a name has four characters at most
 
 
 def plausible(name: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmill.functions import lexicons as L
-from inkmill.functions.text import count, count_chars, count_words, pieces, strip, total
+from inkmill.functions.text import count, count_chars, count_word, count_words, pieces, strip, total
 from inkmill.operators.style import _equal, is_simile, prepared, ratio
 
 
@@ -120,6 +120,19 @@ def scored_labels(df: DataFrame, keys: list[str], text: str, strict: bool = Fals
     return given.select(*keys, F.posexplode(F.when(F.size("f") > 0, F.col("f")).otherwise(F.col("g"))).alias("i", "x")).select(*keys, (F.col("i") + 1).alias("rank"), "x.label", (0.0 - F.col("x.s")).alias("score"))
 
 
+def style_labels(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, signals, labels, temperature): the signals and labels told from sentences, marks and descriptions alone, in
+    order of their rules, and the sampling temperature that short sentences and exclamations imply."""
+    some = lambda pairs: F.array_join(F.filter(F.array(*[F.when(p, F.lit(n)) for n, p in pairs]), lambda x: x.isNotNull()), ",")
+    signals = [(n, p) for n, p in signal_rules() if n not in ("X3", "X4")]
+    gates = [(n, g) for n, g, _ in label_rules() if n not in LOOSE_LABELS | {"对话驱动型"}]
+    order = ["轻松搞笑型", "冷静快节奏型", "推理驱动型", "动作快节奏型", "内省克制型", "铺陈留白型", "热血爆发型", "极简利落型", "克制写实型", "悬疑动作型"]
+    short = F.col("short")
+    warm = F.when(short > 25, F.lit(0.85) + F.least(F.lit(0.10), (short - 25) * 0.004)).when(short >= 15, F.lit(0.75) + (short - 15) * 0.01).otherwise(F.lit(0.7) + short * 0.005)
+    warm = F.least(F.lit(0.95), F.greatest(F.lit(0.65), warm))
+    return measures(df, keys, text).select(*keys, some(signals).alias("signals"), some(sorted(gates, key=lambda x: order.index(x[0]))).alias("labels"), F.when(F.col("excl") > 8, F.least(F.lit(0.95), warm + 0.05)).otherwise(warm).alias("temperature"))
+
+
 def deployment(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, max_tokens): the answer length, in three tiers by dialogue against narration and the number of quotations."""
     told, n = F.col("told"), F.col("quotes")
@@ -152,6 +165,12 @@ def low_level_ratios(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     )
 
 
+def taboo_phrases(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, phrase, n): the phrases of stock prose a text holds, and how often."""
+    counted = F.array(*[F.struct(F.lit(p).alias("phrase"), count_word(F.col("clean"), p).alias("n")) for p in L.TABOO])
+    return prepared(df, keys, text).select(*keys, F.explode(F.filter(counted, lambda x: x["n"] > 0)).alias("x")).select(*keys, "x.phrase", "x.n")
+
+
 def special_systems(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, word): the keywords of game-like systems a text holds."""
     return prepared(df, keys, text).select(*keys, F.explode(F.filter(F.array(*map(F.lit, L.SYSTEM_WORDS)), lambda w: F.contains(F.col("clean"), w))).alias("word"))

@@ -139,6 +139,20 @@ def planned(chapters: DataFrame, budget: int) -> DataFrame:
     return reading_plan(chapters, budget).join(own.drop("chapter_id"), ["work_id", "chapter_idx"])
 
 
+def chunk_eras(chunks: DataFrame, chapters: DataFrame, budget: int = 150_000) -> DataFrame:
+    """(work_id, chunk_id, era) of every chunk: the period of the sampled chapter that holds its start, else 未分期."""
+    once = latest(chunks, ["work_id", "chunk_id"], "ingested_at", ["start_pos"])
+    spans = planned(chapters, budget).select("work_id", "era", F.col("orig_start").alias("s"), F.col("orig_end").alias("e"))
+    return interval_join(once, spans, "work_id", "start_pos", "s", "e").groupBy("work_id", "chunk_id").agg(F.coalesce(F.min("era"), F.lit(L.UNPLACED)).alias("era"))
+
+
+def chunk_offsets(chunks: DataFrame) -> DataFrame:
+    """(work_id, chunk_id, offset): where chunks begin if laid end to end in the order of their ids as strings (c1000 before c999)."""
+    once = latest(chunks.select("work_id", "chunk_id", "ingested_at", F.length("chunk_text").cast("long").alias("n")), ["work_id", "chunk_id"], "ingested_at", ["n"])
+    w = Window.partitionBy("work_id").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)
+    return once.select("work_id", "chunk_id", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("offset"))
+
+
 def plan_offsets(chapters: DataFrame, budget: int = 150_000) -> DataFrame:
     """(work_id, chapter_id, orig_start, orig_end, start_pos, end_pos): where sampled chapters stand in the sampled text, two line breaks between them."""
     w = Window.partitionBy("work_id").orderBy("chapter_idx").rowsBetween(Window.unboundedPreceding, -1)

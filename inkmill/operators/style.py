@@ -1,4 +1,4 @@
-"""Style measures per text (A1-A14, R1-R3, D19-D20, W1-W7, W11-W13, K2-K4, G14), as expressions of one row.
+"""Style measures per text (A1, A2, A4-A6, A10-A14, R1-R3, D20, W1, W3, W6, W12, W13), as expressions of one row.
 
 Counts come out as integers and ratios as one division of integers, unrounded.  Texts are cleaned of noise lines
 first.  Null, empty and blank texts give zero counts; ratios without a denominator are computed over at least 1.
@@ -6,7 +6,7 @@ first.  Null, empty and blank texts give zero counts; ratios without a denominat
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmill.functions import lexicons as L
@@ -162,36 +162,6 @@ def vocabulary_richness(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def top_words(df: DataFrame, keys: list[str], text: str, most: int = 20) -> DataFrame:
-    """The most frequent two-character tokens of each text, ties by the token."""
-    from pyspark.sql import Window
-
-    counts = fallback_tokens(df, keys, text).where(F.length("word") > 1).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "word"))).where(F.col("rank") <= most)
-
-
-def style_labels(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Cross-measure signals and style labels, and the sampling temperature they imply, one row per text.
-
-    Predicates read unrounded measures: shares in percent, densities per thousand characters.
-    """
-    core = style_core(df, keys, text)
-    mix = description_mix(df, keys, text)
-    m = core.join(mix, keys)
-    per = lambda k: F.col(f"n_{k}") * F.lit(1000.0) / F.greatest(F.col("total_chars"), F.lit(1)).cast("double")
-    desc = F.col("action") + F.col("mind") + F.col("scenery")
-    pct = lambda c: F.when(desc > 0, F.col(c) * F.lit(100.0) / desc.cast("double"))
-    m = m.select(
-        *keys, (F.col("short_sentences") * F.lit(100.0) / F.greatest("n_sentences", F.lit(1)).cast("double")).alias("short"), (F.col("short_paragraphs") * F.lit(100.0) / F.greatest("n_paragraphs", F.lit(1)).cast("double")).alias("short_para"),
-        per("exclamation").alias("excl"), per("question").alias("ques"), per("ellipsis").alias("ell"), pct("action").alias("act"), pct("mind").alias("mind"), pct("scenery").alias("env"), F.col("avg_sentence").alias("avg"),
-    )
-    c = F.col
-    rules = [("X1", (c("short") > 30) & (c("excl") > 5)), ("X2", (c("short") > 30) & (c("excl") < 2)), ("X6", (c("mind") > 30) & (c("excl") < 3)), ("X7", (c("act") > 50) & (c("short") > 25)), ("X8", (c("env") > 25) & (c("avg") > 30))]
-    labels = [
-        ("轻松搞笑型", (c("short") > 35) & (c("excl") > 5)), ("冷静快节奏型", (c("short") > 30) & (c("excl") < 2)), ("推理驱动型", (c("ques") > 5) & (c("excl") < c("ques") * 0.5)),
-        ("动作快节奏型", (c("act") > 60) & (c("short") > 20)), ("内省克制型", (c("mind") > 35) & (c("excl") < 3)), ("铺陈留白型", (c("avg") > 35) & (c("ell") > 2)), ("热血爆发型", (c("excl") > 8) & (c("short") > 25)),
-        ("极简利落型", (c("avg") < 20) & (c("short") > 35)), ("克制写实型", (c("ell") < 0.3) & (c("excl") < 2)), ("悬疑动作型", (c("ques") > 3) & (c("act") > 50)),
-    ]
-    some = lambda pairs: F.array_join(F.filter(F.array(*[F.when(p, F.lit(n)) for n, p in pairs]), lambda x: x.isNotNull()), ",")
-    warm = F.when(c("short") > 25, F.lit(0.85) + F.least(F.lit(0.10), (c("short") - 25) * 0.004)).when(c("short") >= 15, F.lit(0.75) + (c("short") - 15) * 0.01).otherwise(F.lit(0.7) + c("short") * 0.005)
-    warm = F.least(F.lit(0.95), F.greatest(F.lit(0.65), warm))
-    return m.select(*keys, some(rules).alias("signals"), some(labels).alias("labels"), F.when(c("excl") > 8, F.least(F.lit(0.95), warm + 0.05)).otherwise(warm).alias("temperature"))
+    """The most frequent tokens of each text, ties by the token; single characters take a rank but are left out."""
+    counts = fallback_tokens(df, keys, text).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "word"))).where((F.col("rank") <= most) & (F.length("word") > 1))

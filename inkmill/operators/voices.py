@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmill.functions import lexicons as L
+from inkmill.functions.frames import latest_texts
 from inkmill.functions.text import count_chars, count_words
 from inkmill.operators.dialogue import function_of, normal_name, once, plausible, quotes
 from inkmill.operators.noise import with_clean
+from inkmill.operators.structure import interval_join
 from inkmill.operators.style import ratio
 
 
@@ -21,6 +23,23 @@ def said(df: DataFrame, key: str, text: str) -> DataFrame:
     return once(quotes(df, key, text).where("name is not null"), [key, "q_no", "content", "block", "tag"], speaker=normal_name(F.col("name"))).where(plausible(F.col("speaker")))
 
 
+def aliases(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, speaker, name, n): the spellings that were put together as one speaker, where there are several."""
+    q = once(quotes(df, key, text).where("name is not null"), [key, "name"], speaker=normal_name(F.col("name"))).where(plausible(F.col("speaker")))
+    counts = q.groupBy(key, "speaker", "name").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy(key, "speaker"))).where("k > 1").drop("k")
+
+
+def quote_chapters(chunks: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(work_id, chunk_id, q_no, chapter_id) of every quotation: the chapter that holds its place, before the first and behind the last the nearest."""
+    texts = latest_texts(chunks, ["work_id", "chunk_id"], "ingested_at", ["start_pos", "chunk_text"]).withColumn("k", F.struct("work_id", "chunk_id", "start_pos"))
+    q = quotes(texts, "k", "chunk_text").select("k.work_id", "k.chunk_id", "q_no", (F.col("k.start_pos") + F.col("pos")).alias("at"))
+    ends = chapters.groupBy("work_id").agg(F.min("start_pos").alias("lo"), F.max("end_pos").alias("hi"))
+    q = q.join(ends, "work_id").withColumn("at", F.greatest("lo", F.least(F.col("at"), F.col("hi") - 1)))
+    spans = chapters.select("work_id", "chapter_id", F.col("start_pos").alias("s"), F.col("end_pos").alias("e"))
+    return interval_join(q, spans, "work_id", "at", "s", "e").groupBy("work_id", "chunk_id", "q_no").agg(F.min("chapter_id").alias("chapter_id"))
+
+
 def ranked(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 

@@ -231,7 +231,7 @@ tm AS ({' UNION ALL '.join(f"SELECT doc_id, work_id, '{k}' AS measure, {k} AS tr
  FROM tm JOIN rf USING (work_id, measure) LEFT JOIN bands USING (work_id, measure) WHERE NOT ({RELATIVE}) OR reference > 0), dev AS (SELECT doc_id, measure, reference, trial, deviation, CASE WHEN inside THEN 'author_band' ELSE 'fixed_tolerance' END AS basis, inside OR deviation <= {LIMIT} AS passed FROM dv)"""
 PROFILE = "CASE " + " ".join(f"WHEN regexp_matches(body, {q('|'.join(t))}) THEN {q(n)}" for n, t, _ in L.CARD_PROFILES) + " END"
 SHOWN = "CASE profile " + " ".join(f"WHEN {q(n)} THEN {' OR '.join(f'contains(text, {q(m)})' for m in marks)}" for n, _, marks in L.CARD_PROFILES if marks) + " END"
-WORK_QUOTES = renamed(QUOTED.replace(DOCS, O.lines_cte("work_id, chunk_id", "once", "chunk_text")).replace("doc_id", "work_id, chunk_id"), ["src", "ln0", "ln1", "ln", "agg", "base", "q0", "q1", "q2", "qs", "qq", *[f"{s}{i}" for s in ("lft", "rgt") for i in (0, 1, 2, 3, 4, 5, 6, 9)]], "_w")
+WORK_QUOTES = renamed(QUOTED.replace(DOCS, O.lines_cte("work_id, chunk_id", "once", "chunk_text")).replace("doc_id", "work_id, chunk_id"), ["src", "ln0", "ln1", "ln", "agg", "base", "q0", "q1", "q2", "qs", "qq", *[f"{s}{i}" for s in ("lft", "rgt") for i in (0, 1, 2, 6, 9)]], "_w")
 LINES_OF = f"list_filter(list_transform(regexp_extract_all(text, {q(L.LINE)}), lambda x: length({strip('x')})), lambda n: n > 0)"
 MOST = "greatest(3, length(text) // 350)"
 USE = f"""{WORK_QUOTES}, tg AS (SELECT work_id, tag, count(*) AS n FROM qq_w WHERE tag IS NOT NULL GROUP BY ALL), tp AS (SELECT work_id, tag AS top_tag FROM (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY n DESC, encode(tag)) AS r FROM tg) WHERE r = 1),
@@ -310,4 +310,26 @@ SELECT s.work_id, CAST(sum(length(s.t)) AS BIGINT) AS raw_chars, CAST(sum(length
  FROM src s JOIN base b ON b.work_id = s.work_id AND b.chunk_id = s.chunk_id LEFT JOIN g ON g.work_id = s.work_id AND g.chunk_id = s.chunk_id GROUP BY 1""",
 }
 
-ORACLES = {**VOICES, **RATIOS, **CARDS, **FIDELITY, **IDENTITY, **STRUCTURE}
+READ = ["short", "short_para", "avg", "excl", "ques", "ell", "dash", "simile", "quoted", "quotes", "action", "mental", "scenery", "ttr", "pos", "neg", "act", "mind", "env", "act_per_mind", "balance", "told"]
+FURTHER = {
+    "style_measures": f"{MEASURES} SELECT doc_id, {', '.join(READ)} FROM me",
+    "taboo_phrases": f"WITH {DOCS} " + " UNION ALL ".join(f"SELECT doc_id, {q(p)} AS phrase, {words('clean', [p])} AS n FROM base WHERE contains(clean, {q(p)})" for p in L.TABOO),
+    "chunk_eras": f"{OFFSETS}, {O.ONCE} SELECT o.work_id, o.chunk_id, coalesce(min(pf.era), {q(L.UNPLACED)}) AS era FROM once o LEFT JOIN pf ON pf.work_id = o.work_id AND o.start_pos >= orig_start AND o.start_pos < orig_end GROUP BY ALL",
+    "chunk_offsets": f"WITH {O.ONCE} SELECT work_id, chunk_id, CAST(coalesce(sum(length(chunk_text)) OVER (PARTITION BY work_id ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset FROM once",
+    "aliases": f"{SAID}, a AS (SELECT doc_id, speaker, name, count(*) AS n FROM s GROUP BY ALL) SELECT doc_id, speaker, name, n FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, speaker) AS k FROM a) WHERE k > 1",
+    "quote_chapters": f"""WITH {O.ONCE}, {WORK_QUOTES}, ce AS (SELECT work_id, min(start_pos) AS lo, max(end_pos) AS hi FROM chapters GROUP BY 1), qa AS (SELECT w.work_id, w.chunk_id, q_no, greatest(lo, least(o.start_pos + pos, hi - 1)) AS place FROM qq_w w JOIN once o ON o.work_id = w.work_id AND o.chunk_id = w.chunk_id JOIN ce ON ce.work_id = w.work_id)
+SELECT qa.work_id, qa.chunk_id, q_no, min(chapter_id) AS chapter_id FROM qa LEFT JOIN chapters c ON c.work_id = qa.work_id AND place >= c.start_pos AND place < c.end_pos GROUP BY ALL""",
+}
+
+COLUMN = {"quoted_pct": f"quoted * {D(100)}"}
+LONG = f"""{MEASURES.replace("me0 AS (SELECT doc_id,", "me0 AS (SELECT doc_id, total_chars,")}, mv AS (SELECT * FROM ({' UNION ALL '.join(f"SELECT doc_id, {q(m)} AS mid, {q(t)} AS token, {q(u)} AS unit, CAST({COLUMN.get(c, c)} AS DOUBLE) AS value FROM me" for m, t, u, c in L.METRICS)}) WHERE value IS NOT NULL)"""
+TOKEN = "CASE WHEN c = '' THEN NULL WHEN list_contains({0}, c) THEN c WHEN list_contains({0}, regexp_replace(c, '_pct$', '')) THEN regexp_replace(c, '_pct$', '') ".format(O.listed([t for t, _ in L.METRIC_ALIASES])) + " ".join(f"WHEN {' OR '.join(f'contains(c, {q(a)})' for a in x)} THEN {q(t)}" for t, x in L.METRIC_ALIASES) + " END"
+REPORT = {
+    "metric_values": f"{LONG} SELECT * FROM mv",
+    "metric_tokens": f"WITH x AS (SELECT item_id, arg_max(metric, ingested_at) AS metric FROM evidence_item GROUP BY 1), y AS (SELECT *, lower({strip('metric')}) AS c FROM x) SELECT item_id, metric, {TOKEN} AS token FROM y",
+    "audited": f"""{LONG}, cl AS (SELECT doc_id, 'avg_sent_len' AS token, '20' AS written FROM documents UNION ALL SELECT doc_id, 'short_sent_ratio_pct', '30.5' FROM documents UNION ALL SELECT doc_id, 'punc_dash', '1' FROM documents UNION ALL SELECT doc_id, 'total_chars', '1,000' FROM documents)
+SELECT cl.doc_id, cl.token, written, value AS measured, CASE WHEN cl.token IN ('avg_sent_len', 'short_sent_ratio_pct') THEN 'error' ELSE 'warning' END AS severity FROM cl JOIN mv ON mv.doc_id = cl.doc_id AND mv.token = cl.token
+WHERE abs(CAST(replace(written, ',', '') AS DOUBLE) - value) > CASE cl.token WHEN 'avg_sent_len' THEN {D(1.5)} WHEN 'total_chars' THEN greatest(abs(value) * {D(0.02)}, {D(0.02)}) ELSE greatest(abs(value) * {D(0.08)}, {D(0.02)}) END""",
+}
+
+ORACLES = {**VOICES, **RATIOS, **CARDS, **FIDELITY, **IDENTITY, **STRUCTURE, **FURTHER, **REPORT}

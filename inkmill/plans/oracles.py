@@ -125,7 +125,7 @@ tok AS (SELECT doc_id, substr(r, i, 2) AS word FROM (SELECT doc_id, r, unnest(ra
 cnt AS (SELECT doc_id, word, count(*) AS n FROM tok GROUP BY ALL)"""
 VOCABULARY = f"""WITH {TOKENS} SELECT doc_id, CAST(sum(n) AS BIGINT) AS total_words, count(*) AS unique_words, count(*) FILTER (WHERE n = 1) AS once, count(*) FILTER (WHERE n = 2) AS twice, count(*) FILTER (WHERE n > 2) AS oftener, max(n) AS most,
  {ratio('count(*)', 'sum(n)')} AS type_token_ratio FROM cnt GROUP BY doc_id"""
-TOP_WORDS = f"WITH {TOKENS} SELECT doc_id, word, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, encode(word)) AS rank FROM cnt WHERE length(word) > 1) WHERE rank <= 20"
+TOP_WORDS = f"WITH {TOKENS} SELECT doc_id, word, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, encode(word)) AS rank FROM cnt) WHERE rank <= 20 AND length(word) > 1"
 
 
 def some(pairs: list[tuple[str, str]]) -> str:
@@ -203,7 +203,7 @@ TAGS = sorted(L.SPEECH_TAGS, key=lambda t: (-len(t), t))
 def side(s: str) -> str:
     return f"""{s}0 AS (SELECT doc_id, q_no, {s} AS w, CASE WHEN NOT ({' OR '.join(f"contains({s}, {q(t)})" for t in L.NO_TAGS)}) THEN list_filter({listed(TAGS)}, lambda t: contains({s}, t))[1] END AS tag FROM qs),
 {s}1 AS (SELECT *, {strip('substr(w, 1, instr(w, tag) - 1)')} AS c FROM {s}0), {s}2 AS (SELECT doc_id, q_no, tag, {strip(f"regexp_replace(regexp_replace(c, {q(f'^[{EDGE}]+|[{EDGE}]+$')}, '', 'g'), {q(LEAD)}, '')")} AS n0 FROM {s}1),
-{s}3 AS (SELECT *, {bare('n0')} AS n1 FROM {s}2), {s}4 AS (SELECT *, {bare('n1')} AS n2 FROM {s}3), {s}5 AS (SELECT *, {bare('n2')} AS n3 FROM {s}4), {s}6 AS (SELECT *, {bare('n3')} AS n4 FROM {s}5),
+{s}6 AS (SELECT *, list_reduce(list_concat([n0], list_transform(range(12), lambda i: '')), lambda x, y: {bare('x')}) AS n4 FROM {s}2),
 {s}9 AS (SELECT doc_id, q_no, tag AS {s}_tag, CASE WHEN {names_ok('n0')} THEN n0 WHEN {names_ok('n4')} THEN n4 END AS {s}_name FROM {s}6)"""
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmill.functions.frames import materialise, table
-from inkmill.operators import cards, compare, dialogue, evidence, fidelity, identity, noise, packed, ratios, structure, style, tokenizer, voices
+from inkmill.operators import cards, compare, dialogue, evidence, fidelity, identity, noise, packed, ratios, report, structure, style, tokenizer, voices
 from inkmill.plans import more_oracles, oracles
 
 
@@ -90,10 +90,17 @@ def mapping_problems(spark: SparkSession, directory: str) -> DataFrame:
     return identity.mapping_problems(made.unionByName(faults), known)
 
 
+def audited(spark: SparkSession, directory: str) -> DataFrame:
+    """The same written claims for every document, held against its own measures."""
+    docs = table(spark, directory, "documents", spread=True)
+    claims = docs.select("doc_id", F.lit("平均句长约 20 字；短句率达 30.5%。\n- [E0001] “平均句长 99 字”\n破折号密度 1，总字符数为 1,000 字，见 {{total_chars}}。").alias("claim"))
+    return report.audit(claims, "doc_id", "claim", report.metric_values(docs, "doc_id", "text"))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "noise_stats": noise_stats,
-    **{f.__name__: per_document(f) for f in (style.style_core, style.sentence_stats, style.rhetoric, style.similes, style.description_mix, style.low_level, style.vocabulary_richness, style.top_words, style.style_labels)},
+    **{f.__name__: per_document(f) for f in (style.style_core, style.sentence_stats, style.rhetoric, style.similes, style.description_mix, style.low_level, style.vocabulary_richness, style.top_words, ratios.style_labels)},
     "chapter_index": over(structure.chapter_index, "evidence_store"), "chunk_chapters": over(structure.chunk_chapters, "evidence_store", "chapters"), "volume_asof": over(structure.volume_asof, "chapters"),
     "fallback_chapters": keyed(structure.fallback_chapters), "reading_plan": over(structure.reading_plan, "chapters"), "fold_chunks": keyed(structure.fold_chunks),
     "imagery": keyed(tokenizer.imagery), "quotes": keyed(dialogue.quotes), "speakers": keyed(dialogue.speakers), "dialogue_functions": keyed(dialogue.dialogue_functions), "tag_counts": keyed(dialogue.tag_counts),
@@ -111,6 +118,9 @@ QUERIES = {
     "card_leaks": over(identity.card_leaks, "technique_card", "works", "evidence_store"), "body_leaks": over(identity.body_leaks, "documents", "works", "evidence_store"),
     "chapter_volumes": over(structure.chapter_volumes, "evidence_store"), "fallback_index": keyed(structure.fallback_index), **{f.__name__: over(f, "chapters") for f in (structure.plan_coverage, structure.plan_offsets, structure.plan_summary, structure.plan_ranges)}, "sampled_texts": sampled_texts,
     "noise_shares": keyed(noise.noise_shares), "work_noise": over(noise.work_noise, "evidence_store"),
+    "style_measures": lambda spark, directory: ratios.measures(table(spark, directory, "documents", spread=True), ["doc_id"], "text").drop("total_chars"), "taboo_phrases": per_document(ratios.taboo_phrases),
+    "chunk_eras": over(structure.chunk_eras, "evidence_store", "chapters"), "chunk_offsets": over(structure.chunk_offsets, "evidence_store"), "aliases": keyed(voices.aliases), "quote_chapters": over(voices.quote_chapters, "evidence_store", "chapters"),
+    "metric_values": keyed(report.metric_values), "metric_tokens": over(report.metric_tokens, "evidence_item"), "audited": audited,
     "pos_shares": tokens(ratios.pos_shares), "entities": tokens(ratios.entities),
 }
 ORACLES = {**oracles.ORACLES, **more_oracles.ORACLES}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,15 +12,19 @@ from pyspark.sql import functions as F
 
 from inkmill.functions.frames import ship
 from inkmill.functions.text import strip
+from inkmill.operators.noise import with_clean
 
 #: Byte order marks, longest first, and the encodings tried without one, in this order.
 MARKS = [(codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")]
 TRIED = ["utf-8", "gb18030", "gbk", "big5"]
 
 
+CONTROL = re.compile(r"[\x00-\x08\x0b\x0e-\x1f]")
+
+
 def sane(text: str, encoding: str) -> bool:
     """No replacement characters, no NUL but from wide encodings, few control characters."""
-    controls = sum(ord(c) < 32 and c not in "\n\r\t\f" for c in text)
+    controls = len(CONTROL.findall(text))
     return "�" not in text and ("\0" not in text or encoding in ("utf-16", "utf-32")) and controls <= max(2, len(text) // 1000)
 
 
@@ -50,7 +55,7 @@ def decode_column(df: DataFrame, keep: list[str], content: str) -> DataFrame:
 
 
 def read_text_files(spark: SparkSession, path: str, least: int = 50) -> DataFrame:
-    """(path, text, encoding, problem): problem is null, ``undecodable`` or ``too_short`` (under ``least`` characters)."""
+    """(path, text, encoding, problem): problem is null, ``undecodable`` or ``too_short`` (under ``least`` characters without noise lines)."""
     ship(spark)
-    out = decode_column(spark.read.format("binaryFile").load(path), ["path"], "content")
-    return out.withColumn("problem", F.when(F.col("text").isNull(), "undecodable").when(F.length(strip(F.col("text"))) < least, "too_short"))
+    out = with_clean(decode_column(spark.read.format("binaryFile").load(path), ["path"], "content"), "text")
+    return out.select("path", "text", "encoding", F.when(F.col("text").isNull(), "undecodable").when(F.length(strip(F.col("clean"))) < least, "too_short").alias("problem"))

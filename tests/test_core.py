@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from inkmill.functions.frames import latest, latest_texts, shared_dir
 from inkmill.functions.probes import find_quotes
 from inkmill.functions.text import grams, strip
-from inkmill.operators import compare, dialogue, evidence, fidelity, identity, noise, packed, ratios, structure, style, tokenizer, voices
+from inkmill.operators import compare, dialogue, evidence, fidelity, identity, noise, packed, ratios, report, structure, style, tokenizer, voices
 from inkmill.sources import records, text_files
 from inkmill.streaming import style_stream
 
@@ -221,6 +221,7 @@ def test_dictionary_tokens(spark):
     words = spark.createDataFrame([("中国", 50, "ns"), ("中国人", 20, "n"), ("人民", 60, "n"), ("国", 5, "n")], "word string, freq int, tag string")
     df = spark.createDataFrame([(1, "中国人民!人"), (2, None), (3, "")], "id long, text string")
     assert [(r.start_pos, r.word) for r in sorted(tokenizer.dictionary_tokens(df, "id", "text", words).collect())] == [(1, "中国"), (3, "人民"), (6, "人")]
+    assert [(r.start_pos, r.word) for r in sorted(tokenizer.dictionary_tokens(df, "id", "text", words, full=True).collect())] == [(1, "中国"), (1, "中国人"), (2, "国"), (3, "人民"), (6, "人")]
 
 
 def test_stream(spark, tmp_path):
@@ -392,3 +393,13 @@ def test_records(spark, tmp_path):
     assert records.in_memory(spark, [("t", "x" * 60)]).count() == 1
     with pytest.raises(Exception, match="fewer than 50"):
         records.in_memory(spark, [("t", " x ")]).collect()
+
+
+def test_placeholders_and_claims(spark):
+    values = spark.createDataFrame([(1, "M010", "avg_sent_len", 20.5), (1, "M001", "total_chars", 1200.0), (1, "M045", "punc_dash", 0.0)], "doc_id long, mid string, token string, value double")
+    texts = spark.createDataFrame([(1, "{{avg_sent_len}} {{metric:M001|total_chars}} {{nope}} {{nope}} {{punc_dash}}"), (2, None), (3, "{{avg_sent_len}}")], "doc_id long, t string")
+    assert {r.doc_id: (r.text, r.unresolved) for r in report.filled(texts, "doc_id", "t", values).collect()} == {1: ("20.5 1200 {{nope}} {{nope}} 0", "{{nope}}"), 2: ("", ""), 3: ("{{avg_sent_len}}", "{{avg_sent_len}}")}
+    claims = spark.createDataFrame([(1, "平均句长 21 字\n平均句长为 25.5 字，总字符数 1,300 字\n[E1] 平均句长 90 字"), (2, "平均句长 3 字")], "doc_id long, t string")
+    assert sorted((r.token, r.written, r.severity) for r in report.audit(claims, "doc_id", "t", values).collect()) == [("avg_sent_len", "25.5", "error"), ("total_chars", "1,300", "warning")]
+    labels = spark.createDataFrame([("平均句长",), (" PUNC_DASH ",), ("short_sent_ratio_pct",), ("无",), ("",), (None,)], "m string").select(report.metric_token(F.col("m")).alias("t")).collect()
+    assert [r.t for r in labels] == ["avg_sent_len", "punc_dash", "short_sent_ratio", None, None, None]
