@@ -11,7 +11,7 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -123,3 +123,9 @@ def latest_texts(df: DataFrame, keys: list[str], order: str, payload: list[str])
     if not seen["tied"]:
         return met.select(*keys, *payload)
     return met.where(~F.coalesce("_tied", F.lit(False))).select(*keys, *payload).unionByName(latest(met.where("_tied"), keys, order, payload))
+
+
+def computed(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """``keep`` and new columns, each computed once: the generator keeps later steps from copying the expressions."""
+    packed = F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))
+    return df.select(*keep, F.explode(packed).alias("_s")).select(*keep, *[F.col(f"_s.{k}").alias(k) for k in columns])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmill.functions import lexicons as L
+from inkmill.functions.frames import computed
 from inkmill.functions.text import strip, total
 from inkmill.operators.noise import with_clean
 
@@ -41,12 +42,6 @@ def plausible(name: Column) -> Column:
     return (name != "") & ~name.isin(["她", "他", "它", "她俩", "他俩", *L.NO_NAMES]) & ~((F.length(name) == 2) & name.rlike("^[她他它]")) & ~name.rlike("[的了吗呢吧啊呀哦嘛]") & name.rlike(r"^[\x{4e00}-\x{9fa5}A-Za-z·]{2,6}$")
 
 
-def once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
-    """``keep`` and new columns, each computed once: the generator keeps later steps from copying the expressions."""
-    packed = F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))
-    return df.select(*keep, F.explode(packed).alias("_s")).select(*keep, *[F.col(f"_s.{k}").alias(k) for k in columns])
-
-
 def quotes(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row per quotation: key, q_no, pos (0-based), content, block, name and tag.
 
@@ -55,8 +50,8 @@ def quotes(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     clean = with_clean(df.select(key, F.coalesce(F.col(text), F.lit("")).alias("t")), "t")
     wide = lambda a: F.transform(a, lambda x: F.length(x).cast("long"))
-    both = once(clean, [key], o=F.split("clean", L.QUOTE, -1), m=F.regexp_extract_all("clean", F.lit(L.QUOTE), F.lit(0)))
-    both = once(both, [key, "m"], z=F.arrays_zip("o", "m"), ol=wide(F.col("o")), ml=wide(F.col("m")))
+    both = computed(clean, [key], o=F.split("clean", L.QUOTE, -1), m=F.regexp_extract_all("clean", F.lit(L.QUOTE), F.lit(0)))
+    both = computed(both, [key, "m"], z=F.arrays_zip("o", "m"), ol=wide(F.col("o")), ml=wide(F.col("m")))
     join = lambda a: F.array_join(F.transform(a, lambda x: F.concat(F.coalesce(x["o"], F.lit("")), F.coalesce(x["m"], F.lit("")))), "")
 
     def row(q: Column, i: Column) -> Column:
@@ -71,12 +66,12 @@ def quotes(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = both.select(key, F.explode(F.transform("m", row)).alias("r")).select(key, "r.*").where(F.col("content") != "")
     base = [key, "q_no", "pos", "content"]
     tag = lambda w: F.when(~w.rlike("|".join(L.NO_TAGS)), F.try_element_at(F.filter(F.array(*map(F.lit, TAGS)), lambda t: F.contains(w, t)), F.lit(1)))
-    rows = once(rows, [*base, "left", "right"], a_tag=tag(F.col("left")), b_tag=tag(F.col("right")))
+    rows = computed(rows, [*base, "left", "right"], a_tag=tag(F.col("left")), b_tag=tag(F.col("right")))
     raw = lambda w, t: strip(F.regexp_replace(F.regexp_replace(strip(F.call_function("substring_index", F.col(w), F.col(t), F.lit(1))), f"^[{EDGE}]+|[{EDGE}]+$", ""), LEAD, ""))
-    rows = once(rows, [*base, "a_tag", "b_tag"], a_raw=raw("left", "a_tag"), b_raw=raw("right", "b_tag"))
-    rows = once(rows, [*base, "a_tag", "b_tag", "a_raw", "b_raw"], a_short=bare_name(F.col("a_raw")), b_short=bare_name(F.col("b_raw")))
+    rows = computed(rows, [*base, "a_tag", "b_tag"], a_raw=raw("left", "a_tag"), b_raw=raw("right", "b_tag"))
+    rows = computed(rows, [*base, "a_tag", "b_tag", "a_raw", "b_raw"], a_short=bare_name(F.col("a_raw")), b_short=bare_name(F.col("b_raw")))
     pick = lambda s: F.when(accepted(F.col(f"{s}_raw")), F.col(f"{s}_raw")).when(accepted(F.col(f"{s}_short")), F.col(f"{s}_short"))
-    rows = once(rows, [*base, "a_tag", "b_tag"], a_name=pick("a"), b_name=pick("b"))
+    rows = computed(rows, [*base, "a_tag", "b_tag"], a_name=pick("a"), b_name=pick("b"))
     name = F.coalesce("a_name", "b_name")
     tag = F.when(F.col("a_name").isNotNull(), F.col("a_tag")).when(F.col("b_name").isNotNull(), F.col("b_tag")).otherwise(F.coalesce("a_tag", "b_tag"))
     return rows.select(*base, F.floor(F.col("pos") / 1000).alias("block"), name.alias("name"), tag.alias("tag"))
@@ -100,7 +95,7 @@ def tag_counts(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def speakers(df: DataFrame, key: str, text: str) -> DataFrame:
     """One profile per text and speaker: lines, blocks, mean length of lines cut at 50, favourite tag, tone, confidence."""
-    q = once(quotes(df, key, text).where("name is not null"), [key, "q_no", "content", "block", "name", "tag"], speaker=normal_name(F.col("name"))).where(plausible(F.col("speaker")))
+    q = computed(quotes(df, key, text).where("name is not null"), [key, "q_no", "content", "block", "name", "tag"], speaker=normal_name(F.col("name"))).where(plausible(F.col("speaker")))
     c = F.col("content")
     # one shuffle by speaker serves the profile and the favourite tag
     q = q.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key, "speaker", "tag"))).withColumn("first", F.min("q_no").over(Window.partitionBy(key, "speaker", "tag")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmill.functions import lexicons as L
-from inkmill.functions.frames import latest, latest_texts, materialise
+from inkmill.functions.frames import computed, latest, latest_texts, materialise
 from inkmill.functions.probes import find_quotes
 from inkmill.functions.text import strip
 from inkmill.operators.noise import lines
@@ -24,9 +24,12 @@ def anchors(chunks: DataFrame, places: bool = False) -> DataFrame:
     but for metaphors, which go on to the next.  With ``places`` also where the quote begins on the axis of the work."""
     once = latest_texts(chunks, ["work_id", "chunk_id"], "ingested_at", ["chunk_text", "era", "start_pos"])
     trim = "^[，、；：]+|[，、；：]+$"
-    sents = F.transform(F.split("chunk_text", L.SENTENCE, -1), lambda s: F.regexp_replace(strip(s), trim, ""))
-    rows = F.transform(lines(F.col("chunk_text")), lambda s: strip(s))
-    short = F.transform(rows, lambda s: F.regexp_replace(s, "^[，、；： ]+|[，、；： ]+$", ""))
+    # each list once: sentences and lines, and of these only the lengths that an anchor can have
+    cut = F.filter(F.transform(F.split("chunk_text", L.SENTENCE, -1), lambda s: strip(s)), lambda s: F.length(s) >= 8)
+    keep = ["work_id", "chunk_id", "era", "start_pos", *(["chunk_text"] if places else [])]
+    once = computed(once, [*keep], sents=F.transform(cut, lambda s: F.regexp_replace(s, trim, "")), rows=F.filter(F.transform(lines(F.col("chunk_text")), lambda s: strip(s)), lambda s: F.length(s) <= 80))
+    sents, rows = F.col("sents"), F.col("rows")
+    short = F.transform(F.filter(rows, lambda s: s.rlike("[。！？][，、；： ]*$")), lambda s: F.regexp_replace(s, "^[，、；： ]+|[，、；： ]+$", ""))
     some = lambda a, f: F.try_element_at(F.filter(a, f), F.lit(1))
     fits = lambda s: F.length(s).between(8, 60)
     broken = "……[^…\\n]"

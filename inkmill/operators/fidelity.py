@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from inkmill.functions import lexicons as L
 from inkmill.functions.codepoints import decode
-from inkmill.functions.frames import Shared, latest_texts
+from inkmill.functions.frames import Shared, latest_texts, materialise
 from inkmill.functions.probes import Sums
 from inkmill.functions.text import count, count_word, strip, total
 from inkmill.operators.compare import trend
@@ -76,7 +76,11 @@ def chunk_sums(chunks: DataFrame) -> DataFrame:
 
 def era_windows(chunks: DataFrame, least: int = 200) -> DataFrame:
     """Summed counts per work and period of at least ``least`` characters; combined before the shuffle."""
-    return chunk_sums(chunks).where(F.col("era").isin(L.ERAS)).groupBy("work_id", "era").agg(*[F.sum(c).alias(c) for c in SUMS]).where(F.col("total_chars") >= least)
+    return windows_of(chunk_sums(chunks), least)
+
+
+def windows_of(sums: DataFrame, least: int = 200) -> DataFrame:
+    return sums.where(F.col("era").isin(L.ERAS)).groupBy("work_id", "era").agg(*[F.sum(c).alias(c) for c in SUMS]).where(F.col("total_chars") >= least)
 
 
 def window_values(windows: DataFrame) -> DataFrame:
@@ -114,7 +118,11 @@ def median_of(v: Column) -> Column:
 
 def window_bands(chunks: DataFrame, k: int = 3, least: int = 4) -> DataFrame:
     """(work_id, measure, median, low, high): tolerance bands of works with at least ``least`` period windows."""
-    long_ = window_values(era_windows(chunks)).select("work_id", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in COMPARED])).alias("m"))
+    return bands_of(era_windows(chunks), k, least)
+
+
+def bands_of(windows: DataFrame, k: int = 3, least: int = 4) -> DataFrame:
+    long_ = window_values(windows).select("work_id", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in COMPARED])).alias("m"))
     per = long_.groupBy("work_id", "m.measure").agg(F.collect_list("m.v").alias("v")).where(F.size("v") >= least).withColumn("median", median_of(F.col("v")))
     per = per.withColumn("mad", median_of(F.transform("v", lambda x: F.abs(x - F.col("median")))))
     width = F.when(F.col("mad") != 0, F.col("mad")).when(F.col("median") != 0, F.abs("median") * 0.05).otherwise(0.5)
@@ -131,11 +139,12 @@ def trials_of(documents: DataFrame, works: DataFrame) -> DataFrame:
 def deviations(documents: DataFrame, works: DataFrame, chunks: DataFrame) -> DataFrame:
     """(doc_id, measure, reference, trial, deviation, basis, passed): trial against work, by fixed tolerance or the work's own band."""
     own = trials_of(documents, works)
-    sums = chunk_sums(chunks).groupBy("work_id").agg(*[F.sum(c).alias(c) for c in SUMS])
+    per = materialise(chunk_sums(chunks).groupBy("work_id", "era").agg(*[F.sum(c).alias(c) for c in SUMS]))
+    sums = per.groupBy("work_id").agg(*[F.sum(c).alias(c) for c in SUMS])
     unpivot = lambda df, keys, into: df.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in COMPARED])).alias("m")).select(*keys, "m.measure", F.col("m.v").alias(into))
     reference = unpivot(window_values(sums), ["work_id"], "reference")
     read = measures(own, ["doc_id", "work_id"], "text").select("doc_id", "work_id", F.col("avg").alias("avg_sentence"), (F.col("short") / 100.0).alias("short_share"), F.col("quoted").alias("quoted_share"), F.col("simile").alias("simile_density"))
-    both = unpivot(read, ["doc_id", "work_id"], "trial").join(reference, ["work_id", "measure"]).join(window_bands(chunks).select("work_id", "measure", "low", "high"), ["work_id", "measure"], "left")
+    both = unpivot(read, ["doc_id", "work_id"], "trial").join(reference, ["work_id", "measure"]).join(bands_of(windows_of(per)).select("work_id", "measure", "low", "high"), ["work_id", "measure"], "left")
     relative = F.col("measure").isin([m for m, (mode, _) in TOLERANCE.items() if mode == "share"])
     limit = F.coalesce(*[F.when(F.col("measure") == m, F.lit(x)) for m, (_, x) in TOLERANCE.items()])
     gap = F.abs(F.col("trial") - F.col("reference"))

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmill.functions import lexicons as L
-from inkmill.functions.frames import latest_texts
+from inkmill.functions.frames import computed, latest_texts, materialise
 from inkmill.functions.text import count_chars, count_words
-from inkmill.operators.dialogue import function_of, normal_name, once, plausible, quotes
+from inkmill.operators.dialogue import function_of, normal_name, plausible, quotes
 from inkmill.operators.noise import with_clean
 from inkmill.operators.structure import interval_join
 from inkmill.operators.style import ratio
@@ -20,12 +20,16 @@ from inkmill.operators.style import ratio
 
 def said(df: DataFrame, key: str, text: str) -> DataFrame:
     """Quotations of named speakers: key, q_no, content, block, tag, speaker."""
-    return once(quotes(df, key, text).where("name is not null"), [key, "q_no", "content", "block", "tag"], speaker=normal_name(F.col("name"))).where(plausible(F.col("speaker")))
+    return spoken(quotes(df, key, text), key)
+
+
+def spoken(found: DataFrame, key: str) -> DataFrame:
+    return computed(found.where("name is not null"), [key, "q_no", "content", "block", "tag"], speaker=normal_name(F.col("name"))).where(plausible(F.col("speaker")))
 
 
 def aliases(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, speaker, name, n): the spellings that were put together as one speaker, where there are several."""
-    q = once(quotes(df, key, text).where("name is not null"), [key, "name"], speaker=normal_name(F.col("name"))).where(plausible(F.col("speaker")))
+    q = computed(quotes(df, key, text).where("name is not null"), [key, "name"], speaker=normal_name(F.col("name"))).where(plausible(F.col("speaker")))
     counts = q.groupBy(key, "speaker", "name").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy(key, "speaker"))).where("k > 1").drop("k")
 
@@ -47,12 +51,11 @@ def ranked(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 def fixed_phrases(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, speaker, rank, word, n): pairs of characters a speaker repeats: of the 30 most frequent the first 10 with at
     least max(2, lines // 10) occurrences."""
-    q = said(df, key, text)
-    lines = q.groupBy(key, "speaker").agg(F.count(F.lit(1)).alias("lines"))
-    runs = q.select(key, "speaker", "q_no", F.posexplode(F.regexp_extract_all("content", F.lit(L.CJK + "{2,}"), F.lit(0))).alias("r", "run"))
-    pairs = runs.select(key, "speaker", "q_no", "r", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("run") - 1), lambda i: F.substring(F.col("run"), i, F.lit(2)))).alias("i", "word"))
-    counts = pairs.groupBy(key, "speaker", "word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("q_no", "r", "i")).alias("first"))
-    top = ranked(counts, [key, "speaker"], F.desc("n"), F.col("first")).where("rank <= 30").join(lines, [key, "speaker"])
+    q = said(df, key, text).withColumn("lines", F.count(F.lit(1)).over(Window.partitionBy(key, "speaker")))
+    runs = q.select(key, "speaker", "lines", "q_no", F.posexplode(F.regexp_extract_all("content", F.lit(L.CJK + "{2,}"), F.lit(0))).alias("r", "run"))
+    pairs = runs.select(key, "speaker", "lines", "q_no", "r", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("run") - 1), lambda i: F.substring(F.col("run"), i, F.lit(2)))).alias("i", "word"))
+    counts = pairs.groupBy(key, "speaker", "word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("q_no", "r", "i")).alias("first"), F.max("lines").alias("lines"))
+    top = ranked(counts, [key, "speaker"], F.desc("n"), F.col("first"))
     return top.where("n >= greatest(2, floor(lines / 10)) and rank <= 10").select(key, "speaker", "rank", "word", "n")
 
 
@@ -106,8 +109,8 @@ def tag_ratio(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def unique_tags(df: DataFrame, key: str, text: str, most: int = 10) -> DataFrame:
     """(key, rank, tag, speaker, n): favourite tags that exactly one speaker of high confidence has; n counts the whole text."""
-    every = quotes(df, key, text)
-    q = said(df, key, text)
+    every = materialise(quotes(df, key, text).where("tag is not null or name is not null").drop("pos"))
+    q = spoken(every, key)
     sure = profiles(q, key).where("confidence = 'high'").select(key, "speaker")
     owned = speaker_tags(q, key).join(sure, [key, "speaker"]).groupBy(key, "tag").agg(F.count(F.lit(1)).alias("owners"), F.min("speaker").alias("speaker")).where("owners = 1")
     counts = every.where("tag is not null").groupBy(key, "tag").agg(F.count(F.lit(1)).alias("n"))
