@@ -340,6 +340,17 @@ def test_scan_noise(spark):
     assert "灰塔" not in fixed["c1"] and "12" not in fixed["c1"] and "the others looked" in fixed["c3"] and fixed["c4"] is None and fixed["c5"] == ""
 
 
+def test_scan_noise_edge_cases(spark):
+    """Empty tables, null keys and texts, repeated rows, no origin column, a column named as one of the operator's own."""
+    rows = [("w", "c1", "灰塔\n山门\n夜雨", 1), ("w", "c1", "灰塔\n山门\n夜雨", 1), (None, "c2", "x-\ny", 1), ("w", None, "x", 1), ("w", "c3", None, 1), ("w", "c4", "", 1)]
+    store = spark.createDataFrame([(*r, 7, "k") for r in rows], "work_id string, chunk_id string, chunk_text string, ingested_at long, n long, w string")
+    works = spark.createDataFrame([("w", None, None), (None, "灰塔", "灰塔")], "work_id string, title string, author_name string")
+    chapters = spark.createDataFrame([("w", None, None, None)], "work_id string, chapter_no int, title string, is_fallback boolean")
+    assert scan_noise.noise_kinds(store, works, chapters).count() == 0
+    assert sorted((r.chunk_id, r.repaired, r.n_paragraphs) for r in scan_noise.repair(store, works, chapters).collect()) == [("c1", "灰塔山门夜雨", 1), ("c3", None, 0), ("c4", "", 0)]
+    assert scan_noise.noise_kinds(store.limit(0), works.limit(0), chapters.limit(0)).count() == 0 and scan_noise.repair(store.limit(0), works, chapters).count() == 0
+
+
 def test_scan_heads_as_long_as_the_text(spark):
     body = ["He walked home along the river and thought of", "the winter road while nobody in the house was", "awake and the lamps went out one by one until"]
     spaced = "T H E   P A I N T E D   W H I S T L E   O F   H O B B S W E L L"
