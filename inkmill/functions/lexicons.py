@@ -177,3 +177,6 @@ AUDIT_RULES = [
     ("sentiment_balance", r"情感(?:平衡|倾向)值[^。；\n\d\-]{0,6}(-?\d+(?:\.\d+)?)", "abs", 0.25),
 ]
 CORE_METRICS = ["avg_sent_len", "dialogue_ratio_pct", "short_sent_ratio_pct", "metaphor_density", "action_mental_ratio"]
+
+# The parts of a report.
+REPORT_PARTS = ["第〇部分", "第一部分", "第二部分", "第三部分"]

@@ -43,6 +43,23 @@ def filled(templates: DataFrame, key: str, text: str, values: DataFrame) -> Data
     return out.select(key, text_.alias("text"), F.array_join(F.sort_array(F.transform(F.filter("k", lambda x: x["v"].isNull()), lambda x: x["m"])), ",").alias("unresolved"))
 
 
+def answer_health(df: DataFrame, key: str, text: str, least: int = 1000, least_body: int = 5) -> DataFrame:
+    """(key, missing_parts, missing_sections, short_sections, prose_chars, healthy): the four parts and eleven numbered sections of a written report.
+
+    Headings must stand as lines of their own; the last section ends at the second part.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    heading = r"(?m)^###\s+1\.(\d+)\b[^\n]*\n"
+    parts = [F.when(~t.rlike(rf"(?m)^##\s*[^\n]*{p}[^\n]*$"), F.lit(p)) for p in L.REPORT_PARTS]
+    numbers = F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(heading), F.lit(1)), lambda x: x.cast("int")))
+    bodies = F.transform(F.slice(F.split(t, heading, -1), 2, 2**31 - 1), lambda b: F.length(strip(F.call_function("substring_index", b, F.lit("## 第二部分"), F.lit(1)))))
+    out = df.select(
+        key, F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull()), ",").alias("missing_parts"), F.size(F.array_except(F.sequence(F.lit(1), F.lit(11)), numbers)).alias("missing_sections"),
+        F.size(F.filter(bodies, lambda n: n < least_body)).alias("short_sections"), F.length(strip(t)).alias("prose_chars"),
+    )
+    return out.select("*", ((F.col("missing_parts") == "") & (F.col("missing_sections") == 0) & (F.col("short_sections") == 0) & (F.col("prose_chars") >= least)).alias("healthy"))
+
+
 def metric_token(label: Column) -> Column:
     """The registered name a label means: the name itself, with or without ``_pct``, else the first alias it holds; null for none."""
     c = F.lower(strip(label))

@@ -324,7 +324,11 @@ SELECT qa.work_id, qa.chunk_id, q_no, min(chapter_id) AS chapter_id FROM qa LEFT
 COLUMN = {"quoted_pct": f"quoted * {D(100)}"}
 LONG = f"""{MEASURES.replace("me0 AS (SELECT doc_id,", "me0 AS (SELECT doc_id, total_chars,")}, mv AS (SELECT * FROM ({' UNION ALL '.join(f"SELECT doc_id, {q(m)} AS mid, {q(t)} AS token, {q(u)} AS unit, CAST({COLUMN.get(c, c)} AS DOUBLE) AS value FROM me" for m, t, u, c in L.METRICS)}) WHERE value IS NOT NULL)"""
 TOKEN = "CASE WHEN c = '' THEN NULL WHEN list_contains({0}, c) THEN c WHEN list_contains({0}, regexp_replace(c, '_pct$', '')) THEN regexp_replace(c, '_pct$', '') ".format(O.listed([t for t, _ in L.METRIC_ALIASES])) + " ".join(f"WHEN {' OR '.join(f'contains(c, {q(a)})' for a in x)} THEN {q(t)}" for t, x in L.METRIC_ALIASES) + " END"
+HEALTH = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), n AS (SELECT doc_id, t, list_transform(regexp_extract_all(t, '(?m)^###\\s+1\\.(\\d+)\\b[^\\n]*\\n', 1), lambda x: CAST(x AS INTEGER)) AS nums, string_split_regex(t, '(?m)^###\\s+1\\.\\d+\\b[^\\n]*\\n') AS parts FROM t),
+h AS (SELECT doc_id, {listing({p: f"NOT regexp_matches(t, '(?m)^##[[:space:]]*[^{chr(92)}n]*{p}[^{chr(92)}n]*$')" for p in L.REPORT_PARTS})} AS missing_parts, CAST(len(list_filter(range(1, 12), lambda i: NOT list_contains(nums, i))) AS INTEGER) AS missing_sections,
+ CAST(len(list_filter(parts[2:], lambda b: length({strip("string_split(b, '## 第二部分')[1]")}) < 5)) AS INTEGER) AS short_sections, CAST(length({strip('t')}) AS INTEGER) AS prose_chars FROM n) SELECT *, missing_parts = '' AND missing_sections = 0 AND short_sections = 0 AND prose_chars >= 1000 AS healthy FROM h"""
 REPORT = {
+    "answer_health": HEALTH,
     "metric_values": f"{LONG} SELECT * FROM mv",
     "metric_tokens": f"WITH x AS (SELECT item_id, arg_max(metric, ingested_at) AS metric FROM evidence_item GROUP BY 1), y AS (SELECT *, lower({strip('metric')}) AS c FROM x) SELECT item_id, metric, {TOKEN} AS token FROM y",
     "audited": f"""{LONG}, cl AS (SELECT doc_id, 'avg_sent_len' AS token, '20' AS written FROM documents UNION ALL SELECT doc_id, 'short_sent_ratio_pct', '30.5' FROM documents UNION ALL SELECT doc_id, 'punc_dash', '1' FROM documents UNION ALL SELECT doc_id, 'total_chars', '1,000' FROM documents)

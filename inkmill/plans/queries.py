@@ -120,7 +120,7 @@ QUERIES = {
     "noise_shares": keyed(noise.noise_shares), "work_noise": over(noise.work_noise, "evidence_store"),
     "style_measures": lambda spark, directory: ratios.measures(table(spark, directory, "documents", spread=True), ["doc_id"], "text").drop("total_chars"), "taboo_phrases": per_document(ratios.taboo_phrases),
     "chunk_eras": over(structure.chunk_eras, "evidence_store", "chapters"), "chunk_offsets": over(structure.chunk_offsets, "evidence_store"), "aliases": keyed(voices.aliases), "quote_chapters": over(voices.quote_chapters, "evidence_store", "chapters"),
-    "metric_values": keyed(report.metric_values), "metric_tokens": over(report.metric_tokens, "evidence_item"), "audited": audited,
+    "answer_health": keyed(report.answer_health), "metric_values": keyed(report.metric_values), "metric_tokens": over(report.metric_tokens, "evidence_item"), "audited": audited,
     "pos_shares": tokens(ratios.pos_shares), "entities": tokens(ratios.entities),
 }
 ORACLES = {**oracles.ORACLES, **more_oracles.ORACLES}

@@ -403,3 +403,12 @@ def test_placeholders_and_claims(spark):
     assert sorted((r.token, r.written, r.severity) for r in report.audit(claims, "doc_id", "t", values).collect()) == [("avg_sent_len", "25.5", "error"), ("total_chars", "1,300", "warning")]
     labels = spark.createDataFrame([("平均句长",), (" PUNC_DASH ",), ("short_sent_ratio_pct",), ("无",), ("",), (None,)], "m string").select(report.metric_token(F.col("m")).alias("t")).collect()
     assert [r.t for r in labels] == ["avg_sent_len", "punc_dash", "short_sent_ratio", None, None, None]
+
+
+def test_answer_health(spark):
+    body = "\n".join(f"### 1.{i} 节\n正文正文正文{i}" for i in range(1, 12))
+    good = f"## 第〇部分\n概要\n## 第一部分 量\n{body}\n## 第二部分\n{'长' * 1000}\n## 第三部分\n末"
+    bad = good.replace("### 1.3 节\n正文正文正文3\n", "").replace("正文正文正文11", "短").replace("## 第三部分", "**第三部分**")
+    rows = {r.id: r for r in report.answer_health(spark.createDataFrame([(1, good), (2, bad), (3, None)], "id long, t string"), "id", "t").collect()}
+    assert rows[1].healthy and (rows[2].missing_parts, rows[2].missing_sections, rows[2].short_sections, rows[2].healthy) == ("第三部分", 1, 1, False)
+    assert (rows[3].missing_sections, rows[3].prose_chars) == (11, 0)
