@@ -52,7 +52,8 @@ def answer_health(df: DataFrame, key: str, text: str, least: int = 1000, least_b
     heading = r"(?m)^###\s+1\.(\d+)\b[^\n]*\n"
     parts = [F.when(~t.rlike(rf"(?m)^##\s*[^\n]*{p}[^\n]*$"), F.lit(p)) for p in L.REPORT_PARTS]
     numbers = F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(heading), F.lit(1)), lambda x: x.cast("int")))
-    bodies = F.transform(F.slice(F.split(t, heading, -1), 2, 2**31 - 1), lambda b: F.length(strip(F.call_function("substring_index", b, F.lit("## 第二部分"), F.lit(1)))))
+    parted = F.split(t, heading, -1)
+    bodies = F.transform(F.slice(parted, F.lit(2), F.size(parted)), lambda b: F.length(strip(F.call_function("substring_index", b, F.lit("## 第二部分"), F.lit(1)))))
     out = df.select(
         key, F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull()), ",").alias("missing_parts"), F.size(F.array_except(F.sequence(F.lit(1), F.lit(11)), numbers)).alias("missing_sections"),
         F.size(F.filter(bodies, lambda n: n < least_body)).alias("short_sections"), F.length(strip(t)).alias("prose_chars"),
