@@ -1,14 +1,15 @@
 """Subject areas of documents (problem 8).
 
-Fit, on a bounded sample (``fit_docs`` documents in hash order, hand-labelled ones first, ``fit_chars`` characters at
-most): the documents become normalised vectors of weighted terms (words, and character n-grams of Han text), which
-bisecting k-means splits into leaves.  A leaf is labelled by its discriminative terms: the hand labels of the documents
-that hold these terms vote, weighted by how much each term sets the leaf apart; leaves without a clear vote stand for no
-subject.  The terms of the leaves are then sharpened on the sample's sentences: each sentence goes to the leaf its other
-terms speak for, and every term's weight per leaf is taken from these sentences.
-
-Apply, over all documents: one automaton finds the terms, every sentence goes to the leaf its terms speak for, and a
-document's mixture of leaves, added up by leaf label, gives its subjects: those with at least ``share`` of its
+Fit, over all documents, each text once: their terms (words, and character n-grams of Han text) are counted, and those kept
+that come in bursts, as words of a subject do, or that the hand labels tie to a subject.  The documents become normalised
+vectors of weighted terms.  Vectors are added up by their strongest term, bisecting k-means splits these sums into leaves,
+and every document goes to the leaf nearest to it.  A leaf is labelled by its discriminative terms: the hand labels of the
+documents that hold these terms vote, weighted by how much each term sets the leaf apart; leaves without a clear vote stand
+for no subject.  The terms of the leaves are then sharpened on all sentences: each sentence goes to the leaf its other terms
+speak for, and every term's weight per leaf is taken from these sentences.  The texts are read twice (counts, then the terms
+of every sentence, which are kept in a table); the driver holds arrays of terms by leaves, never texts.
+
+Apply, over all documents: every sentence goes to the leaf its terms speak for, and a document's mixture of leaves, added up by leaf label, gives its subjects: those with at least ``share`` of its
 sentences, else ``general``.
 
 Defined results: null, empty and blank texts are ``general``; ties between leaves of several subjects go to the subject
@@ -19,16 +20,18 @@ Without any labels every document is ``general``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkmill.functions.codepoints import decode, parts
-from inkmill.functions.frames import Shared, materialise
+from inkmill.functions.frames import MOST_REPEATED, Shared, materialise
 
 from .chars import HAN, LETTER, look
 from .sentences import starts
@@ -46,14 +49,11 @@ def grams(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     wide = points.astype(np.int64)
     codes, where, size = [], [], []
     n = len(points)
+    code, ok, unit = wide - 0x3400 & 0x7FFF, han, wide - 0x3400 & 0x7FFF
     for k in (2, 3, 4):
         if n < k:
             continue
-        ok = han[: n - k + 1].copy()
-        code = np.zeros(n - k + 1, np.int64)
-        for i in range(k):
-            ok &= han[i : n - k + 1 + i]
-            code = code << 15 | (wide[i : n - k + 1 + i] - 0x3400 & 0x7FFF)
+        code, ok = code[:-1] << 15 | unit[k - 1 :], ok[:-1] & han[k - 1 :]
         at = np.flatnonzero(ok)
         codes.append(code[at] << 2 | k - 1)
         where.append(at)
@@ -73,9 +73,9 @@ def grams(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def bisect(vectors: np.ndarray, leaves: int, rounds: int = 12, least: int = 6) -> np.ndarray:
-    """Leaf number of each unit vector: the leaf of largest summed distance is split in two until there are enough."""
-    leaf = np.zeros(len(vectors), np.int32)
-    spread = {0: float(len(vectors) - np.linalg.norm(vectors.sum(0)))}
+    """Leaf number of each vector, which counts as its length says: the leaf of largest summed distance is split in two until there are enough."""
+    leaf, length = np.zeros(len(vectors), np.int32), np.linalg.norm(vectors, axis=1)
+    spread = {0: float(length.sum() - np.linalg.norm(vectors.sum(0)))}
     while len(spread) < leaves:
         worst = max(spread, key=lambda k: (spread[k], -k))
         if spread[worst] <= 0:
@@ -83,8 +83,10 @@ def bisect(vectors: np.ndarray, leaves: int, rounds: int = 12, least: int = 6) -
         mine = np.flatnonzero(leaf == worst)
         x = vectors[mine]
         centre = x.sum(0)
-        a = x[np.argmin(x @ centre)]
-        b = x[np.argmin(x @ a)]
+        unit = 1 / (length[mine] + 1e-9)
+        a = x[np.argmin(x @ centre * unit)]
+        b = x[np.argmin(x @ a * unit)]
+        a, b = a / (np.linalg.norm(a) + 1e-9), b / (np.linalg.norm(b) + 1e-9)
         side = None
         for _ in range(rounds):
             new = x @ b > x @ a
@@ -95,22 +97,22 @@ def bisect(vectors: np.ndarray, leaves: int, rounds: int = 12, least: int = 6) -
                 break
             a, b = x[~side].sum(0), x[side].sum(0)
             a, b = a / (np.linalg.norm(a) + 1e-9), b / (np.linalg.norm(b) + 1e-9)
-        if side is None or min(side.sum(), (~side).sum()) < least:
+        if side is None or min(max(half.sum(), length[mine][half].sum()) for half in (side, ~side)) < least:
             spread[worst] = 0.0
             continue
         name = len(spread)
         leaf[mine[side]] = name
         for k in (worst, name):
-            x = vectors[leaf == k]
-            spread[k] = float(len(x) - np.linalg.norm(x.sum(0)))
+            spread[k] = float(length[leaf == k].sum() - np.linalg.norm(vectors[leaf == k].sum(0)))
     return leaf
 
 
 class Model:
     """Terms with a weight per leaf, and the subject each leaf is labelled with (``len(subjects)``: none)."""
 
-    def __init__(self, subjects: list[str], terms: list[str], weights: np.ndarray, labels: np.ndarray) -> None:
+    def __init__(self, subjects: list[str], terms: list[str], weights: np.ndarray, labels: np.ndarray, numbers: np.ndarray | None = None) -> None:
         self.subjects, self.terms, self.weights, self.labels = subjects, terms, weights, labels
+        self.numbers = np.arange(len(terms)) if numbers is None else numbers  # of the terms among those that were counted
         self.automaton = None
         order = np.argsort(labels, kind="stable")
         order = order[labels[order] < len(subjects)]
@@ -157,6 +159,13 @@ class Model:
         sentence, term = self.hits(points, offsets, offsets[row] + at, row)
         if not len(sentence):
             return out, total
+        return self.mixed(sentence, term, row, rows), total
+
+    def mixed(self, sentence: np.ndarray, term: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        """Sentences per row and subject, from (sentence, term) in order of the sentences; ``row`` is that of each sentence."""
+        out = np.zeros((rows, len(self.subjects)))
+        if not len(self.named) or not len(sentence):
+            return out
         spoken, begin = np.unique(sentence, return_index=True)
         leaf = np.add.reduceat(self.weights[term], begin, axis=0)
         score = np.full((len(spoken), len(self.subjects)), -np.inf)
@@ -170,7 +179,7 @@ class Model:
         if len(open_):
             tie = np.where(clear[open_], out[row[spoken[open_]]] + 1e-3 * score[open_], -1)
             np.add.at(out, (row[spoken[open_]], tie.argmax(1)), 1)
-        return out, total
+        return out
 
 
 def named_leaves(apart: np.ndarray, votes: np.ndarray, most: int = 40, lead: float = 0.25) -> np.ndarray:
@@ -209,90 +218,191 @@ def led(sentence: np.ndarray, term: np.ndarray, live: np.ndarray, weights: np.nd
     return out
 
 
-def fit(texts: list[str], labels: list[set[str]], subjects: list[str], other: str = "general", leaves: int = 60, features: int = 3000, passes: int = 2) -> Model:
-    """The model from sample texts; texts without a hand label have an empty set."""
-    subjects = [s for s in sorted(subjects) if s != other]
-    none = Model(subjects, [], np.zeros((0, 1)), np.full(1, len(subjects)))
-    points, offsets = decode(pa.array(texts, pa.string()))
-    n, k = len(texts), len(subjects) + 1
-    if not len(points) or not any(labels):
-        return none
+#: Features of the document vectors.
+FEATURES = 3000
+
+
+class Terms(NamedTuple):
+    """The terms kept, by code, with occurrences, documents and hand labels (term by class); ``n`` texts in all, ``prior``
+    labels of each class."""
+
+    code: np.ndarray
+    name: list[str]
+    tf: np.ndarray
+    df: np.ndarray
+    votes: np.ndarray
+    n: int
+    prior: np.ndarray
+
+    @property
+    def floor(self) -> int:
+        return least_documents(self.n)
+
+
+def least_documents(n: int) -> int:
+    """Documents that a term must be in, of ``n``."""
+    return max(4, int(2e-4 * n))
+
+
+def counted(points: np.ndarray, offsets: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, list[str | None], np.ndarray, np.ndarray, np.ndarray]:
+    """(code, word, occurrences, texts, marks of these) of each term of the texts; ``marks[text, class]``, words of Han have none."""
+    code, where, size = grams(points)
+    row = np.searchsorted(offsets, where, "right") - 1
+    whole = where + size <= offsets[row + 1]
+    code, where, size, row = code[whole], where[whole], size[whole], row[whole]
+    order = np.argsort(code)
+    code, row = code[order], row[order]
+    first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.zeros(0, np.int64)
+    tf = np.diff(np.append(first, len(code)))
+    n = max(1, len(offsets) - 1)
+    cell = np.sort(np.repeat(np.arange(len(first)), tf) * n + row)
+    cell = cell[np.concatenate(([True], cell[1:] != cell[:-1]))] if len(cell) else cell
+    t, r = cell // n, cell % n
+    df = np.bincount(t, minlength=len(first))
+    held = marks.any(1)[r]
+    votes = np.zeros((len(first), marks.shape[1]))
+    for c in range(marks.shape[1] if held.any() else 0):
+        votes[:, c] = np.bincount(t[held], weights=marks[r[held], c], minlength=len(first))
+    words: list[str | None] = [None] * len(first)
+    small = lower(points)
+    for i in np.flatnonzero(code[first] & 3 == 0).tolist():
+        at = order[first[i]]
+        words[i] = small[where[at] : where[at] + size[at]].tobytes().decode("utf-32-le")
+    return code[first], words, tf, df, votes
+
+
+def spelled(code: int, word: str | None) -> str:
+    """The term of a code; those of Han hold their characters."""
+    return word if word is not None else "".join(chr(0x3400 + (code >> 2 + 15 * i & 0x7FFF)) for i in range(code & 3, -1, -1))
+
+
+def telling(tf: np.ndarray, df: np.ndarray, votes: np.ndarray, prior: np.ndarray, least: float = 0.25) -> np.ndarray:
+    """Terms that come in bursts or that the hand labels tie to a subject (the last class is none)."""
+    share = votes / prior + 0.3 / prior.mean()
+    return (tf >= 1.05 * df) | ((share[:, :-1].max(1) >= least * share.sum(1)) & (votes.sum(1) >= 1))
+
+
+class Block(NamedTuple):
+    """Texts as (sentence, term) pairs, each once, in order; ``row`` is the text of each sentence, ``marks`` are its hand labels."""
+
+    sentence: np.ndarray
+    term: np.ndarray
+    row: np.ndarray
+    marks: np.ndarray
+
+    def held(self, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, sentences) of the terms of each text."""
+        cell, n = np.unique(self.row[self.sentence] * terms + self.term, return_counts=True)
+        return cell // terms, cell % terms, n
+
+    def vectors(self, column: np.ndarray, idf: np.ndarray, held: tuple | None = None) -> np.ndarray:
+        row, term, n = held or self.held(len(column))
+        at = column[term]
+        used = at >= 0
+        out = np.zeros((len(self.marks), len(idf)), np.float32)
+        out[row[used], at[used]] = np.log1p(n[used]) * idf[at[used]]
+        return out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-9)
+
+
+def pairs(points: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sentence, term, text of each sentence) of the texts, for the terms in ``codes``, which is sorted."""
     row, at = starts(points, offsets)
-    place = offsets[row] + at
+    none = np.zeros(0, np.int64)
+    if not len(codes) or not len(row):
+        return none, none, row
     code, where, size = grams(points)
-    doc = np.searchsorted(offsets, where, "right") - 1
-    whole = where + size <= offsets[doc + 1]
-    code, where, size, doc = code[whole], where[whole], size[whole], doc[whole]
-    values, code = np.unique(code, return_inverse=True)
-    seen = np.unique(code.astype(np.int64) * n + doc)
-    df = np.bincount(seen // n, minlength=len(values))
-    floor = max(4, int(0.006 * n))
-    good = (df >= floor) & (df <= 0.25 * n)
-    number = np.full(len(values), -1)
-    number[good] = np.arange(good.sum())
-    keep = good[code]
-    code, where, size, doc = number[code[keep]], where[keep], size[keep], doc[keep]
-    df = df[good]
-    m = len(df)
-    if not m:
-        return none
-    tf = np.bincount(code, minlength=m)
-    firsts = np.full(m, len(points))
-    np.minimum.at(firsts, code, where)
-    width = np.zeros(m, np.int64)
-    width[code] = size
-    text = lower(points).tobytes().decode("utf-32-le")
-    terms = [text[a : a + w] for a, w in zip(firsts.tolist(), width.tolist())]
-
-    # document vectors over the terms that come in bursts, as words of a subject do
-    burst = np.argsort(-(tf / df - 1) * np.sqrt(df), kind="stable")[:features]
+    term = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+    known = codes[term] == code
+    term, where, size = term[known], where[known], size[known]
+    sentence = np.searchsorted(offsets[row] + at, where, "right") - 1
+    inside = (sentence >= 0) & (where + size <= offsets[1:][row[np.maximum(sentence, 0)]])
+    both = np.unique(sentence[inside] * len(codes) + term[inside])
+    return both // len(codes), both % len(codes), row
+
+
+Counts = list[tuple[np.ndarray, np.ndarray]]
+
+
+def cell_sums(block: Block, column: np.ndarray, idf: np.ndarray) -> Counts:
+    """Vectors added up by their strongest term."""
+    x = block.vectors(column, idf)
+    r, c = np.nonzero(x)
+    return [(x.argmax(1)[r] * len(idf) + c, x[r, c])]
+
+
+def leaf_counts(block: Block, column: np.ndarray, idf: np.ndarray, centres: np.ndarray | None, leaf: np.ndarray | None = None) -> Counts:
+    """Documents by term and leaf, and by leaf; without ``leaf`` it is the nearest of ``centres``, the last one for none."""
+    held = block.held(len(column))
+    if leaf is None:
+        near = block.vectors(column, idf, held) @ centres
+        leaf = np.concatenate((near, np.full((len(near), 1), 1e-6, near.dtype)), axis=1).argmax(1)
+        l = centres.shape[1] + 1
+    else:
+        l = int(leaf.max()) + 1
+    row, term, _ = held
+    return [(term * l + leaf[row], np.ones(len(row))), (len(column) * l + leaf, np.ones(len(leaf)))]
+
+
+def sentence_counts(block: Block, weights: np.ndarray, named: np.ndarray, spoken: np.ndarray, l: int) -> Counts:
+    """Terms by the leaf that the other terms of their sentence speak for, and these by leaf; the last one, ``l``, is none.
+
+    ``weights`` are those of the leaves in ``spoken``, which have a label."""
+    m = len(weights)
+    at = np.unique(block.sentence, return_inverse=True)[1]
+    to = np.append(spoken, l)[led(at, block.term, np.flatnonzero(named[block.term]), weights)]
+    return [(block.term * (l + 1) + to, np.ones(len(to))), (m * (l + 1) + to, np.ones(len(to)))]
+
+
+def summed(counts: Counts, size: int) -> np.ndarray:
+    return np.bincount(np.concatenate([i for i, _ in counts]), weights=np.concatenate([v for _, v in counts]), minlength=size)
+
+
+def trained(total: Callable[..., np.ndarray], terms: Terms, subjects: list[str], leaves: int, passes: int, whole: Block | None = None) -> Model:
+    """The model; ``total(counts, size, *state)`` adds up ``counts(block, *state)`` over all blocks.  Where all texts are one
+    block (``whole``), their vectors themselves are split into leaves."""
+    m, n, k, df, floor = len(terms.code), terms.n, len(subjects) + 1, terms.df, terms.floor
+    burst = np.argsort(-(terms.tf / df - 1) * np.sqrt(df), kind="stable")[:FEATURES]
     column = np.full(m, -1)
     column[burst] = np.arange(len(burst))
-    chosen = column[code] >= 0
-    vectors = np.bincount(doc[chosen] * len(burst) + column[code[chosen]], minlength=n * len(burst)).reshape(n, -1).astype(np.float32)
-    vectors = np.log1p(vectors) * np.log(n / df[burst]).astype(np.float32)
-    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-9
-    leaf = bisect(vectors, min(leaves, max(2, n // 8)))
-    l = int(leaf.max()) + 1
+    idf = np.log(n / df[burst]).astype(np.float32)
+    leaves = min(leaves, max(2, n // 8))
+    if whole is not None:
+        leaf = bisect(whole.vectors(column, idf), leaves)
+        l = int(leaf.max()) + 1
+        both = total(leaf_counts, (m + 1) * l, column, idf, None, leaf)
+    else:
+        sums = total(cell_sums, len(idf) ** 2, column, idf).astype(np.float32).reshape(len(idf), -1)
+        sums = sums[sums.any(1)]
+        leaf = bisect(sums, leaves)
+        centres = np.stack([sums[leaf == i].sum(0) for i in range(int(leaf.max()) + 1)], axis=1)
+        del sums
+        centres /= np.linalg.norm(centres, axis=0) + 1e-9
+        l = centres.shape[1] + 1
+        both = total(leaf_counts, (m + 1) * l, column, idf, centres)
 
     # discriminative terms of the leaves, and the labels they vote for
-    cell = np.unique(code.astype(np.int64) * n + doc)
-    t_of, d_of = cell // n, cell % n
-    counts, size_of = np.bincount(t_of * l + leaf[d_of], minlength=m * l).reshape(m, l), np.bincount(leaf, minlength=l) + 0.0
+    counts, size_of = both[: m * l].reshape(m, l), both[m * l :]
     weights = np.log((counts + df[:, None] / n) / (size_of + 1) / (df / n)[:, None])
-    index = {s: i for i, s in enumerate([*subjects, other])}
-    marks = np.zeros((n, k))
-    for i, names in enumerate(labels):
-        for s in names:
-            marks[i, index[s]] = 1 / len(names)
-    prior = marks.sum(0) + 0.5
-    votes = np.zeros((m, k))
-    for c in range(k):
-        votes[:, c] = np.bincount(t_of, weights=marks[d_of, c], minlength=m)
-    votes = votes / prior + 0.3 / prior.mean()
+    prior = terms.prior + 0.5
+    votes = terms.votes / prior + 0.3 / prior.mean()
     votes /= votes.sum(1, keepdims=True)
-    bursts = tf >= 1.05 * df
+    bursts = terms.tf >= 1.05 * df
     label = named_leaves(np.where((weights > 0.7) & bursts[:, None], counts * weights, 0), votes)
-    home = np.eye(k)[label]
+    home, spoken = np.eye(k)[label], np.flatnonzero(label < k - 1)
+    if not len(spoken):
+        return unfit(subjects)
 
     # terms per leaf by documents first, then by sentences
-    s_of = np.searchsorted(place, where, "right") - 1
-    used = s_of >= 0
-    pair = np.unique(s_of[used] * m + code[used])
-    t_of, s_of = pair % m, pair // m
-    at_spoken = np.unique(s_of, return_inverse=True)[1]
     base = home.T @ size_of + 1
     by_label = counts @ home / base * base.mean()  # as if every label had as many documents
     for turn in range(passes + 1):
         p = (by_label + 0.02) / (by_label.sum(1, keepdims=True) + 0.02 * k)
         named = (p[:, :-1].max(1) >= (0.4 if turn else 0.5)) & (by_label.sum(1) >= floor if turn else bursts)
-        weights = np.where(named[:, None] & (label < k - 1), np.clip(weights, -2.0, 3.0), 0.0)
+        weights = np.where(named[:, None] & (label < k - 1), np.clip(weights, -2.0, 3.0), 0.0).astype(np.float32)
         if turn == passes:
             break
-        live = np.flatnonzero(named[t_of])
-        to = led(at_spoken, t_of, live, weights.astype(np.float32))
-        counts = np.bincount(t_of * (l + 1) + to, minlength=m * (l + 1)).reshape(m, l + 1)
-        size_of = np.bincount(to, minlength=l + 1) + 1.0
+        both = total(sentence_counts, (m + 1) * (l + 1), weights[:, spoken], named, spoken, l)
+        counts, size_of = both[: m * (l + 1)].reshape(m, l + 1), both[m * (l + 1) :] + 1.0
         common = counts.sum(1, keepdims=True) / size_of.sum() + 1e-9
         unled, counts, size_of = counts[:, l], counts[:, :l], size_of[:l]
         weights = np.log((counts + 30 * common) / (size_of + 30) / common)
@@ -301,17 +411,42 @@ def fit(texts: list[str], labels: list[set[str]], subjects: list[str], other: st
         base = np.maximum(home[:, :-1].T @ size_of, 1)
         by_label[:, :-1] *= base.mean() / base
     final = np.flatnonzero(named)
-    names = [terms[i] for i in final]
+    names = [terms.name[i] for i in final]
     # of nested grams that always come together only the longest says anything of its own
     have = {t: i for i, t in enumerate(names)}
     drop = {have[t[a:b]] for i, t in enumerate(names) if t[0] >= "㐀" for a in range(len(t)) for b in range(a + 2, len(t) + 1) if b - a < len(t) and t[a:b] in have and df[final[have[t[a:b]]]] <= 1.15 * df[final[i]]}
     stay = [i for i in range(len(names)) if i not in drop]
-    return Model(subjects, [names[i] for i in stay], weights[final[stay]], label)
+    return Model(subjects, [names[i] for i in stay], weights[final[stay]], label, final[stay])
+
+
+def fit(texts: list[str], labels: list[set[str]], subjects: list[str], other: str = "general", leaves: int = 60, passes: int = 2) -> Model:
+    """The model from the texts given, in memory; texts without a hand label have an empty set."""
+    subjects = [s for s in sorted(subjects) if s != other]
+    index = {s: i for i, s in enumerate([*subjects, other])}
+    points, offsets = decode(pa.array(texts, pa.string()))
+    marks = np.zeros((len(texts), len(index)))
+    for i, names in enumerate(labels):
+        for s in names:
+            marks[i, index[s]] = 1 / len(names)
+    code, word, tf, df, votes = counted(points, offsets, marks)
+    n, prior = len(texts), marks.sum(0)
+    keep = np.flatnonzero((df >= least_documents(n)) & (df <= 0.25 * n) & telling(tf, df, votes, prior + 0.5))
+    if not len(keep) or not any(labels):
+        return unfit(subjects)
+    terms = Terms(code[keep], [spelled(int(code[i]), word[i]) for i in keep], tf[keep], df[keep], votes[keep], n, prior)
+    sentence, term, row = pairs(points, offsets, terms.code)
+    block = Block(sentence, term, row, marks)
+    return trained(lambda f, size, *state: summed(f(block, *state), size), terms, subjects, leaves, passes, block)
+
+
+def unfit(subjects: list[str]) -> Model:
+    return Model(subjects, [], np.zeros((0, 1)), np.full(1, len(subjects)))
 
 
 def sample(documents: DataFrame, labels: DataFrame, subjects: list[str], fit_docs: int, fit_chars: int) -> tuple[list[str], list[set[str]]]:
     """At most ``fit_docs`` documents of ``fit_chars`` characters in all, labelled ones first, each in hash order.
 
+    For trials with ``fit``; no query fits on it (``corpus_model`` takes all documents).
     Only ids are sorted; the texts are read once, and those of the at most ``2 * fit_docs`` candidates are kept in a table.
     """
     clean = labels.select("doc_id", F.lower(F.trim("subject")).alias("s")).where(F.col("s").isin(subjects)).groupBy("doc_id").agg(F.sort_array(F.collect_set("s")).alias("s"))
@@ -336,30 +471,150 @@ def sample(documents: DataFrame, labels: DataFrame, subjects: list[str], fit_doc
     return [*both], [*both.values()]
 
 
-def assign(documents: DataFrame, model: Model, keep: str = "doc_id", share: float = 0.15, other: str = "general") -> DataFrame:
-    """(doc, subject, n_sentences, n_total): one row per document and subject; no shuffle."""
-    shared = Shared(documents.sparkSession, model, Model.prepare)
+def labelled(documents: DataFrame, labels: DataFrame, names: list[str]) -> tuple[DataFrame, int, dict[str, float]]:
+    """(_i, _first, _s) of the documents whose text is labelled or another document's too: whether they stand for the text,
+    and the labels of all that hold it; the number of texts; the labels of each class, a text's labels sharing its vote."""
+    clean = labels.select("doc_id", F.lower(F.trim("subject")).alias("s")).where(F.col("s").isin(names) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.collect_set("s").alias("s"))
+    keyed = documents.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("h"))
+    texts = keyed.join(clean, "doc_id", "left").groupBy("h").agg(F.min("doc_id").alias("top"), F.count(F.lit(1)).alias("c"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s"))
+    texts = materialise(texts)
+    votes = {r["x"]: r["v"] for r in texts.select(F.explode("s").alias("x"), (1 / F.size("s")).alias("v")).groupBy("x").agg(F.sum("v").alias("v")).collect()}
+    marked = keyed.join(texts.where("c > 1 or size(s) > 0"), "h").select(F.col("doc_id").alias("_i"), (F.col("doc_id") == F.col("top")).alias("_first"), F.col("s").alias("_s")).distinct()
+    return materialise(marked), texts.count(), votes
+
+
+def corpus_model(documents: DataFrame, labels: DataFrame, names: list[str], other: str = "general", leaves: int = 60, passes: int = 2) -> tuple[DataFrame, Model]:
+    """The sentences' terms of all documents (doc_id, n, sentence, term), and the model fitted on all of them."""
+    spark = documents.sparkSession
+    subjects = [s for s in names if s != other]
+    classes = [*subjects, other]
+    k = len(classes)
+    marks, n, given = labelled(documents, labels, names)
+    prior = np.array([given.get(c, 0.0) for c in classes])
+    picked = documents.select("doc_id", "text")
+    met = picked.join(F.broadcast(marks) if marks.count() <= MOST_REPEATED else marks, F.col("doc_id") == F.col("_i"), "left").select("doc_id", F.coalesce("_first", F.lit(True)).alias("first"), F.coalesce("_s", F.array().cast("array<string>")).alias("s"), "text")
+    votes = [f"v{c}" for c in range(k)]
+
+    def marks_of(column: pa.Array) -> np.ndarray:
+        index = {s: i for i, s in enumerate(classes)}
+        out = np.zeros((len(column), k))
+        for i in np.flatnonzero(np.asarray(pa.compute.list_value_length(column))).tolist():
+            own = column[i].as_py()
+            for s in own:
+                out[i, index[s]] = 1 / len(own)
+        return out
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple] = []
+
+        def merged() -> tuple:
+            code, word, numbers = (np.concatenate([x[i] for x in kept]) for i in range(3))
+            order = np.argsort(code)
+            first = np.flatnonzero(np.concatenate(([True], np.diff(code[order]) != 0)))
+            return code[order][first], word[order][first], np.add.reduceat(numbers[order], first, axis=0)
+
+        def rows(x: tuple) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(x[0]), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[0][a : a + 50_000]), pa.array(x[1][a : a + 50_000], pa.string()), *[pa.array(v) for v in x[2][a : a + 50_000].T]], ["code", "word", "tf", "df", *votes])
+
+        for batch in batches:
+            for part in parts(batch.filter(batch.column(1))):
+                code, word, tf, df, own = counted(*decode(part.column(3)), marks_of(part.column(2)))
+                if len(code):
+                    kept.append((code, np.array(word, object), np.column_stack((tf, df, own)).astype(np.float32)))
+                if sum(len(x[0]) for x in kept) > 400_000:
+                    kept = [merged()]
+                    if len(kept[0][0]) > 300_000:
+                        yield from rows(kept.pop())
+        if kept:
+            yield from rows(merged())
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = shared.get()
+        for batch in batches:
+            for part in parts(batch):
+                sentence, term, row = pairs(*decode(part.column(3)), codes)
+                total = np.bincount(row, minlength=part.num_rows)
+                edges = np.searchsorted(row[sentence], np.arange(part.num_rows + 1)).astype(np.int32)
+                begin = np.concatenate(([0], np.cumsum(total)))
+                lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(x.astype(np.int32))) for x in (sentence - begin[row[sentence]], term)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(total.astype(np.int32)), *lists], ["doc_id", "first", "s", "n", "sentence", "term"])
+
+    if not sum(given.values()):
+        codes, terms = np.zeros(0, np.int64), None
+    else:
+        each = met.mapInArrow(count, "code long, word string, tf float, df float, " + ", ".join(f"{v} float" for v in votes))
+        sums = each.groupBy("code", "word").agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in ("tf", "df", *votes)]).where((F.col("df") >= least_documents(n)) & (F.col("df") <= 0.25 * n))
+        share = [F.col(v) / float(q) + float(0.3 / (prior + 0.5).mean()) for v, q in zip(votes, prior + 0.5)]
+        tied = (F.greatest(*share[:-1], F.lit(0.0)) >= 0.25 * reduce(Column.__add__, share)) & (reduce(Column.__add__, map(F.col, votes)) >= 1)
+        rows = sums.where((F.col("tf") >= 1.05 * F.col("df")) | tied).toArrow().sort_by("code")
+        codes = rows["code"].to_numpy()
+        terms = Terms(codes, [spelled(c, w) for c, w in zip(codes.tolist(), rows["word"].to_pylist())], rows["tf"].to_numpy(), rows["df"].to_numpy(), np.stack([rows[v].to_numpy() for v in votes], axis=1), n, prior)
+        del rows
+    shared = Shared(spark, codes, lambda x: x)
+    kind = documents.select("doc_id").dtypes[0][1]
+    coded = materialise(met.mapInArrow(encode, f"doc_id {kind}, first boolean, s array<string>, n int, sentence array<int>, term array<int>"))
+    if not len(codes):
+        return coded, unfit(subjects)
+
+    def total(counts: Callable[..., Counts], size: int, *state: object) -> np.ndarray:
+        sent = spark.sparkContext.broadcast(state)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(size, np.float32)
+            for batch in batches:
+                batch = batch.filter(batch.column(0))
+                for a in range(0, batch.num_rows, 500):
+                    part = batch.slice(a, 500)
+                    for i, v in counts(Block(*sentences_of(part, 1), marks=np.zeros((part.num_rows, 0))), *sent.value):
+                        np.add.at(sums, i, v)
+            at = np.flatnonzero(sums)
+            for a in range(0, len(at), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(at[a : a + 100_000].astype(np.int32)), pa.array(sums[at[a : a + 100_000]])], ["i", "v"])
+
+        got = coded.select("first", "n", "sentence", "term").mapInArrow(run, "i int, v float").groupBy("i").agg(F.sum(F.col("v").cast("double")).cast("float").alias("v")).toArrow()
+        sent.destroy()
+        out = np.zeros(size)
+        out[got["i"].to_numpy()] = got["v"].to_numpy()
+        return out
+
+    return coded, trained(total, terms, subjects, leaves, passes)
+
+
+def sentences_of(part: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sentence, term, text of each sentence) of rows that hold their number of sentences and lists of these pairs, from column ``at``."""
+    total = np.asarray(part.column(at)).astype(np.int64)
+    begin = np.concatenate(([0], np.cumsum(total)))
+    size = np.asarray(pa.compute.list_value_length(part.column(at + 1)))
+    sentence, term = (np.asarray(part.column(at + i).flatten()).astype(np.int64) for i in (1, 2))
+    return sentence + np.repeat(begin[:-1], size), term, np.repeat(np.arange(len(total)), total)
+
+
+def assign(coded: DataFrame, model: Model, share: float = 0.15, other: str = "general") -> DataFrame:
+    """(doc_id, subject, n_sentences, n_total): one row per document and subject; no shuffle."""
+    shared = Shared(coded.sparkSession, model, lambda x: x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = shared.get()
+        number = np.full(int(ready.numbers.max()) + 1 if len(ready.numbers) else 1, -1)
+        number[ready.numbers] = np.arange(len(ready.numbers))
         for batch in batches:
-            for part in parts(batch):
-                points, offsets = decode(part.column(1))
-                found, total = ready.mixtures(points, offsets)
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                sentence, term, row = sentences_of(part, 1)
+                term = np.where(term < len(number), number[np.minimum(term, len(number) - 1)], -1)
+                found, total = ready.mixed(sentence[term >= 0], term[term >= 0], row, part.num_rows), np.bincount(row, minlength=part.num_rows)
                 enough = (found >= share * total[:, None] - 1e-9) & (found > 0)
                 r, s = np.nonzero(enough)
                 plain = np.flatnonzero(~enough.any(1))
-                ids = part.column(0)
                 names = [ready.subjects[i] for i in s.tolist()] + [other] * len(plain)
                 count = np.concatenate((found[r, s], (total - found.sum(1))[plain])).astype(np.int64)
                 where = np.concatenate((r, plain))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(where)), pa.array(names, pa.string()), pa.array(count), pa.array(total[where].astype(np.int64))], [keep, "subject", "n_sentences", "n_total"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(where)), pa.array(names, pa.string()), pa.array(count), pa.array(total[where].astype(np.int64))], ["doc_id", "subject", "n_sentences", "n_total"])
 
-    picked = documents.select(keep, "text")
-    return picked.mapInArrow(run, f"`{keep}` {picked.dtypes[0][1]}, subject string, n_sentences long, n_total long")
+    return coded.select("doc_id", "n", "sentence", "term").mapInArrow(run, f"doc_id {coded.dtypes[0][1]}, subject string, n_sentences long, n_total long")
 
 
-def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame, fit_docs: int = 2000, fit_chars: int = 3_000_000, share: float = 0.15) -> DataFrame:
+def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame, share: float = 0.15) -> DataFrame:
     names = sorted(r["subject"] for r in subjects.select("subject").where("subject is not null").distinct().collect())
-    texts, marks = sample(documents, labels, names, fit_docs, fit_chars)
-    return assign(documents, fit(texts, marks, names), share=share)
+    return assign(*corpus_model(documents, labels, names), share=share)

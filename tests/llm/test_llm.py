@@ -310,6 +310,17 @@ def test_mixture_of_two_subjects():
     assert {model.subjects[k] for k in np.flatnonzero(found[0] >= 0.15 * total[0])} == {"law", "sport"}
 
 
+def test_all_documents_are_fitted(spark, monkeypatch):
+    monkeypatch.setattr(subjects, "sample", lambda *a: pytest.fail("fitted on a sample"))
+    random.seed(10)
+    kinds = [s for _ in range(80) for s in (*SUBJECT_TERMS, None)]
+    docs = spark.createDataFrame([(i, subject_doc(s, 0.6)) for i, s in enumerate(kinds)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, s or "general") for i, s in enumerate(kinds) if i % 3], "doc_id long, subject string")
+    names = spark.createDataFrame([(s,) for s in (*SUBJECT_TERMS, "general")], "subject string")
+    got = {(r.doc_id, r.subject) for r in subjects.subject_areas(docs, labels, names).collect()}
+    assert len(got & {(i, s or "general") for i, s in enumerate(kinds)}) >= 0.9 * max(len(got), len(kinds))
+
+
 def test_identical_texts_share_their_labels(spark):
     docs = spark.createDataFrame([(1, "a text", 0), (2, "a text", 0), (3, "x" * 50, 0), (4, None, 0)], "doc_id long, text string, subject int")
     labels = spark.createDataFrame([(1, " LAW "), (2, "music"), (3, "law"), (9, "law"), (None, "law")], "doc_id long, subject string")
