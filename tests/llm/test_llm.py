@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import unicodedata
 
 import numpy as np
@@ -266,6 +267,16 @@ def test_leaks_of_questions_in_blocks(spark):
         assert sorted({(r.doc_id, r.field) for r in rows}) == [(1, "question"), (2, "answer"), (3, "text")]
 
 
+def test_shipped_words_fit_the_driver():
+    n = scan_noise.MOST_ENTRIES
+    table = pa.table({"w": [f"w{i:08d}" for i in range(n)], "n": [1] * n, "at": [1] * n, "size": [1] * n, "y": ["a"] * n})
+    tracemalloc.start()
+    lexicon = scan_noise.lexicon_of(scan_noise.Corpus({}, {}, None), scan_noise.rows_of(table))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(lexicon.words) == len(lexicon.readings) == n and most < 100e6
+
+
 # problem 8
 SUBJECT_TERMS = {s: [f"{s}word{chr(97 + k)}" for k in range(20)] for s in ("law", "music", "sport")}
 FILLER = ["table", "river", "stone", "window", "garden", "letter", "candle", "road"]
