@@ -94,9 +94,12 @@ def copy_risk(trials: DataFrame, key: str, text: str, references: DataFrame, ref
     """
     base = trials.select(key, F.coalesce(F.col(text), F.lit("")).alias("t"))
     known = references.select(F.explode(sized_grams(reference_text, SIZES)).alias("x")).select("x.n", "x.g").distinct()
-    if known.count() <= MOST_BROADCAST:
+    small = known.count() <= MOST_BROADCAST
+    if small:
         known = F.broadcast(known)
-    own = base.select(key, F.explode(sized_grams("t", SIZES)).alias("x")).groupBy(key, "x.n", "x.g").agg(F.count(F.lit(1)).alias("c"))
+    own = base.select(key, F.explode(sized_grams("t", SIZES)).alias("x")).select(key, "x.n", "x.g", F.lit(1).alias("c"))
+    if not small:  # else every gram is met in place, and only sums are moved
+        own = own.groupBy(key, "n", "g").agg(F.sum("c").alias("c"))
     met = own.join(known.withColumn("hit", F.lit(1)), ["n", "g"], "left")
     per = met.groupBy(key).agg(*[F.coalesce(F.sum(F.when((F.col("n") == n) & wanted, F.col("c"))), F.lit(0)).alias(f"{name}_{n}") for n in SIZES for name, wanted in (("shared", F.col("hit") == 1), ("total", F.lit(True)))])
     return at_risk(base.select(key, F.length("t").alias("n_chars")).join(per, key, "left").fillna(0, [f"{name}_{n}" for n in SIZES for name in ("shared", "total")]))

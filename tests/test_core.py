@@ -116,6 +116,12 @@ def test_masking_replaces_no_label_again(spark):
     assert texts == {("w", "c1"): "某书，某作者\ue000", ("v", "c1"): "作者", ("u", "c1"): None, ("w", "c2"): None}
 
 
+def test_copy_risk_moves_no_grams(spark):
+    trials = spark.createDataFrame([(1, "abcdefgh" * 30)], "id long, t string")
+    plan = compare.copy_risk(trials, "id", "t", trials.withColumnRenamed("t", "r"), "r")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Aggregate [id" in x and "," in x.split("Aggregate [")[1].split("]")[0]]
+
+
 def test_corpus_copy_risk_agrees_with_all_grams(spark):
     body = "山门夜雨连绵不绝，他提着灯走过长廊。The lamps went out one by one until nobody was awake"
     trials = spark.createDataFrame([(1, "前言" + body[10:70] + "后记"), (2, "nothing of it"), (3, None), (4, ""), (5, body[:39]), (6, body * 5), (7, "灯走过长" * 60)], "id long, text string")
