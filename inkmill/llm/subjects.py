@@ -113,14 +113,14 @@ class Model:
     def __init__(self, subjects: list[str], terms: list[str], weights: np.ndarray, labels: np.ndarray, numbers: np.ndarray | None = None) -> None:
         self.subjects, self.terms, self.weights, self.labels = subjects, terms, weights, labels
         self.numbers = np.arange(len(terms)) if numbers is None else numbers  # of the terms among those that were counted
-        self.automaton = None
+        self.automaton = self.ranked = None
         order = np.argsort(labels, kind="stable")
         order = order[labels[order] < len(subjects)]
         self.order, self.named = order, np.unique(labels[order])
         self.edges = np.searchsorted(labels[order], self.named)
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "automaton": None}
+        return {**self.__dict__, "automaton": None, "ranked": None}
 
     def prepare(self) -> Model:
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -166,15 +166,18 @@ class Model:
         out = np.zeros((rows, len(self.subjects)))
         if not len(self.named) or not len(sentence):
             return out
-        spoken, begin = np.unique(sentence, return_index=True)
-        leaf = np.add.reduceat(self.weights[term], begin, axis=0)
+        if self.ranked is None:
+            self.ranked = np.ascontiguousarray(self.weights[:, self.order])
+        begin, leaf = added(sentence, term, self.ranked)
+        spoken = sentence[begin]
         score = np.full((len(spoken), len(self.subjects)), -np.inf)
-        score[:, self.named] = np.maximum.reduceat(leaf[:, self.order], self.edges, axis=1)  # the best leaf of each label
+        for label, a, b in zip(self.named, self.edges, [*self.edges[1:], len(self.order)]):
+            score[:, label] = reduce(np.maximum, leaf[:, a:b].T)  # the best leaf of each label
         best = score.max(1)
         told = best >= 1
         clear = (score >= best[:, None] - 0.7) & told[:, None]
         sure = clear.sum(1) == 1
-        np.add.at(out, (row[spoken[sure]], score[sure].argmax(1)), 1)
+        out += np.bincount(row[spoken[sure]] * out.shape[1] + score[sure].argmax(1), minlength=out.size).reshape(out.shape)
         open_ = np.flatnonzero(~sure & told)
         if len(open_):
             tie = np.where(clear[open_], out[row[spoken[open_]]] + 1e-3 * score[open_], -1)
@@ -194,24 +197,54 @@ def named_leaves(apart: np.ndarray, votes: np.ndarray, most: int = 40, lead: flo
     return np.where(vote[np.arange(len(vote)), first] >= lead, first, votes.shape[1] - 1)
 
 
-def led(sentence: np.ndarray, term: np.ndarray, live: np.ndarray, weights: np.ndarray, block: int = 20_000) -> np.ndarray:
+def added(sentence: np.ndarray, term: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first pair, summed weights) of each sentence, for (sentence, term) pairs in order of the sentences.
+
+    All first terms are added, then all second ones and so on: the weights are gathered a row per sentence, not per pair."""
+    begin = np.flatnonzero(np.concatenate(([True], sentence[1:] != sentence[:-1]))) if len(sentence) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(sentence)))
+    order = np.argsort(-size, kind="stable")
+    at, size = begin[order], size[order]
+    sums = weights[term[at]]
+    for k, left in enumerate(np.cumsum(np.bincount(size)[::-1])[::-1][2:].tolist() if len(size) else [], 1):
+        sums[:left] += weights[term[at[:left] + k]]
+    out = np.empty_like(sums)
+    out[order] = sums
+    return begin, out
+
+
+def led(sentence: np.ndarray, term: np.ndarray, live: np.ndarray, weights: np.ndarray, low: np.ndarray, block: int = 20_000) -> np.ndarray:
     """For each (sentence, term) pair, ordered by sentence, the leaf that the sentence's other terms speak for; the
-    number of leaves if they speak for none.  ``live`` are the pairs with a weight; they are taken in blocks."""
+    number of leaves if they speak for none.  ``live`` are the pairs with a weight; they are taken in blocks.
+
+    ``low`` are the least weights of the terms.  A term that cannot take the lead from its sentence's first leaf, even if it
+    adds nothing else to the second one, needs no comparison of all leaves."""
     leaves = weights.shape[1]
     out = np.full(len(sentence), leaves, np.int64)
-    spoken, at = np.unique(sentence[live], return_inverse=True)
-    edges = np.searchsorted(at, np.arange(len(spoken) + 1))
+    begin = np.flatnonzero(np.concatenate(([True], np.diff(sentence[live]) != 0))) if len(live) else np.zeros(0, np.int64)
+    edges = np.append(begin, len(live))
     alone = np.full(int(sentence[-1]) + 1 if len(sentence) else 0, leaves, np.int64)
-    for a in range(0, len(spoken), block):
-        b = min(a + block, len(spoken))
+    for a in range(0, len(begin), block):
+        b = min(a + block, len(begin))
         mine = live[edges[a] : edges[b]]
-        weight = weights[term[mine]]
-        score = np.add.reduceat(weight, edges[a:b] - edges[a], axis=0)
-        alone[spoken[a:b]] = np.where(score.max(1) > 1, score.argmax(1), leaves)
-        here = at[edges[a] : edges[b]] - a
-        rest = score[here] - weight
-        others = np.diff(edges[a : b + 1])[here] > 1
-        out[mine] = np.where(others & (rest.max(1) > 1), rest.argmax(1), leaves)
+        t = term[mine]
+        score = added(sentence[mine], t, weights)[1]
+        each, first = np.arange(b - a), score.argmax(1)
+        top = score[each, first]
+        alone[sentence[live[begin[a:b]]]] = np.where(top > 1, first, leaves)
+        score[each, first] = -np.inf
+        second = score.max(1)
+        score[each, first] = top
+        size = np.diff(edges[a : b + 1])
+        here = np.repeat(each, size)
+        rest = top[here] - weights[t, first[here]]
+        to = np.where(rest > 1, first[here], leaves)
+        open_ = np.flatnonzero((rest <= second[here] - low[t] + 1e-3) & (top[here] - low[t] > 1 - 1e-3))
+        if len(open_):
+            full = score[here[open_]] - weights[t[open_]]
+            best = full.argmax(1)
+            to[open_] = np.where(full[np.arange(len(open_)), best] > 1, best, leaves)
+        out[mine] = np.where((size > 1)[here], to, leaves)
     quiet = np.ones(len(sentence), bool)
     quiet[live] = False
     out[quiet] = alone[sentence[quiet]]
@@ -304,20 +337,42 @@ class Block(NamedTuple):
         return out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-9)
 
 
-def pairs(points: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sentence, term, text of each sentence) of the texts, for the terms in ``codes``, which is sorted."""
+class Lookup:
+    """Places of codes among ``codes``, which is sorted and has no repeats, by a table of hashes."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        self.codes, self.bits = codes, max(10, (16 * len(codes)).bit_length())
+        slot, own = self.slot(codes), np.arange(len(codes), dtype=np.int32)
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        self.table[slot] = own
+        self.table[slot[self.table[slot] != own]] = -2  # several codes: these are sought by bisection
+
+    def slot(self, codes: np.ndarray) -> np.ndarray:
+        return codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index, place) of those that are there."""
+        place = self.table[self.slot(codes)]
+        several = np.flatnonzero(place == -2)
+        place[several] = np.minimum(np.searchsorted(self.codes, codes[several]), len(self.codes) - 1)
+        known = np.flatnonzero(self.codes[place] == codes)  # an empty slot is that of no code, not of the last one either
+        return known, place[known].astype(np.int64)
+
+
+def pairs(points: np.ndarray, offsets: np.ndarray, lookup: Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sentence, term, text of each sentence) of the texts, for the terms of ``lookup``; the pairs are in order."""
     row, at = starts(points, offsets)
     none = np.zeros(0, np.int64)
-    if not len(codes) or not len(row):
+    if not len(lookup.codes) or not len(row):
         return none, none, row
     code, where, size = grams(points)
-    term = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-    known = codes[term] == code
-    term, where, size = term[known], where[known], size[known]
+    known, term = lookup.find(code)
+    where, size = where[known], size[known]
     sentence = np.searchsorted(offsets[row] + at, where, "right") - 1
     inside = (sentence >= 0) & (where + size <= offsets[1:][row[np.maximum(sentence, 0)]])
-    both = np.unique(sentence[inside] * len(codes) + term[inside])
-    return both // len(codes), both % len(codes), row
+    both = np.sort(sentence[inside] * len(lookup.codes) + term[inside])
+    both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
+    return both // len(lookup.codes), both % len(lookup.codes), row
 
 
 Counts = list[tuple[np.ndarray, np.ndarray]]
@@ -340,17 +395,17 @@ def leaf_counts(block: Block, column: np.ndarray, idf: np.ndarray, centres: np.n
     else:
         l = int(leaf.max()) + 1
     row, term, _ = held
-    return [(term * l + leaf[row], np.ones(len(row))), (len(column) * l + leaf, np.ones(len(leaf)))]
+    return [(term * l + leaf[row], np.ones(len(row), np.float32)), (len(column) * l + leaf, np.ones(len(leaf), np.float32))]
 
 
-def sentence_counts(block: Block, weights: np.ndarray, named: np.ndarray, spoken: np.ndarray, l: int) -> Counts:
+def sentence_counts(block: Block, weights: np.ndarray, low: np.ndarray, named: np.ndarray, spoken: np.ndarray, l: int) -> Counts:
     """Terms by the leaf that the other terms of their sentence speak for, and these by leaf; the last one, ``l``, is none.
 
-    ``weights`` are those of the leaves in ``spoken``, which have a label."""
+    ``weights`` are those of the leaves in ``spoken``, which have a label, ``low`` the least ones."""
     m = len(weights)
-    at = np.unique(block.sentence, return_inverse=True)[1]
-    to = np.append(spoken, l)[led(at, block.term, np.flatnonzero(named[block.term]), weights)]
-    return [(block.term * (l + 1) + to, np.ones(len(to))), (m * (l + 1) + to, np.ones(len(to)))]
+    to = np.append(spoken, l)[led(block.sentence, block.term, np.flatnonzero(named[block.term]), weights, low)]
+    by = np.bincount(to, minlength=l + 1)
+    return [(block.term * (l + 1) + to, np.ones(len(to), np.float32)), (m * (l + 1) + np.arange(l + 1), by.astype(np.float32))]
 
 
 def summed(counts: Counts, size: int) -> np.ndarray:
@@ -401,7 +456,8 @@ def trained(total: Callable[..., np.ndarray], terms: Terms, subjects: list[str],
         weights = np.where(named[:, None] & (label < k - 1), np.clip(weights, -2.0, 3.0), 0.0).astype(np.float32)
         if turn == passes:
             break
-        both = total(sentence_counts, (m + 1) * (l + 1), weights[:, spoken], named, spoken, l)
+        heard = np.ascontiguousarray(weights[:, spoken])
+        both = total(sentence_counts, (m + 1) * (l + 1), heard, heard.min(1), named, spoken, l)
         counts, size_of = both[: m * (l + 1)].reshape(m, l + 1), both[m * (l + 1) :] + 1.0
         common = counts.sum(1, keepdims=True) / size_of.sum() + 1e-9
         unled, counts, size_of = counts[:, l], counts[:, :l], size_of[:l]
@@ -434,7 +490,7 @@ def fit(texts: list[str], labels: list[set[str]], subjects: list[str], other: st
     if not len(keep) or not any(labels):
         return unfit(subjects)
     terms = Terms(code[keep], [spelled(int(code[i]), word[i]) for i in keep], tf[keep], df[keep], votes[keep], n, prior)
-    sentence, term, row = pairs(points, offsets, terms.code)
+    sentence, term, row = pairs(points, offsets, Lookup(terms.code))
     block = Block(sentence, term, row, marks)
     return trained(lambda f, size, *state: summed(f(block, *state), size), terms, subjects, leaves, passes, block)
 
@@ -484,7 +540,7 @@ def labelled(documents: DataFrame, labels: DataFrame, names: list[str]) -> tuple
 
 
 def corpus_model(documents: DataFrame, labels: DataFrame, names: list[str], other: str = "general", leaves: int = 60, passes: int = 2) -> tuple[DataFrame, Model]:
-    """The sentences' terms of all documents (doc_id, n, sentence, term), and the model fitted on all of them."""
+    """The sentences' terms of all documents (doc_id, first and the columns of ``packed``), and the model fitted on all."""
     spark = documents.sparkSession
     subjects = [s for s in names if s != other]
     classes = [*subjects, other]
@@ -530,15 +586,10 @@ def corpus_model(documents: DataFrame, labels: DataFrame, names: list[str], othe
             yield from rows(merged())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = shared.get()
+        lookup = shared.get()
         for batch in batches:
             for part in parts(batch):
-                sentence, term, row = pairs(*decode(part.column(3)), codes)
-                total = np.bincount(row, minlength=part.num_rows)
-                edges = np.searchsorted(row[sentence], np.arange(part.num_rows + 1)).astype(np.int32)
-                begin = np.concatenate(([0], np.cumsum(total)))
-                lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(x.astype(np.int32))) for x in (sentence - begin[row[sentence]], term)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(total.astype(np.int32)), *lists], ["doc_id", "first", "s", "n", "sentence", "term"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *packed(*pairs(*decode(part.column(3)), lookup), part.num_rows)], ["doc_id", "first", *PACKED])
 
     if not sum(given.values()):
         codes, terms = np.zeros(0, np.int64), None
@@ -551,9 +602,9 @@ def corpus_model(documents: DataFrame, labels: DataFrame, names: list[str], othe
         codes = rows["code"].to_numpy()
         terms = Terms(codes, [spelled(c, w) for c, w in zip(codes.tolist(), rows["word"].to_pylist())], rows["tf"].to_numpy(), rows["df"].to_numpy(), np.stack([rows[v].to_numpy() for v in votes], axis=1), n, prior)
         del rows
-    shared = Shared(spark, codes, lambda x: x)
+    shared = Shared(spark, codes, Lookup)
     kind = documents.select("doc_id").dtypes[0][1]
-    coded = materialise(met.mapInArrow(encode, f"doc_id {kind}, first boolean, s array<string>, n int, sentence array<int>, term array<int>"))
+    coded = materialise(met.mapInArrow(encode, f"doc_id {kind}, first boolean, " + ", ".join(f"{c} {t}" for c, t in PACKED.items())))
     if not len(codes):
         return coded, unfit(subjects)
 
@@ -569,25 +620,86 @@ def corpus_model(documents: DataFrame, labels: DataFrame, names: list[str], othe
                     for i, v in counts(Block(*sentences_of(part, 1), marks=np.zeros((part.num_rows, 0))), *sent.value):
                         np.add.at(sums, i, v)
             at = np.flatnonzero(sums)
-            for a in range(0, len(at), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(at[a : a + 100_000].astype(np.int32)), pa.array(sums[at[a : a + 100_000]])], ["i", "v"])
+            yield from in_pieces(at, sums[at])
 
-        got = coded.select("first", "n", "sentence", "term").mapInArrow(run, "i int, v float").groupBy("i").agg(F.sum(F.col("v").cast("double")).cast("float").alias("v")).toArrow()
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            slot, sums = np.full(-(-size // PIECE), -1), np.zeros((0, PIECE))
+            for batch in batches:
+                own = batch.column(0).to_numpy()
+                new = np.unique(own[slot[own] < 0])
+                slot[new] = len(sums) + np.arange(len(new))
+                sums = np.concatenate((sums, np.zeros((len(new), PIECE)))) if len(new) else sums
+                i, v = cells(batch)
+                np.add.at(sums.reshape(-1), slot[i // PIECE] * PIECE + i % PIECE, v.astype(float))
+            for own in np.array_split(np.flatnonzero(slot >= 0), max(1, len(sums) * PIECE >> 20)):
+                k, i = np.nonzero(sums[slot[own]])
+                yield from in_pieces(own[k] * PIECE + i, sums[slot[own[k]], i].astype(np.float32))
+
+        kind = "piece int, i binary, v binary"
+        got = coded.select("first", *PACKED).mapInArrow(run, kind).repartition(spark.sparkContext.defaultParallelism, "piece").mapInArrow(merge, kind).toArrow()
         sent.destroy()
         out = np.zeros(size)
-        out[got["i"].to_numpy()] = got["v"].to_numpy()
+        for batch in got.to_batches():
+            i, v = cells(batch)
+            out[i] = v
         return out
 
     return coded, trained(total, terms, subjects, leaves, passes)
 
 
+#: Columns of texts as pairs, in bytes: sentences, terms in each (int32), and the terms' low 16 bits and the bits above.
+PACKED = {"n": "int", "sizes": "binary", "low": "binary", "high": "binary"}
+
+
+def rows_of_bytes(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """A binary array whose rows hold the values from one edge to the next."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def bytes_of_rows(column: pa.Array, kind: type) -> np.ndarray:
+    """The values of all rows of a binary array end to end."""
+    if not len(column):
+        return np.zeros(0, kind)
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    marks = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
+    return np.frombuffer(data.slice(int(marks[0]), int(marks[-1] - marks[0])).to_pybytes(), kind) if data is not None else np.zeros(0, kind)
+
+
+def packed(sentence: np.ndarray, term: np.ndarray, row: np.ndarray, rows: int) -> list[pa.Array]:
+    """The columns of ``PACKED``; ``sentences_of`` is the inverse."""
+    total = np.bincount(row, minlength=rows)
+    begin = np.concatenate(([0], np.cumsum(total)))
+    sizes = np.bincount(sentence, minlength=len(row)).astype(np.int32)
+    edges = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))[begin]
+    return [pa.array(total.astype(np.int32)), rows_of_bytes(sizes, begin), rows_of_bytes((term & 0xFFFF).astype(np.uint16), edges), rows_of_bytes((term >> 16).astype(np.uint16), edges)]
+
+
 def sentences_of(part: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sentence, term, text of each sentence) of rows that hold their number of sentences and lists of these pairs, from column ``at``."""
+    """(sentence, term, text of each sentence) of rows whose columns from ``at`` are those of ``PACKED``."""
     total = np.asarray(part.column(at)).astype(np.int64)
-    begin = np.concatenate(([0], np.cumsum(total)))
-    size = np.asarray(pa.compute.list_value_length(part.column(at + 1)))
-    sentence, term = (np.asarray(part.column(at + i).flatten()).astype(np.int64) for i in (1, 2))
-    return sentence + np.repeat(begin[:-1], size), term, np.repeat(np.arange(len(total)), total)
+    sizes, low, high = (bytes_of_rows(part.column(at + i), kind) for i, kind in ((1, np.int32), (2, np.uint16), (3, np.uint16)))
+    return np.repeat(np.arange(len(sizes)), sizes), low.astype(np.int64) | high.astype(np.int64) << 16, np.repeat(np.arange(len(total)), total)
+
+
+#: Cells of a vector that are sent in one row.
+PIECE = 512
+
+
+def in_pieces(at: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (piece, i, v) of a vector that is ``values`` (float32) at the cells ``at``, in order, and 0 elsewhere."""
+    begin = np.flatnonzero(np.concatenate(([True], np.diff(at // PIECE) != 0))) if len(at) else np.zeros(0, np.int64)
+    for a in range(0, len(begin), 1000):
+        edges = np.append(begin, len(at))[a : a + 1001]
+        own = slice(edges[0], edges[-1])
+        yield pa.RecordBatch.from_arrays([pa.array((at[edges[:-1]] // PIECE).astype(np.int32)), rows_of_bytes((at[own] % PIECE).astype(np.uint16), edges - edges[0]), rows_of_bytes(values[own], edges - edges[0])], ["piece", "i", "v"])
+
+
+def cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, value) of the rows of ``in_pieces``."""
+    i, v = bytes_of_rows(batch.column(1), np.uint16), bytes_of_rows(batch.column(2), np.float32)
+    sizes = np.asarray(pa.compute.binary_length(batch.column(1))) // 2
+    return np.repeat(np.asarray(batch.column(0)).astype(np.int64) * PIECE, sizes) + i, v
 
 
 def assign(coded: DataFrame, model: Model, share: float = 0.15, other: str = "general") -> DataFrame:
@@ -612,7 +724,7 @@ def assign(coded: DataFrame, model: Model, share: float = 0.15, other: str = "ge
                 where = np.concatenate((r, plain))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(where)), pa.array(names, pa.string()), pa.array(count), pa.array(total[where].astype(np.int64))], ["doc_id", "subject", "n_sentences", "n_total"])
 
-    return coded.select("doc_id", "n", "sentence", "term").mapInArrow(run, f"doc_id {coded.dtypes[0][1]}, subject string, n_sentences long, n_total long")
+    return coded.select("doc_id", *PACKED).mapInArrow(run, f"doc_id {coded.dtypes[0][1]}, subject string, n_sentences long, n_total long")
 
 
 def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame, share: float = 0.15) -> DataFrame:

@@ -338,6 +338,59 @@ def test_identical_texts_share_their_labels(spark):
     assert subjects.sample(docs, labels, ["law", "music"], 10, 40) == (["a text"], [{"law", "music"}])
 
 
+def test_terms_of_sentences_are_kept_as_bytes(spark):
+    random.seed(11)
+    texts = [subject_doc(s, 0.6) for _ in range(20) for s in (*SUBJECT_TERMS, None)] + [None, "", "x " * 5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(0, "law")], "doc_id long, subject string")
+    coded, _ = subjects.corpus_model(docs, labels, [*SUBJECT_TERMS, "general"])
+    assert not [kind for _, kind in coded.dtypes if kind.startswith("array")]  # lists cost a call per value in every pass
+    points, offsets = decode(pa.array(texts, pa.string()))
+    codes = np.unique(subjects.grams(points)[0])[::2]
+    sentence, term, row = subjects.pairs(points, offsets, subjects.Lookup(codes))
+    whole = pa.RecordBatch.from_arrays(subjects.packed(sentence, term, row, len(texts)), [*subjects.PACKED])
+    for a, b in ((0, len(texts)), (7, 31), (80, len(texts))):
+        mine = (row[sentence] >= a) & (row[sentence] < b)
+        own = subjects.sentences_of(whole.slice(a, b - a), 0)
+        assert own[0].tolist() == (sentence[mine] - np.searchsorted(row, a)).tolist() and own[1].tolist() == term[mine].tolist()
+        assert own[2].tolist() == (row[(row >= a) & (row < b)] - a).tolist()
+    high = np.array([0, 65535, 65536, 3 << 20])
+    assert subjects.sentences_of(pa.RecordBatch.from_arrays(subjects.packed(np.zeros(4, np.int64), high, np.zeros(1, np.int64), 1), [*subjects.PACKED]), 0)[1].tolist() == high.tolist()
+
+
+def test_lookup_finds_codes_that_share_a_slot():
+    rng = np.random.default_rng(1)
+    for n in (1, 40, 5000):
+        codes = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+        lookup = subjects.Lookup(codes)
+        asked = np.concatenate((codes, codes + 1, rng.integers(-(1 << 62), 1 << 62, 3000)))
+        known, place = lookup.find(asked)
+        assert known.tolist() == np.flatnonzero(np.isin(asked, codes)).tolist() and (codes[place] == asked[known]).all()
+    assert (lookup.table == -2).any()
+
+
+@pytest.mark.parametrize("leaves", [1, 2, 9])
+def test_leaf_that_the_other_terms_speak_for(leaves):
+    rng = np.random.default_rng(2)
+    weights = rng.integers(-8, 13, (50, leaves)).astype(np.float32) / 4  # sums are exact, ties are many
+    named = rng.random(50) < 0.7
+    sentence, term = np.divmod(np.flatnonzero(rng.random(300 * 50) < np.repeat(rng.random(300) ** 3, 50)), 50)
+    got = subjects.led(sentence, term, np.flatnonzero(named[term]), weights, weights.min(1), block=70)
+    for s, t, leaf in zip(sentence.tolist(), term.tolist(), got.tolist()):
+        others = [u for u in term[sentence == s].tolist() if named[u] and u != t]
+        score = weights[others].sum(0) if others else np.zeros(leaves)
+        assert leaf == (score.argmax() if score.max() > 1 else leaves)
+
+
+def test_vectors_are_sent_in_pieces():
+    rng = np.random.default_rng(3)
+    for size in (1, 700, 900_000):
+        at = np.flatnonzero(rng.random(size) < 0.4)
+        value = rng.random(len(at)).astype(np.float32)
+        sent = [subjects.cells(b) for b in subjects.in_pieces(at, value)]
+        assert np.concatenate([i for i, _ in sent] or [[]]).tolist() == at.tolist() and np.concatenate([v for _, v in sent] or [[]]).tolist() == value.tolist()
+
+
 def test_subjects_edge_cases(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "一句。"), (3, "一句。")], "doc_id long, text string")
     labels = spark.createDataFrame([], "label_id long, doc_id long, subject string")
